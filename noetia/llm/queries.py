@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noetia.llm import chunk_split, density, knn, survivors
+from noetia.llm import chunk_split, density, knn, names, survivors
 from noetia.session import cut, table
 
 
@@ -27,6 +27,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(knn.most_similar(table(spark, d, "entities"), min_cosine=0.85), 0.85)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(table(spark, d, "entities"), table(spark, d, "nicknames"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each name of a person or organisation with the class of its entity and the number of names in it."""
+    n, c = names.name_classes(table(spark, d, "entities"), table(spark, d, "nicknames"))
+    size = c.groupBy("class").agg(F.count("*").alias("n_names"))
+    return n.join(c, "node", "left").join(size, "class", "left").select("memory_id", F.col("kind").alias("entity_type"), "name", F.coalesce("class", "node").alias("class_id"), F.coalesce("n_names", F.lit(1)).alias("n_names"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.field_winners(table(spark, d, "entities"))
 
@@ -49,6 +60,8 @@ QUERIES = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
     "p5_found": p5_found,
