@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noetia.llm import chunk_split, density, knn, names, survivors
+from noetia.llm import chunk_split, density, knn, mixing, names, stuffing, survivors, tokens
 from noetia.session import cut, table
 
 
@@ -55,6 +55,30 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density.describe_clusters(entities, cut(density.density_clusters(entities)))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.round_trip(table(spark, d, "documents"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_labels(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.label_pages(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(p10_labels(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -66,6 +90,12 @@ QUERIES = {
     "p4_survivors": p4_survivors,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p8_ids": p8_ids,
+    "p8_roundtrip": p8_roundtrip,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_labels": p10_labels,
 }
 
 _T = "trim({}, E' \\t\\n\\r\\x0b\\x0c')"
