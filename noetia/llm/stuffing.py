@@ -9,10 +9,10 @@ sample: confident rules label some lines, their counts give the first model, and
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ _HREF = re.compile(r"""<a\b[^>]*href\s*=\s*["']?([^"'\s>]+)[^>]*>""", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"“«'(¿¡]*[A-ZÀ-ÞŁŒ0-9])|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LINK = re.compile(r"^[\W_]*(?:https?://|ftp://|www\.)|^[\W_]*[a-z0-9][a-z0-9-]{2,}\.(?:[a-z0-9-]+\.)*[a-z]{2,}(?:/\S*)?[\W_]*$", re.I)
-_SEPARATOR = re.compile(r"[,|·•»›;#>/\t]|\s[-–—]\s")
+_SEPARATORS = (",", "|", "·", "•", "»", "›", ";", "#", ">", "/", "\t", " - ", " – ", " — ")
 _END = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
 _OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff]")
 _DENSE_SCRIPT = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7ff]")
@@ -114,42 +114,55 @@ def weight(unit: str) -> float:
     return unit.count(" ") + 1 if unit.isascii() else max(len(unit.split()), len(_DENSE_SCRIPT.findall(unit)) / 2)
 
 
-def _bin(x: float, *edges: float) -> int:
-    return bisect_right(edges, x)
-
-
 def observe(us: list[str]) -> np.ndarray:
     """Feature symbols of each unit of a page."""
     words = [_WORD.findall(u.lower()) for u in us]
-    count = Counter(w for ws in words for w in ws if len(w) > 2 and w not in FUNCTION_WORDS)
-    often = max(3, 0.03 * sum(map(len, words)))
-    out = np.empty((len(us), len(SIZES)), np.int8)
-    for i, (u, ws) in enumerate(zip(us, words)):
+    contents = [[w for w in ws if len(w) > 2 and w not in FUNCTION_WORDS] for ws in words]
+    count = Counter(chain.from_iterable(contents))
+    least = max(3, 0.03 * sum(map(len, words)))
+    often = {w for w, n in count.items() if n >= least}
+    out = []
+    for u, ws, content in zip(us, words, contents):
         raw = u.split()
-        n = max(1, len(raw))
+        n = len(raw) or 1
         links, last_links = 0, False
         if "." in u[:-1] or "/" in u:
             hit = [("." in t or "/" in t) and _LINK.match(t) is not None for t in raw]
-            if links := sum(hit):
+            if True in hit:
+                links, last_links = hit.count(True), hit[-1]
                 ws = [w for t, h in zip(raw, hit) if not h for w in _WORD.findall(t.lower())]
-                last_links = hit[-1]
-        m = max(1, len(ws))
-        content = [w for w in ws if len(w) > 2 and w not in FUNCTION_WORDS]
-        strange = not u.isascii() and len(_OTHER_SCRIPT.findall(u)) > 0.3 * len(u)
-        fw = sum(w in FUNCTION_WORDS for w in ws) / m
-        rep = sum(count[w] >= often for w in content) / max(1, len(content))
-        record = 2 if links <= 0.3 * n and _is_record(u) else 1 if ("=" in u and _PAIR.search(u)) or sum(map(str.isdigit, u)) > 0.25 * len(u) else 0
-        out[i] = (
-            _bin(links / n, 0.01, 0.15, 0.4),
-            4 if strange else _bin(fw, 0.01, 0.12, 0.25),
-            not last_links and _END.search(u[-6:]) is not None,
-            _bin(len(_SEPARATOR.findall(u)) / n, 0.1, 0.3),
-            _bin(rep, 0.2, 0.45, 0.75) if content else 0,
-            _bin(sum(w in OFFER_WORDS for w in ws) / m, 0.01, 0.15),
-            record,
-            _bin(n, 4, 10),
+                content = [w for w in ws if len(w) > 2 and w not in FUNCTION_WORDS]
+        m = len(ws) or 1
+        link = links / n
+        if not u.isascii() and len(_OTHER_SCRIPT.findall(u)) > 0.3 * len(u):
+            fw = 4
+        else:
+            x = len([w for w in ws if w in FUNCTION_WORDS]) / m
+            fw = 3 if x >= 0.25 else 2 if x >= 0.12 else 1 if x >= 0.01 else 0
+        x = len([w for w in content if w in often]) / (len(content) or 1)
+        rep = 3 if x >= 0.75 else 2 if x >= 0.45 else 1 if x >= 0.2 else 0
+        x = len([w for w in content if w in OFFER_WORDS]) / m
+        offer = 2 if x >= 0.15 else 1 if x >= 0.01 else 0
+        x = sum([u.count(c) for c in _SEPARATORS]) / n
+        if link <= 0.3 and _is_record(u):
+            record = 2
+        elif ("=" in u and _PAIR.search(u)) or (sum(map(len, ws)) < 0.6 * len(u) and sum(map(str.isdigit, u)) > 0.25 * len(u)):
+            record = 1
+        else:
+            record = 0
+        out.append(
+            (
+                3 if link >= 0.4 else 2 if link >= 0.15 else 1 if links else 0,
+                fw,
+                not last_links and _END.search(u[-6:]) is not None,
+                2 if x >= 0.3 else 1 if x >= 0.1 else 0,
+                rep,
+                offer,
+                record,
+                2 if n >= 10 else 1 if n >= 4 else 0,
+            )
         )
-    return out
+    return np.array(out, np.int8)
 
 
 def confident(x: np.ndarray) -> np.ndarray:
@@ -172,21 +185,31 @@ class Model:
     move: np.ndarray
     emit: list[np.ndarray]
 
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """The most likely states of a page's units (Viterbi)."""
-        score = sum(e[:, x[:, f].astype(int)] for f, e in enumerate(self.emit)).T
-        n = len(x)
-        back = np.empty((n, len(STATES)), np.int8)
-        v = self.start + score[0]
-        for i in range(1, n):
-            step = v[:, None] + self.move
-            back[i] = step.argmax(axis=0)
-            v = step.max(axis=0) + score[i]
-        y = np.empty(n, int)
-        y[-1] = int(v.argmax())
-        for i in range(n - 1, 0, -1):
-            y[i - 1] = back[i, y[i]]
-        return y
+    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """The most likely states of each page's units (Viterbi), all pages a step at a time."""
+        order = sorted(range(len(pages)), key=lambda i: -len(pages[i]))
+        sizes = np.array([len(pages[i]) for i in order])
+        flat = np.concatenate([pages[i] for i in order]).astype(np.intp)
+        score = sum(e[:, flat[:, f]] for f, e in enumerate(self.emit)).T
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        back = np.zeros((len(flat), len(STATES)), np.int8)
+        v = self.start + score[first]
+        for t in range(1, sizes[0]):
+            live = int(np.searchsorted(-sizes, -t, "left"))  # pages longer than t
+            step = v[:live, :, None] + self.move
+            back[first[:live] + t] = step.argmax(axis=1)
+            v[:live] = step.max(axis=1) + score[first[:live] + t]
+        y = np.empty(len(flat), int)
+        state = v.argmax(axis=1)
+        for t in range(sizes[0] - 1, -1, -1):
+            live = int(np.searchsorted(-sizes, -t, "left"))
+            at = first[:live] + t
+            y[at] = state[:live]
+            state[:live] = back[at, state[:live]]
+        out: list = [None] * len(pages)
+        for k, i in enumerate(order):
+            out[i] = y[first[k] : first[k] + sizes[k]]
+        return out
 
 
 def _estimate(pages: list[np.ndarray], labels: list[np.ndarray]) -> Model:
@@ -211,7 +234,7 @@ def fit(texts: list[str]) -> Model:
     sure = [confident(x) for x in pages]
     model = _estimate(pages, sure)
     for _ in range(ROUNDS):
-        model = _estimate(pages, [np.where(s >= 0, s, model.label(x)) for x, s in zip(pages, sure)])
+        model = _estimate(pages, [np.where(s >= 0, s, y) for y, s in zip(model.label(pages), sure)] if pages else [])
     return model
 
 
@@ -228,13 +251,13 @@ def label_pages(documents: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, rows = [], []
+            keep, pages, seen = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                us = units(t)
-                if not us:
-                    continue
-                w = np.bincount(model.label(observe(us)), weights=[weight(u) for u in us], minlength=len(STATES))
-                keep.append(i)
+                if us := units(t):
+                    keep.append(i), pages.append(us), seen.append(observe(us))
+            rows = []
+            for us, y in zip(pages, model.label(seen) if seen else []):
+                w = np.bincount(y, weights=[weight(u) for u in us], minlength=len(STATES))
                 rows.append((w.sum(), *w, w[[LINKS, TAGS, MENU]].sum() / max(w.sum(), 1e-9)))
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), *(pa.array(c, pa.float64()) for c in zip(*rows))], names=["doc_id", "n_words", *STATES, "non_prose"])
