@@ -309,6 +309,6 @@ RELATION_TUPLE = r'\("relationship"\$\$\$\$([^$]*)\$\$\$\$([^$]*)\$\$\$\$([^$]*)
 
 def parse_tuples(c: Column | str, pattern: str, names: tuple[str, ...]) -> Column:
     """array<struct> of the tuples that a model wrote in its delimited form."""
-    parts = [F.transform(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(i + 1)), F.trim).alias(n) for i, n in enumerate(names)]
+    parts = [F.transform(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(i + 1)), lambda x: F.trim(x)).alias(n) for i, n in enumerate(names)]
     zipped = F.arrays_zip(*parts)
     return F.transform(zipped, lambda x: F.struct(*[x[n].alias(n) for n in names]))
