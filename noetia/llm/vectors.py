@@ -52,7 +52,8 @@ def unit_vectors(df: DataFrame, dim: int = 64, id_col: str = "id", vector_col: s
     Usable are vectors of ``dim`` finite numbers that aren't all zero, under a non-blank id. Null, empty, short, NaN and
     zero vectors are left out, repeated rows stay.
     """
-    rot = rotation(dim)
+    # in double precision: a copy packs to the same bytes in whatever batch it comes
+    rot = rotation(dim).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,7 +65,7 @@ def unit_vectors(df: DataFrame, dim: int = 64, id_col: str = "id", vector_col: s
             ok = np.isfinite(top) & (top > 0)
             x = x[ok] / top[ok, None]
             x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pack(x.astype(np.float32) @ rot)], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pack(x @ rot)], names=["id", "vec"])
 
     src = df.select(norm_id(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
     return src.mapInArrow(run, "id string, vec binary")
