@@ -138,6 +138,11 @@ def _merged(df: DataFrame, keys: list[str], emit, extra: str) -> DataFrame:
     return part.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
+def _own_names(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys under names of this module's own, so that a key may have any name."""
+    return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "start", "end").where("start <= end")
+
+
 def interval_gaps(df: DataFrame, keys: list[str]) -> DataFrame:
     """Gaps between the continuous periods of each key.
 
@@ -146,7 +151,7 @@ def interval_gaps(df: DataFrame, keys: list[str]) -> DataFrame:
     where they are more than one second apart. Rows with a null or reversed bound do not count; repeated rows change
     nothing; null keys form a group of their own; an empty table gives no rows.
     """
-    df = df.select(*keys, "start", "end").where("start <= end")
+    names, keys, df = keys, [f"_k{i}" for i in range(len(keys))], _own_names(df, keys)
 
     def emit(k, m):
         yield (*k, 0, m.starts[0], m.ends[-1])
@@ -158,7 +163,7 @@ def interval_gaps(df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "kind", F.when(F.col("kind") == 1, F.col("a")).otherwise(F.lit(0))).orderBy("bucket")
     before = F.lag("b").over(w)
     out = rows.select(*keys, "kind", F.when(F.col("kind") == 1, F.col("a")).otherwise(before).alias("gap_from"), F.when(F.col("kind") == 1, F.col("b")).otherwise(F.col("a")).alias("gap_until"))
-    return out.where(F.col("gap_until") - F.col("gap_from") > TOLERANCE_US).select(*keys, "gap_from", "gap_until")
+    return out.where(F.col("gap_until") - F.col("gap_from") > TOLERANCE_US).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "gap_from", "gap_until")
 
 
 def interval_periods(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,7 +171,7 @@ def interval_periods(df: DataFrame, keys: list[str]) -> DataFrame:
 
     Same input and rules as :func:`interval_gaps`. Periods merged per bucket are stitched at the bucket edges.
     """
-    df = df.select(*keys, "start", "end").where("start <= end")
+    names, keys, df = keys, [f"_k{i}" for i in range(len(keys))], _own_names(df, keys)
 
     def emit(k, m):
         for s, e in zip(m.starts, m.ends):
@@ -177,7 +182,7 @@ def interval_periods(df: DataFrame, keys: list[str]) -> DataFrame:
     new = (F.col("start") - F.lag("end").over(w) > TOLERANCE_US) | F.lag("end").over(w).isNull()
     island = rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = island.groupBy(*keys, "island").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    return out.select(*keys, F.when(F.col("s") > ALWAYS_BEFORE, F.col("s")).alias("period_from"), F.when(F.col("e") < ALWAYS_AFTER, F.col("e")).alias("period_until"))
+    return out.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.when(F.col("s") > ALWAYS_BEFORE, F.col("s")).alias("period_from"), F.when(F.col("e") < ALWAYS_AFTER, F.col("e")).alias("period_until"))
 
 
 def relationship_intervals(relationships: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def _html_sql(c: str) -> str:
     c = f"regexp_replace(regexp_replace({c}, '<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g')"
     for name, ch in X.HTML_ENTITIES:
         c = "replace({}, '{}', '{}')".format(c, name, ch.replace("'", "''"))
-    return f"trim(regexp_replace({c}, '[ \\t\\n\\f\\r\\x0b]+', ' ', 'g'))"
+    return f"trim(regexp_replace({c}, '[ \\t\\n\\f\\r\\x0b]+', ' ', 'g'), ' ')"
 
 
 @query("SELECT doc_id, md5(" + _html_sql("html") + ") AS text_hash FROM (SELECT doc_id, " + _PAGE_SQL + " AS html FROM documents WHERE text IS NOT NULL)")
