@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from noetia.llm.vectors import Lists, blobs, copies, fit_lists, joined, representatives, unit_vectors, unpack
 from noetia.session import cut
 
-ROWS_PER_LIST, LISTS_PER_SHARD = 700, 8
+ROWS_PER_LIST, LISTS_PER_SHARD, MAX_LISTS = 700, 8, 16_384
 #: Width of the first column block and the significance of its test (standard errors).
 FIRST_BLOCK, EPSILON = 32, 2.1
 #: Share of pairs that pass the test from which the rest is multiplied densely.
@@ -177,15 +177,16 @@ def _search(dim: int, k: int, floor: float):
     return run
 
 
-def neighbours(reps: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64) -> DataFrame:
+def neighbours(reps: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64, max_lists: int = MAX_LISTS) -> DataFrame:
     """``id``, ``neighbour``, ``cosine``, ``rank`` of the k most similar other rows of every row of ``reps(id, vec)``.
 
     ``reps`` is read several times; pass a written table. A row probes the lists whose centres come within ``margin`` of
-    its nearest centre's cosine, ``probes`` at most. With ``min_cosine`` only neighbours at least that similar come out,
+    its nearest centre's cosine, ``probes`` at most. Near neighbours are found with a fixed number of probes however many
+    lists there are; vectors without near neighbours need a fixed share of the lists, which ``max_lists`` sets. With ``min_cosine`` only neighbours at least that similar come out,
     and the scan abandons all others. Ties go to the smaller id.
     """
     n = reps.count()
-    lists = fit_lists(reps, n, ROWS_PER_LIST, LISTS_PER_SHARD, dim)
+    lists = fit_lists(reps, n, ROWS_PER_LIST, LISTS_PER_SHARD, dim, max_lists)
     floor = -2.0 if min_cosine is None else float(np.nextafter(np.float32(min_cosine) - np.float32(2e-6), np.float32(-2)))
     spread = reps.select("id", "vec").mapInArrow(_spread(lists, dim, margin, probes), "shard int, kind tinyint, id string, lists binary, vec binary")
     found = spread.repartitionById(lists.n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dim, k, floor), "id string, neighbour string, cosine double")
@@ -193,7 +194,7 @@ def neighbours(reps: DataFrame, k: int = 5, min_cosine: float | None = None, mar
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def most_similar(entities: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64) -> DataFrame:
+def most_similar(entities: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64, max_lists: int = MAX_LISTS) -> DataFrame:
     """The k most similar entities of every entity with a usable embedding, over all memories.
 
     ``id``, ``neighbour``, ``cosine``, ``rank``; see :func:`neighbours`. Exact copies of a vector are searched once, as
@@ -204,7 +205,7 @@ def most_similar(entities: DataFrame, k: int = 5, min_cosine: float | None = Non
     """
     vectors = unit_vectors(entities, dim)
     reps = cut(representatives(vectors))
-    near = neighbours(reps, k, min_cosine, margin, probes, dim)
+    near = neighbours(reps, k, min_cosine, margin, probes, dim, max_lists)
     if not reps.where("id <> last_id").limit(1).count():
         return near
     group = cut(copies(vectors, reps))

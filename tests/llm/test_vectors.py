@@ -89,6 +89,16 @@ def test_clusters_of_copies_and_description(spark):
     assert len(c) == 6 and all(len(r.entities) == 3 and r.medoid_id for r in c.values())
 
 
+def test_a_chain_of_pairs_is_no_cluster_but_copies_count(spark):
+    rng = np.random.default_rng(9)
+    basis, _ = np.linalg.qr(rng.normal(size=(64, 64)))
+    near = lambda i, j: basis[i] + 0.3 * basis[j]
+    v = [basis[0], near(0, 1), basis[10], near(10, 11), *basis[20:60]]
+    same = [("zz", [float(x) for x in basis[10]])]
+    got = {(r.cluster_id, r.entity_id) for r in density.density_clusters(frame(spark, np.array(v), same)).collect()}
+    assert got == {("id00002", x) for x in ("id00002", "id00003", "zz")}
+
+
 def test_fit_is_bounded_and_lists_cover(spark):
     v, _ = data(5, 20, 300)
     reps = representatives(unit_vectors(frame(spark, v)))
