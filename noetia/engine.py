@@ -30,6 +30,7 @@ from noetia.session import cut, shared_dir
 from noetia.sources.stores import ParquetStore, Store
 
 NOTHING_FOUND = "No relevant information found in memory."
+DIRECT_CONFIDENCE, SURE = 0.7, 0.5
 NO_ANSWER = "I don't have information about that in my memory."
 
 
@@ -204,6 +205,36 @@ class Engine:
         conf = V.confidence(scored).first()["confidence"]
         return {"answer": context, "context": context, "confidence": conf, "sources": V.sources(top).first()["sources"], "nodes": top, "edges": edges}
 
+    def answer(self, text: str, clusters: DataFrame | None = None, now: Column | None = None) -> tuple[str, float]:
+        """An answer of the language model and its confidence from 0 to 1.
+
+        From the question's own context first; if that stays empty or unsure, from each community (in one distributed
+        job), where a sure answer stands for itself and otherwise the five best are put together.
+        """
+        found = self.query(text, now=now)
+        if not found["sources"]:
+            return NOTHING_FOUND, 0.0
+        direct = self._complete(f"Context:\n{found['context']}\n\nQuestion: {text}\nAnswer:")
+        if direct and DIRECT_CONFIDENCE >= SURE and clusters is None:
+            return direct, DIRECT_CONFIDENCE
+        if clusters is not None:
+            prompts = clusters.select(F.col("community").alias("doc_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("Community:\n"), "summary", F.lit(f"\n\nQuestion: {text}\nReply as JSON with answer and confidence (0-10).")).alias("content"))
+            said = prompts.mapInArrow(_ask(self.model), "doc_id string, chunk_index int, content string, answer string, error string").where("answer is not null")
+            best = said.select("doc_id", X.parse_answer("answer").alias("a")).where("a.answer <> ''").orderBy(F.desc("a.confidence"), "doc_id").limit(5).collect()
+            if best:
+                if len(best) == 1 or best[0].a.confidence >= 9:
+                    return best[0].a.answer, best[0].a.confidence / 10
+                joined = "\n".join(f"- {r.a.answer}" for r in best)
+                whole = self._complete(f"Answers:\n{joined}\n\nQuestion: {text}\nCombine them:")
+                return whole or best[0].a.answer, sum(r.a.confidence for r in best[:3]) / 3 / 10
+        return (direct, DIRECT_CONFIDENCE) if direct else (found["context"], found["confidence"])
+
+    def _complete(self, prompt: str) -> str:
+        try:
+            return (self.model.complete(prompt) or "").strip()
+        except Exception:  # noqa: BLE001 - without the model the caller falls back
+            return ""
+
     # -- evolve ------------------------------------------------------------------------------------------------------------
     def evolve(self, steps: tuple[str, ...] = ("CONSOLIDATION", "DECAY", "REINFORCEMENT"), now: Column | None = None) -> DataFrame | None:
         now = F.current_timestamp() if now is None else now

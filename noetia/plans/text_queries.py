@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from noetia.engine import Engine, HashingEmbedding, embed
 from noetia.functions import expr as X
 from noetia.functions import text as T
 from noetia.operators import community, context, graph, resolve
@@ -290,3 +293,67 @@ def cache_lookup(s, d):
 def vector_blobs(s, d):
     v = table(s, d, "embeddings").select("vec_id", "embedding", stores.blob_to_vector(stores.vector_to_blob("embedding")).alias("back"))
     return v.select("vec_id", (F.col("embedding") == F.col("back")).alias("same"))
+
+
+# -- access logs, upserts, pipeline ----------------------------------------------------------------------------------------------
+@query("SELECT date_trunc('day', ts) AS day, user_id, count(*) AS n_accesses FROM events GROUP BY ALL")
+def access_windows(s, d):
+    e = table(s, d, "events").groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("n_accesses"))
+    return e.select(F.col("window.start").alias("day"), "user_id", "n_accesses")
+
+
+@query("SELECT event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def event_stream(s, d):
+    """Events through a stream into a table of the shared folder, and its sums."""
+    root = f"{shared_dir(s)}/events-{uuid.uuid4().hex}"
+    kinds = table(s, d, "events").schema
+    stream = s.readStream.schema(kinds).parquet(f"{d}/events*.parquet").select("event_id", "event_type", "value")
+    q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_HITS = "h AS (SELECT source_id AS id, count(*) AS hits FROM linked GROUP BY 1)"
+
+
+@query(W(N, E, L, _HITS) + f"SELECT n.id, coalesce(access_count, 0) + coalesce(hits, 0) AS access_count, epoch_us(CASE WHEN hits > 0 THEN greatest(accessed_at, {V.NOW_SQL}) ELSE accessed_at END) AS accessed_us FROM nodes n LEFT JOIN h ON h.id = n.id")
+def record_access(s, d):
+    hits = V.linked(s, d).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("hits"))
+    g = graph.MemoryGraph(V.nodes(s, d), V.edges(s, d)).record_access(hits, V.now())
+    return g.nodes.select("id", "access_count", F.unix_micros("accessed_at").alias("accessed_us"))
+
+
+@query(W(N) + "SELECT id, CASE WHEN importance >= 8 THEN 'reviewed' ELSE description END AS description FROM nodes")
+def upsert_nodes(s, d):
+    n = V.nodes(s, d)
+    new = n.where("importance >= 8").withColumn("description", F.lit("reviewed"))
+    return graph.MemoryGraph(n, V.edges(s, d)).add_nodes(new).nodes.select("id", "description")
+
+
+@query(W(N) + "SELECT id, array_to_string(list_sort(list_distinct(list_append(coalesce(aliases, []), name))), '|') AS aliases FROM nodes WHERE name IS NOT NULL")
+def alias_union(s, d):
+    a = F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))
+    return V.nodes(s, d).where("name is not null").select("id", F.array_join(F.array_sort(F.filter(a, lambda x: x.isNotNull())), "|").alias("aliases"))
+
+
+@query(W(N) + "SELECT id, array_to_string(list_filter(list_transform(string_split(description, ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM nodes WHERE description IS NOT NULL")
+def list_parts(s, d):
+    return V.nodes(s, d).where("description is not null").select("id", F.array_join(X.split_list("description"), "|").alias("parts"))
+
+
+@query()
+def ingest_pipeline(s, d):
+    """Chunk, extract and count: a row per document."""
+    return Engine(s, "pipeline", store=stores.ParquetStore(s, f"{shared_dir(s)}/pipeline")).extract(docs(s, d).select("doc_id", "text"), V.now())[2]
+
+
+@query()
+def embed_documents(s, d):
+    e = embed(docs(s, d), HashingEmbedding(), "doc_id", F.col("text"))
+    return e.select("id", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1), 4).alias("first"))
+
+
+@query()
+def json_to_text(s, d):
+    j = docs(s, d).where("modality = 'json'")
+    return T.chunk_table(j, lambda t, m: [(0, len(t), *T.json_text(t))]).select("source_id", F.md5("content").alias("content_hash"), F.element_at("metadata", "structured").alias("structured"))

@@ -74,3 +74,25 @@ def test_offline_embedding_is_stable():
     e = HashingEmbedding(16)
     assert e.embed(["some words"]) == e.embed(["some words"]) and e.embed([""]) == [None]
     assert time.time() > 0
+
+
+class Mock:
+    def __init__(self, reply):
+        self.reply = reply
+
+    def complete(self, prompt):
+        if prompt.startswith("Community"):
+            return self.reply
+        return "direct" if prompt.startswith("Context") else "combined"
+
+
+def test_answer_ladder(spark, tmp_path):
+    nodes = [("n1", "Graph Engine", "Product")]
+    for reply, want in (('{"answer": "sure", "confidence": 9}', ("sure", 0.9)), ('{"answer": "maybe", "confidence": 6}', ("combined", 0.4))):
+        e = Engine(spark, "m2", "u", store=stores.ParquetStore(spark, str(tmp_path / reply[12:15])), model=Mock(reply))
+        e.add_node(name=nodes[0][1], entity_type="Product")
+        assert e.answer("What is Graph Engine?", now=now()) == ("direct", 0.7)
+        c = spark.createDataFrame([("c1", "a"), ("c2", "b")], "community string, summary string")
+        got = e.answer("What is Graph Engine?", c, now())
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+    assert e.answer("zz")[1] in (0.0, 0.7)
