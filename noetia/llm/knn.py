@@ -110,9 +110,11 @@ class _Shard:
         if (n := np.count_nonzero(mask)) == 0:
             return
         if n > DENSE * mask.size:
-            full = np.hstack([x[:, FIRST_BLOCK:], 0.5 * np.ones((len(x), 0), np.float32)]) @ self.tail[:, lo:hi]
+            full = x[:, FIRST_BLOCK:] @ self.tail[:, lo:hi]
             full += part
             full -= self.head[FIRST_BLOCK, lo:hi][None, :]
+            if open_.any() and hi - lo > k + 1:  # such a query sets its bar by this list's own k + 1 best (one may be itself)
+                bar[open_] = np.partition(full[open_], -(k + 1), axis=1)[:, -(k + 1)] - 1e-6
             mask &= full > bar[:, None]
             i, j = np.nonzero(mask)
             score = full[i, j]

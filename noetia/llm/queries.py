@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar entities of every entity; a share of all lists is probed, as lone vectors have no near ones."""
-    near = knn.most_similar(table(spark, d, "entities"), margin=0.35, probes=18, max_lists=256)
+    near = knn.most_similar(table(spark, d, "entities"), margin=0.35, probes=16, max_lists=256)
     return near.select(F.col("id").alias("entity_id"), "neighbour", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("int").alias("rank"))
 
 
