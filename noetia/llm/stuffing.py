@@ -30,10 +30,10 @@ WINDOW, LONG = 16, 28
 
 # Frequent function words, and words of offers, in the corpus' languages
 FUNCTION_WORDS = frozenset(
-    "a an the and or but of to in on at by for with from as is are was were be been it its this that these those he she they we you i not no who which what when how than then there their his her our your has have had do does did will would can could may once only about into after before between until still nobody if so though any more over all say said let dont"
-    " le la les l un une des du de d et ou à au aux en dans sur pour par avec sans ce cet cette ces il elle ils elles on nous vous je ne pas que qui quoi dont où est sont était a ont été plus selon chez son sa ses leur se si faut être avait comme mais après avant"
-    " der die das den dem des ein eine einen einem einer und oder aber zu zum zur im am an auf bei mit von vom nach aus für über ist sind war waren wird wurde werden nicht kein keine er sie es wir ihr sich dass wie als wenn noch nur auch man hat haben hatte bis so um durch seit wer niemand"
-    " el los las lo al del y o pero con sin por para se su sus es son fue era ha han no que quien cual como cuando más muy ya este esta estos esa ese hay sobre entre hasta desde según otra nadie solo cerca".split()
+    "a an the and or but of to in on at by for with from as is are was were be been it its this that these those he she they we you i not no who which what when how than then there his her your have had do will about into after before between until still nobody if though said"
+    " le la les l un une des du de d et ou à au en dans sur pour par ce cet cette il elle on nous je ne pas que est sont était a selon chez son sa ses se si faut être avait après"
+    " der die das den dem des ein eine einen einem einer und oder aber zu zum zur im am an auf bei mit von vom nach aus für über ist sind war waren wird wurde werden nicht kein keine er sie es sich dass wie als wenn hat haben wer niemand"
+    " el los las lo al del y o pero con sin por para se su es son era ha han no que quien como cuando más este esta sobre entre hasta desde según otra nadie solo cerca".split()
 )
 OFFER_WORDS = frozenset(
     "buy cheap cheapest best price prices sale deal deals discount coupon coupons free shipping online review reviews original top near me order shop store offer offers promo code"
