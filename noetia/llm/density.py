@@ -1,9 +1,9 @@
-"""Grouping records into similarity clusters: density clustering over spatial cells with overlapping margins.
+"""Grouping records into similarity clusters: density clustering over all similar pairs.
 
-Unit vectors are reduced to their first rotated columns for the cells and for a first test of each pair. A vector goes to
-its own cell and to those cells within a margin, so that a cell sees every neighbour of its own vectors. Each cell
-clusters by itself around its own core vectors; clusters of different cells that share a core vector are one, found as
-connected components over (member, local cluster) links. The most typical members are those nearest the cluster's mean.
+A cell of nearest centres can't do: at cosine 0.85 a neighbour may lie in almost any cell (the bisecting planes of 124
+cells rule out 2% of them), so every pair of vectors is compared, block by block. The first rotated columns bound the
+distance from below and leave about one pair of a thousand to measure. The clusters are the connected components of core
+vectors, a border vector joins the one of its cores; the most typical members are those nearest the cluster's mean.
 """
 
 from __future__ import annotations
@@ -15,110 +15,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noetia.llm.vectors import Lists, copies, fit_lists, joined, representatives, unit_vectors, unpack
+from noetia.llm.vectors import copies, joined, representatives, unit_vectors, unpack
 from noetia.operators.components import connected_components
 from noetia.session import cut, norm_id
 
 MIN_COSINE, MIN_POINTS = 0.85, 3
-ROWS_PER_CELL = 1500
-MARGIN, CELLS = 0.13, 8
-#: Columns of the reduced vectors and the significance of the pair test on them (standard errors).
-REDUCED, EPSILON = 32, 2.6
-BLOCK = 2048
+#: Rows of a block at most; a small table has as many blocks as keep its tasks busy, of so many rows at least.
+BLOCK_ROWS, LEAST_ROWS, BLOCKS = 131_072, 2048, 6
+#: Columns of the reduced vectors; rows compared at once.
+REDUCED = 32
+TILE, WIDE = 1024, 4096
 #: A member must be similar to at least this share of its cluster's other members.
 MEMBER_SHARE = 0.5
 
 
-def _to_cells(lists: Lists, dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            row, cell, home = lists.probes(unpack(b.column(1), dim), MARGIN, CELLS)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.shard[cell].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), *(b.column(i).take(take) for i in range(3))],
-                names=["shard", "cell", "own", "id", "vec", "copied"],
-            )
+def _reduced(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first columns and half their squared length."""
+    head = np.ascontiguousarray(u[:, :REDUCED])
+    return head, 0.5 * np.einsum("ij,ij->i", head, head)
 
-    return run
 
+def close_vectors(u: np.ndarray, v: np.ndarray, same: bool, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of all pairs of cosine at least ``min_cosine``, i < j where ``v`` is ``u``.
 
-def _pairs(u: np.ndarray, lo: int, hi: int, own: np.ndarray, eps_cos: float):
-    """Similar pairs (i, j) of which i is in lo:hi and one of the cell's own."""
-    rows = np.flatnonzero(own[lo:hi]) + lo
-    if not len(rows):
-        return np.empty((2, 0), np.int64)
-    dim, x = u.shape[1], u[rows]
-    head = np.ascontiguousarray(u[:, :REDUCED])
-    length = np.einsum("ij,ij->i", head, head)
-    factor = (1 + EPSILON / np.sqrt(REDUCED)) ** 2 * REDUCED / dim
-    part = np.hstack([head[rows], np.ones((len(rows), 1), np.float32)]) @ np.hstack([head, -0.5 * length[:, None]]).T
-    i, j = np.nonzero(part > (0.5 * (length[rows] - factor * (2 - 2 * eps_cos)))[:, None])
-    keep = np.zeros(len(i), bool)
-    for a in range(0, len(i), 65_536):
-        s = slice(a, a + 65_536)
-        keep[s] = np.einsum("ij,ij->i", x[i[s]], u[j[s]]) >= eps_cos - 2e-6
-    i, j = rows[i[keep]], j[keep]
-    return np.stack([i[i != j], j[i != j]])
-
-
-def _local(dim: int, eps_cos: float, min_points: int):
-    """Per cell: (member, label, own, degree). The label is the smallest core of the local cluster; null for own vectors
-    that have neighbours but are in no local cluster."""
-
-    def cluster(ids: list[str], own: np.ndarray, u: np.ndarray, copied: np.ndarray):
-        p = [_pairs(u, lo, min(lo + BLOCK, len(u)), own, eps_cos) for lo in range(0, len(u), BLOCK)]
-        i, j = np.concatenate(p, axis=1)
-        # copies of a vector are neighbours too: one that has any counts twice
-        degree = np.bincount(i, weights=1.0 + copied[j], minlength=len(u)).astype(np.int64) + (copied & own)
-        core = degree >= min_points - 1  # only the cell's own vectors have pairs counted, and those completely
-        label = np.where(core, np.arange(len(u)), len(u))
-        from_core = core[i]
-        ci, cj = i[from_core], j[from_core]
-        while True:  # smallest label along links from cores
-            new = label.copy()
-            np.minimum.at(new, cj, label[ci])
-            back = core[cj]
-            np.minimum.at(new, ci[back], new[cj[back]])
-            if np.array_equal(new, label):
-                break
-            label = new
-        # borders must not join local clusters: their label above never flows back into a core
-        has = (label < len(u)) | (degree > 0)
-        at = np.flatnonzero(has)
-        lab = [ids[x] if x < len(u) else None for x in label[at]]
-        return [ids[x] for x in at], lab, own[at], degree[at]
+    The distance of the first columns is never more than the whole distance, so it rules out no similar pair.
+    """
+    (hu, lu), (hv, lv) = _reduced(u), _reduced(v)
+    left = np.hstack([hu, np.ones((len(u), 1), np.float32)])
+    right = np.hstack([hv, -lv[:, None]])
+    floor = lu - (1 - min_cosine) - 1e-5
+    for lo in range(0, len(u), TILE):
+        for at in range(lo if same else 0, len(v), WIDE):
+            near = left[lo : lo + TILE] @ right[at : at + WIDE].T >= floor[lo : lo + TILE, None]
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            i, j = i + lo, j + at
+            if same:
+                i, j = i[i < j], j[i < j]
+            for a in range(0, len(i), 65_536):
+                x, y = i[a : a + 65_536], j[a : a + 65_536]
+                ok = np.einsum("ij,ij->i", u[x], v[y]) >= min_cosine - 2e-6
+                yield x[ok], y[ok]
+
+
+def _block_links(dim: int, min_cosine: float):
+    """Per pair of blocks: (member, neighbour, copied: of the neighbour), both ways. Rows come sorted by ``lo``, ``hi``."""
+
+    def links(held):
+        lo, hi = held[0][0][:2]
+        side = []
+        for right in (False, True) if lo != hi else (False,):
+            got = [h for h in held if h[0][2] == right]
+            if not got:
+                return
+            side.append((pa.concat_arrays([h[1] for h in got]), np.concatenate([h[2] for h in got]), np.concatenate([h[3] for h in got])))
+        (ids, u, twin), (jds, v, jwin) = side[0], side[-1]
+        for i, j in close_vectors(u, v, lo == hi, min_cosine):
+            if len(i):
+                a, b = ids.take(pa.array(i)), jds.take(pa.array(j))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([a, b]), pa.concat_arrays([b, a]), pa.array(np.concatenate([jwin[j], twin[i]]))], names=["member", "neighbour", "copied"]
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-
-        def flush():
-            ids = pa.concat_arrays([h[0] for h in held]).to_pylist()
-            own = np.concatenate([h[1] for h in held])
-            u = np.concatenate([h[2] for h in held])
-            copied = np.concatenate([h[3] for h in held])
-            order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
-            m, lab, o, d = cluster([ids[x] for x in order], own[order], u[order], copied[order])
-            return pa.RecordBatch.from_arrays([pa.array(m, pa.string()), pa.array(lab, pa.string()), pa.array(o), pa.array(d.astype(np.int64))], names=["member", "label", "own", "degree"])
-
         for b in batches:
-            cell = b.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(cell) != 0) + 1
-            for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
-                if lo == hi:
+            lo, hi, block = (b.column(c).to_numpy() for c in range(3))
+            right = block != lo
+            edges = np.flatnonzero((np.diff(lo) != 0) | (np.diff(hi) != 0) | (np.diff(right) != 0)) + 1
+            for x, y in zip([0, *edges], [*edges, b.num_rows]):
+                if x == y:
                     continue
-                if cell[lo] != now:
+                if (lo[x], hi[x]) != now:
                     if held:
-                        yield flush()
-                    now, held = cell[lo], []
-                held.append((b.column(2).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool), unpack(b.column(3).slice(lo, hi - lo), dim), b.column(4).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)))
+                        yield from links(held)
+                    now, held = (lo[x], hi[x]), []
+                held.append(((*now, bool(right[x])), b.column(3).slice(x, y - x), unpack(b.column(4).slice(x, y - x), dim), b.column(5).slice(x, y - x).to_numpy(zero_copy_only=False).astype(bool)))
         if held:
-            yield flush()
+            yield from links(held)
 
     return run
 
 
+def similar_links(reps: DataFrame, n: int, min_cosine: float, dim: int) -> DataFrame:
+    """``member``, ``neighbour``, ``copied``: all pairs of the ``n`` representatives of cosine at least ``min_cosine``, both ways."""
+    blocks = max(-(-n // BLOCK_ROWS), min(BLOCKS, -(-n // LEAST_ROWS)), 1)
+    rows = reps.select("id", "vec", (F.col("id") != F.col("last_id")).alias("copied")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "vec", "copied")
+    # one partition a pair of blocks, numbered row by row of the upper triangle
+    cell = (F.col("lo") * F.lit(blocks) - F.col("lo") * (F.col("lo") - 1) / 2 + F.col("hi") - F.col("lo")).cast("int")
+    spread = rows.repartitionById(blocks * (blocks + 1) // 2, cell).sortWithinPartitions("lo", "hi", "block")
+    return spread.mapInArrow(_block_links(dim, min_cosine), "member string, neighbour string, copied boolean")
+
+
 def density_clusters(entities: DataFrame, min_cosine: float = MIN_COSINE, min_points: int = MIN_POINTS, dim: int = 64) -> DataFrame:
     """``cluster_id`` (its smallest id), ``entity_id``, ``size`` of every member of a cluster of at least ``min_points``.
 
@@ -131,18 +120,18 @@ def density_clusters(entities: DataFrame, min_cosine: float = MIN_COSINE, min_po
     reps = cut(representatives(vectors))
     n = reps.count()
     has_copies = reps.where("id <> last_id").limit(1).count() > 0
-    lists = fit_lists(reps, n, ROWS_PER_CELL, 4, dim)
-    copied = (F.col("id") != F.col("last_id")).alias("copied")
-    cells = reps.select("id", "vec", copied).mapInArrow(_to_cells(lists, dim), "shard int, cell int, own boolean, id string, vec binary, copied boolean")
-    by_cell = cells.repartitionById(lists.n_shards, "shard").sortWithinPartitions("cell").select("cell", "own", "id", "vec", "copied")
-    rows = cut(by_cell.mapInArrow(_local(dim, min_cosine, min_points), "member string, label string, own boolean, degree bigint"))
-    cores = rows.where(F.col("own") & (F.col("degree") >= min_points - 1)).select("member").distinct()
-    links = rows.where("label is not null").join(cores, "member", "left_semi")
-    comp = cut(connected_components(links.select(F.col("member").alias("src"), F.col("label").alias("dst"))))
-    border = (
-        rows.where("label is not null").join(cores, "member", "left_anti").join(comp.withColumnRenamed("node", "label"), "label").groupBy(F.col("member").alias("node")).agg(F.min("component").alias("component"))
-    )
-    degree = rows.where("own").groupBy(F.col("member").alias("node")).agg(F.max("degree").alias("degree"))
+    links = cut(similar_links(reps, n, min_cosine, dim))
+    # copies of a vector are neighbours too: one that has any counts twice
+    degree = links.groupBy(F.col("member").alias("node")).agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"))
+    twin = reps.where("id <> last_id").select(F.col("id").alias("node"), F.lit(1).alias("n"))
+    degree = cut(degree.union(twin).groupBy("node").agg(F.sum("n").alias("degree")))
+    cores = degree.where(F.col("degree") >= min_points - 1).select("node")
+    from_core = links.select("member", "neighbour").join(cores, F.col("member") == F.col("node"), "left_semi")
+    inner = from_core.join(cores, F.col("neighbour") == F.col("node"), "left_semi")
+    comp = cut(connected_components(inner.select(F.col("member").alias("src"), F.col("neighbour").alias("dst"))))
+    # borders must not join clusters; a core that has only borders is a cluster with them
+    comp = comp.union(cores.join(comp, "node", "left_anti").select("node", F.col("node").alias("component")))
+    border = from_core.join(cores, F.col("neighbour") == F.col("node"), "left_anti").join(comp, F.col("member") == F.col("node")).groupBy(F.col("neighbour").alias("node")).agg(F.min("component").alias("component"))
     member = comp.union(border).join(degree, "node", "left").select("node", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
     weight = reps.where("id <> last_id").select(F.col("id").alias("node"), F.lit(2).alias("w"))
     member = member.join(weight, "node", "left").withColumn("w", F.coalesce("w", F.lit(1)))

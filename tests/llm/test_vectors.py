@@ -107,3 +107,38 @@ def test_fit_is_bounded_and_lists_cover(spark):
     row, lst, home = lists.probes(v.astype(np.float32), 0.1, 3)
     assert set(row) == set(range(len(v))) and all(np.bincount(row) <= 3) and len(lst) == len(row)
     assert len(home) == pytest.approx(len(v))
+
+
+def test_no_member_is_lost_with_many_vectors(spark, tmp_path):
+    """Groups of three just above the radius, spread over all directions: nearest cells lose some of them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=(6000, 1, 64))
+    c /= np.linalg.norm(c, axis=2, keepdims=True)
+    v = (c + rng.normal(size=(6000, 3, 64)) * 0.046).reshape(-1, 64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = [f"id{i:05d}" for i in range(len(v))]
+    pq.write_table(pa.table({"id": ids, "embedding": pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    pairs = []
+    for lo in range(0, len(v), 2000):
+        i, j = np.nonzero(v[lo : lo + 2000] @ v.T >= 0.8501)
+        pairs += [(a + lo, b) for a, b in zip(i.tolist(), j.tolist()) if a + lo != b]
+    near = set(pairs)
+    whole = [g for g in range(6000) if all((3 * g + a, 3 * g + b) in near for a, b in ((0, 1), (0, 2), (1, 2)))]
+    got = {(r.cluster_id, r.entity_id) for r in density.density_clusters(spark.read.parquet(str(tmp_path / "e.parquet"))).collect()}
+    want = {(ids[3 * g], ids[3 * g + k]) for g in whole for k in range(3)}
+    assert len(want) > 1000 and want <= got
+
+
+def test_close_vectors_are_all_pairs():
+    rng = np.random.default_rng(12)
+    c = np.repeat(rng.normal(size=(40, 64)), 30, axis=0)
+    u = (c + rng.normal(size=c.shape) * 0.35).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for v, same in ((u, True), (u[:700], False)):
+        s = u @ v.T
+        want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.85)) if not same or i < j}
+        got = [(i, j) for x, y in density.close_vectors(u, v, same, 0.85) for i, j in zip(x, y)]
+        assert len(got) == len(set(got)) and {p for p in set(got) ^ want if abs(s[p] - 0.85) > 1e-5} == set() and want
