@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noetia.operators.components import connected_components
@@ -30,8 +30,8 @@ PIVOT_SHARE, PIVOT_MEMORIES = 0.001, 4
 GIVEN_RADIUS = 1
 #: An alias used in so many memories says nothing about an entity.
 VAGUE_MEMORIES = 4
-#: Ids with one and the same name that are paired with every id of a variant; further ones are paired with the first.
-PAIRED_IDS = 64
+#: Ids of one class in a block: the pairs of a larger class are spread over pairs of blocks.
+BLOCK_IDS = 1024
 
 # Fixed values
 TITLES = frozenset("mr mrs ms miss dr prof professor herr frau sra sr mme mlle monsieur madame don dona ing sir lady".split())
@@ -466,9 +466,8 @@ def name_classes(entities: DataFrame, nicknames: DataFrame) -> tuple[DataFrame,
 def name_pairs(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     """``id_a`` < ``id_b``: entities of one memory and type that are the same under different names.
 
-    See :func:`name_classes`. Of the ids that bear one and the same name the ``PAIRED_IDS`` smallest are paired with every
-    id of that kind under each variant; the others are paired with the smallest id of each variant, so no link between
-    different names is lost and copies aren't multiplied. Empty tables give no rows.
+    See :func:`name_classes`. Every id is paired with every id under another name of its class, so the rows of a class grow
+    with the product of its names' ids. A large class is spread over pairs of blocks. Empty tables give no rows.
     """
     names, classes = name_classes(entities, nicknames)
     named = names.join(classes, "node")
@@ -476,9 +475,10 @@ def name_pairs(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     named = named.join(size, "class")
     ids = entities.select(norm_id("id").alias("id"), norm_id("memory_id").alias("memory_id"), F.lower(F.btrim("entity_type", F.lit(BLANKS))).alias("kind"), "name").where("id is not null")
     member = cut(ids.join(named, ["memory_id", "kind", "name"]).select("class", "name", "id").distinct())
-    member = member.withColumn("n", F.row_number().over(Window.partitionBy("class", "name").orderBy("id")))
-    a, b = member.alias("a"), member.alias("b")
-    near = (F.col("a.n") <= PAIRED_IDS) & (F.col("b.n") <= PAIRED_IDS)
-    far = (F.col("a.n") > PAIRED_IDS) & (F.col("b.n") == 1)
-    x = a.join(b, (F.col("a.class") == F.col("b.class")) & (F.col("b.n") <= PAIRED_IDS)).where((F.col("a.name") != F.col("b.name")) & (near | far))
-    return x.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).where("id_a <> id_b").distinct()
+    blocks = member.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK_IDS)).cast("int").alias("blocks"))
+    member = member.join(blocks, "class").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = member.select("class", F.col("own").alias("block_a"), other.alias("block_b"), F.col("name").alias("name_a"), F.col("id").alias("id_a"))
+    b = member.select("class", other.alias("block_a"), F.col("own").alias("block_b"), F.col("name").alias("name_b"), F.col("id").alias("id_b"))
+    x = a.join(b, ["class", "block_a", "block_b"]).where((F.col("name_a") != F.col("name_b")) & (F.col("id_a") < F.col("id_b")))
+    return x.select("id_a", "id_b").distinct()

@@ -105,3 +105,13 @@ def test_copies_of_a_name_stay_linear(spark):
     nick = spark.createDataFrame([("Elizabeth", "Liz")], "given_name string, nickname string")
     got = N.name_pairs(spark.createDataFrame(rows, E), nick)
     assert got.count() == 300 and {r.id_b for r in got.collect()} == {"v1"}
+
+
+def test_every_pair_of_ids_under_two_names_comes_out(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_IDS", 30, raising=False)
+    ids = {name: [f"{name[-1]}{i:03d}" for i in range(n)] for name, n in (("Elizabeth Praskarperar", 90), ("Elizabeth Praskarprea", 80))}
+    rows = [(x, "m", "Person", name, None, "", "", "") for name, xs in ids.items() for x in xs]
+    nick = spark.createDataFrame([("Elizabeth", "Liz")], "given_name string, nickname string")
+    got = [tuple(r) for r in N.name_pairs(spark.createDataFrame(rows, E), nick).collect()]
+    want = {tuple(sorted(p)) for p in itertools.product(*ids.values())}
+    assert len(got) == len(set(got)) and set(got) == want
