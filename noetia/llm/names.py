@@ -2,7 +2,8 @@
 
 Metric-space partitioning: the pivots are the given names and the branch words that recur in the table; a name goes to
 the cell of its pivot within its memory and type, and by the triangle inequality also to every pivot that a name within
-the search radius could have chosen. Inside a cell the distinctive part (surname, company core) is joined exactly within
+the search radius could have chosen. A given name that is near no pivot goes to those pivots as well, and to one cell for
+each string left of its surname by the deletions its radius allows, so two rare given names meet too. Inside a cell the distinctive part (surname, company core) is joined exactly within
 a radius of the Damerau-Levenshtein metric. Forms that leave a part out (initials, acronyms, no branch) link only where
 they fit one entity. The links' connected components are the entities.
 """
@@ -119,12 +120,15 @@ class Lexicon:
         self.near_given = lru_cache(200_000)(self._near_given)
         self.near_branch = lru_cache(200_000)(self._near_branch)
 
+        self.far_given = lru_cache(200_000)(self._far_given)
+
     def __getstate__(self):
         return {"nick": self.nick, "given": self.given, "branch": self.branch}
 
     def __setstate__(self, s):
         self.__dict__.update(s)
         self.near_given = lru_cache(200_000)(self._near_given)
+        self.far_given = lru_cache(200_000)(self._far_given)
         self.near_branch = lru_cache(200_000)(self._near_branch)
 
     def _near_given(self, t: str) -> tuple[tuple[str, ...], bool]:
@@ -145,6 +149,19 @@ class Lexicon:
             out, known = out + [g for g in short if g not in out], known or bool(short)
         return tuple(out), known
 
+    def _far_given(self, t: str) -> tuple[str, ...]:
+        """Pivots that a name within the radius of ``t``, which is near none itself, could have chosen."""
+        out = {g for g in self.given if edit_distance(g, t, 2 + GIVEN_RADIUS) <= 2 + GIVEN_RADIUS}
+        out |= {g for n, full in self.nick.items() if edit_distance(n, t, GIVEN_RADIUS) <= GIVEN_RADIUS for g in full}
+        for g in self.given - out:  # short forms: a part of the pivot, or its beginning and an ending
+            sizes = range(max(3, len(t) - GIVEN_RADIUS), min(len(g), len(t) + GIVEN_RADIUS) + 1)
+            stem = t.rstrip("yieao")
+            if any(edit_distance(g[i : i + k], t, GIVEN_RADIUS) <= GIVEN_RADIUS for k in sizes for i in range(len(g) - k + 1)) or (
+                len(t) > 3 and any(edit_distance(g[:k], stem, GIVEN_RADIUS) <= GIVEN_RADIUS for k in range(3, min(len(g), len(stem) + GIVEN_RADIUS) + 1))
+            ):
+                out.add(g)
+        return tuple(sorted(out))
+
     def _near_branch(self, t: str) -> tuple[str, ...]:
         if t in self.branch:
             return (t,)
@@ -261,6 +278,19 @@ def parse_organisation(name: str, lex: Lexicon) -> Form | None:
     return Form(core, branch[0] if branch else None, acronyms=tuple(a for a in acr if len(a) >= 4))
 
 
+#: Marks a lead that is near no pivot.
+RARE = "~"
+
+
+def deletions(s: str, most: int) -> set[str]:
+    """What is left of ``s`` by up to ``most`` deletions. Strings within a distance of ``most`` have one in common."""
+    out = edge = {s}
+    for _ in range(most):
+        edge = {x[:i] + x[i + 1 :] for x in edge for i in range(len(x))}
+        out = out | edge
+    return out
+
+
 #: A row of a cell: who is written so, how it is written, whether a part is left out.
 CELL = "memory_id string, kind string, pivot string, node string, part string, lead string, exact boolean, middle string, suffix string, weak boolean"
 
@@ -278,9 +308,12 @@ def cells_of(form: Form, kind: str, lex: Lexicon) -> list[tuple[str, str, str, b
             return [(g, form.part, form.initial, False, form.middle, form.suffix, True) for g in pivots]
         pivots, known = lex.near_given(form.lead)
         if not known:
-            pivots = (form.lead,)
+            rare = [f"{form.lead[0]}.", *lex.far_given(form.lead), *(f"~{x}" for x in sorted(deletions(form.part, radius(form.part))))]
+            return [(g, form.part, RARE + form.lead, False, form.middle, form.suffix, False) for g in rare]
+        if all(g[0] != form.lead[0] for g in pivots):  # an initial goes to the pivots of its letter
+            out.append((f"{form.lead[0]}.", form.part, form.lead, False, form.middle, form.suffix, False))
         short = form.lead in lex.nick or (known and form.lead not in lex.given and any(form.lead in g for g in pivots))
-        return [(g, form.part, form.lead, short or form.lead == g, form.middle, form.suffix, False) for g in pivots]
+        return out + [(g, form.part, form.lead, short or form.lead == g, form.middle, form.suffix, False) for g in pivots]
     if form.lead is None:
         return [*out, ("*", form.part, "", True, "", "", False), *((b, form.part, "", False, "", "", True) for b in sorted(lex.branch))]
     return out + [(b, form.part, b, True, "", "", False) for b in form.lead.split("|")]
@@ -351,6 +384,10 @@ def _compatible(x: tuple, y: tuple, d: int) -> bool:
         return d <= 1
     if lx == ly or (ex and ey):
         return True
+    if lx[:1] == RARE or ly[:1] == RARE:  # no pivot vouches for it: only a typo
+        a, b = lx.removeprefix(RARE), ly.removeprefix(RARE)
+        most = min(radius(a), radius(b), GIVEN_RADIUS)
+        return edit_distance(a, b, most) <= most
     g = edit_distance(lx, ly, 3)
     return g <= (2 if max(len(lx), len(ly)) >= 5 else 1) + 1 and g + d <= 3 if not (ex or ey) else g + d <= 3 or ((ex or ey) and d <= 2)
 
@@ -362,6 +399,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         kind, pivot = now[1], now[2]
         acronym = pivot.startswith("=")
+        if pivot.startswith(RARE):
+            pivot = RARE  # the same link is found in many such cells
         if acronym:
             rows = [(node, k) for k, nodes in held.items() for node in nodes]
             short, full = [n for n, k in rows if k[1][4]], [n for n, k in rows if not k[1][4]]

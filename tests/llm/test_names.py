@@ -115,3 +115,20 @@ def test_every_pair_of_ids_under_two_names_comes_out(spark, monkeypatch):
     got = [tuple(r) for r in N.name_pairs(spark.createDataFrame(rows, E), nick).collect()]
     want = {tuple(sorted(p)) for p in itertools.product(*ids.values())}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rare_given_names_meet(spark):
+    """Given names that are no pivots: a typo in one, in the surname, or an initial."""
+    people = [("a", ["Xiomara Lopezan", "Xiomra Lopezan", "Xiomara Lopzean", "X. Lopezan"]), ("b", ["Quillon Lopezan"]), ("c", ["Thorsa Vandermeer", "Thorsa Vandremer"]), ("d", ["Thorvi Vandermeer"]), ("e", ["Hannes Skolbrad", "H. Skolbrad"])]
+    rows = [(f"{c}{i}", "m", "Person", x, None, "", "", "") for c, ns in people for i, x in enumerate(ns)]
+    nick = spark.createDataFrame([("Johannes", "Hannes")], "given_name string, nickname string")
+    got = {(r.id_a, r.id_b) for r in N.name_pairs(spark.createDataFrame(rows, E), nick).collect()}
+    ids = sorted(r[0] for r in rows)
+    assert got == {(x, y) for x, y in itertools.combinations(ids, 2) if x[0] == y[0]}
+
+
+@given(st.text("abcd", min_size=5, max_size=9), st.text("abcd", min_size=5, max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_strings_within_the_radius_share_a_deletion(a, b):
+    r = min(N.radius(a), N.radius(b))
+    assert N.edit_distance(a, b) > r or N.deletions(a, r) & N.deletions(b, r)
