@@ -70,10 +70,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(0.0))
 
 
+#: White space as Unicode has it; ``\s`` alone is that of ASCII.
+_SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def retrieval_tokens(c: Column | str) -> Column:
     """White-space words without punctuation at their ends, longer than two bytes, lower case, distinct."""
-    words = F.transform(F.split(F.lower(col(c)), r"\s+"), lambda w: F.btrim(w, F.lit(".,!?;:'\"")))
-    return F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > 2))
+    words = F.transform(F.split(col(c), _SPACES), lambda w: F.btrim(w, F.lit(".,!?;:'\"")))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.octet_length(w) > 2), F.lower))
 
 
 def clean_text(c: Column | str) -> Column:

@@ -86,6 +86,13 @@ def retrieval_tokens(s, d):
     return t.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("w"), " ")).alias("token_hash"))
 
 
+@query()
+def retrieval_tokens_all(s, d):
+    """As retrieval_tokens, over every text; its SQL holds for ASCII only, where lower case and white space are alike."""
+    t = docs(s, d).where("text is not null").select("doc_id", X.retrieval_tokens("text").alias("w"))
+    return t.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("w"), " ")).alias("token_hash"))
+
+
 @query("SELECT doc_id, CASE WHEN ext = '' THEN CASE WHEN regexp_matches(u, '^https?://') THEN 'webpage' ELSE 'text' END ELSE coalesce(map_extract_value(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.EXTENSIONS.items()) + "}, ext), CASE WHEN regexp_matches(u, '^https?://') THEN 'webpage' ELSE 'text' END) END AS modality FROM (SELECT doc_id, coalesce(source_uri, '') AS u, regexp_extract(lower(coalesce(source_uri, '')), '(\\.[^./\\\\]+)$', 1) AS ext FROM documents)")
 def detect_modality(s, d):
     return docs(s, d).select("doc_id", X.detect_modality("source_uri").alias("modality"))
@@ -257,6 +264,13 @@ def context_budget(s, d):
     return context.within_budget(n, "memory_id", [F.desc("importance"), F.col("id")], context.entity_line(), 500).select("memory_id", "id", "tokens", "used")
 
 
+@query()
+def context_budget_all(s, d):
+    """As context_budget, with the entities whose description is cut to 200 bytes."""
+    n = V.nodes(s, d).where("name is not null and importance is not null")
+    return context.within_budget(n, "memory_id", [F.desc("importance"), F.col("id")], context.entity_line(), 500).select("memory_id", "id", "tokens", "used")
+
+
 @query()
 def context_window(s, d):
     c = context.context_windows(V.nodes(s, d), V.linked(s, d), V.clusters(s, d), docs(s, d), "Who founded Apple?")

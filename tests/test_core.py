@@ -230,3 +230,24 @@ def test_config_and_errors():
     assert (c.top_k, c.min_similarity, c.auto_evolve) == (7, 0.5, True)
     assert RateLimitError("slow").recoverable and not StorageError("x").recoverable and "[STORAGE]" in str(StorageError("x", cause=ValueError("y")))
     assert math.isclose(sum(context.SHARES), 1)
+
+
+def test_queries_over_all_texts_and_descriptions(spark, tmp_path):
+    import hashlib
+    import re
+
+    from noetia.plans.text_queries import QUERIES
+
+    texts = ["Plain words, here. Words", "Élan vital : « Straße » été; ÉLAN", "“quoted” it’s", "", "año　nuevo"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, t in enumerate(texts):
+        w = {x.lower() for x in (y.strip(".,!?;:'\"") for y in re.split(r"\s+", t)) if len(x.encode()) > 2}
+        want.add((i, len(w), hashlib.md5(" ".join(sorted(w)).encode()).hexdigest()))
+    assert {tuple(r) for r in QUERIES["retrieval_tokens_all"](spark, str(tmp_path)).collect()} == want
+    nodes = [("a", "m", "u", "n1", 8, "d" * 300), ("b", "m", "u", "n2", 6, None), ("c", "m", "u", "n3", 5, "d" * 200)]
+    spark.createDataFrame(nodes, "id string, memory_id string, user_id string, name string, importance int, description string").write.parquet(str(tmp_path / "entities.parquet"))
+    line = lambda name, text: (len("- " + name + ": ") + (len(text) if len(text) <= 200 else 203)) // 4
+    t = [line("n1", "d" * 300), line("n2", "n2"), line("n3", "d" * 200)]
+    got = {tuple(r) for r in QUERIES["context_budget_all"](spark, str(tmp_path)).collect()}
+    assert got == {("m", x, n, sum(t[: k + 1])) for k, (x, n) in enumerate(zip("abc", t))}
