@@ -2,7 +2,7 @@
 
 A cell of nearest centres can't do: at cosine 0.85 a neighbour may lie in almost any cell (the bisecting planes of 124
 cells rule out 2% of them), so every pair of vectors is compared, block by block. The first rotated columns bound the
-distance from below and leave about one pair of a thousand to measure. The clusters are the connected components of core
+distance from below, and only the pairs that they leave are measured. The clusters are the connected components of core
 vectors, a border vector joins the one of its cores; the most typical members are those nearest the cluster's mean.
 """
 
