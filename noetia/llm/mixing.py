@@ -1,9 +1,9 @@
 """Mixing sources to target weights.
 
 Each source's documents are laid end to end in a pseudorandom order and cut into blocks of ``BLOCK_TOKENS`` tokens. The
-output is shards of ``SHARD_BLOCKS`` slots. How many slots of a shard each source gets is drawn multinomially without
-replacement from the sources' quotas, down a binary tree of the shards, so any shard can be drawn by itself and the
-totals are exact. A source's slots run through pseudorandom permutations of its blocks, one per repetition, and the
+output is shards of ``SHARD_BLOCKS`` slots. How many slots of a shard each source gets is a multinomial draw on condition
+that the shards add up to the sources' quotas, which is a draw without replacement. It runs down a binary tree of the
+shards, so any shard can be drawn by itself, at any number of shards in the same way. A source's slots run through pseudorandom permutations of its blocks, one per repetition, and the
 blocks are joined by their index.
 """
 
@@ -25,8 +25,8 @@ BLOCK_TOKENS, SHARD_BLOCKS = 1024, 256
 SEED = 9_2024
 #: Buckets of a source's documents: prefix sums run within a bucket and over the buckets' totals.
 BUCKETS = 4096
-#: Above this many slots a tree node splits in proportion instead of by a draw.
-DRAWN = 400_000_000
+#: Standard deviations around the mode within which a count is drawn; what lies beyond has no weight in double precision.
+TAIL = 12
 
 
 def source_name(c: Column) -> Column:
@@ -67,18 +67,37 @@ def quotas(shares: dict[str, float], repeats: dict[str, float], blocks: dict[str
     return Plan(tuple(names), tuple(blocks[s] for s in names), tuple(got[s] for s in names))
 
 
+def drawn(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` draws without replacement from ``good + bad`` are good: inversion around the mode.
+
+    Neighbouring probabilities have a simple ratio, so no factorials are needed and any size of numbers will do.
+    """
+    lo, hi = max(0, n - bad), min(good, n)
+    if lo == hi:
+        return lo
+    total = good + bad
+    p = good / total
+    reach = int(TAIL * math.sqrt(n * p * (1 - p) * (total - n) / max(total - 1, 1))) + TAIL
+    mode = (n + 1) * (good + 1) // (total + 2)
+    lo, hi = max(lo, mode - reach), min(hi, mode + reach)
+    k = np.arange(lo, hi, dtype=np.float64)
+    ratio = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    weight = np.concatenate([[0.0], np.cumsum(ratio)])
+    below = np.cumsum(np.exp(weight - weight.max()))
+    return lo + int(np.searchsorted(below, rng.random() * below[-1], "right"))
+
+
 def split_counts(counts: np.ndarray, left: int, seed: tuple[int, ...]) -> np.ndarray:
-    """How many of each source fall into the first ``left`` of all slots."""
-    total = int(counts.sum())
-    if left >= total:
+    """How many of each source fall into the first ``left`` of all slots, source by source."""
+    rest = int(counts.sum())
+    if left >= rest:
         return counts.copy()
-    if total <= DRAWN:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, left, method="marginals")
-    share = counts * (left / total)
-    out = np.floor(share).astype(np.int64)
-    short = left - int(out.sum())
-    out[np.argsort(out - share, kind="stable")[:short]] += 1
-    return np.minimum(out, counts)
+    rng = np.random.default_rng(seed)
+    out = np.zeros_like(counts)
+    for i, c in enumerate(counts.tolist()):
+        out[i] = drawn(c, rest - c, left, rng)
+        rest, left = rest - c, left - int(out[i])
+    return out
 
 
 def shard_counts(plan: Plan, shard: int, memo: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +210,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     plan = quotas({r["source"]: r["target_share"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows}, blocks, None if total_tokens is None else -(-total_tokens // BLOCK_TOKENS))
     spark = documents.sparkSession
     shards = spark.range(0, plan.n_shards, 1, min(max(1, plan.n_shards), 4 * spark.sparkContext.defaultParallelism))
-    slots = shards.mapInArrow(_slots(plan), SLOT)
+    # the slots are as many as the blocks of the output, which their plan's size estimate doesn't show: no broadcast
+    slots = shards.mapInArrow(_slots(plan), SLOT).hint("merge")
     mixed = slots.join(segments(counted), ["source", "block"]).select("shard", "slot", "source", "repetition", "block", "doc_id", "token_from", "token_to")
     used = mixed.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used_tokens"))
     total = used.agg(F.sum("used_tokens").alias("all_tokens"))
