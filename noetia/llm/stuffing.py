@@ -8,9 +8,10 @@ sample: confident rules label some lines, their counts give the first model, and
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -23,8 +24,9 @@ from noetia.llm.tokens import spread
 
 STATES = ("prose", "links", "tags", "menu", "record")
 PROSE, LINKS, TAGS, MENU, RECORD = range(5)
-#: Documents the model is fitted on at most, the smallest by a hash of their id.
+#: Documents the model is fitted on: about so many, chosen by a hash of id and text (twice as many at the very most).
 FIT_DOCS, ROUNDS = 4000, 3
+_SHARES = 2**30
 MOST_NON_PROSE = 0.5
 WINDOW, LONG = 16, 28
 
@@ -228,7 +230,7 @@ def _estimate(pages: list[np.ndarray], labels: list[np.ndarray]) -> Model:
     return Model(norm(start), norm(move), [norm(e) for e in emit])
 
 
-def fit(texts: list[str]) -> Model:
+def fit(texts: Iterable[str]) -> Model:
     """A model from the texts; units that the rules label stay so while the others are re-estimated."""
     pages = [observe(u) for t in texts if t and (u := units(t))]
     sure = [confident(x) for x in pages]
@@ -241,13 +243,29 @@ def fit(texts: list[str]) -> Model:
 LABELS = "doc_id {}, n_words double, prose double, links double, tags double, menu double, record double, non_prose double"
 
 
+def fit_model(docs: DataFrame, n: int, fit_docs: int = FIT_DOCS) -> Model:
+    """The model of about ``fit_docs`` of the ``n`` rows of ``docs(doc_id, text)``.
+
+    A row is in the sample if its hash is below a threshold, so only the sample leaves the scan. One task observes it text
+    by text and fits the model; the driver gets the model alone, a few kilobytes whatever the size of the table.
+    """
+    share = int(_SHARES * min(1.0, fit_docs / max(n, 1)))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SHARES)) < share).select("text").limit(2 * fit_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(t for b in batches for t in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = chosen.repartition(1).mapInArrow(run, "model binary").first()
+    return fit([]) if got is None else pickle.loads(got["model"])
+
+
 def label_pages(documents: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """Words of each kind per document with text: doc_id, n_words, one column per state, non_prose (share of link lists,
     tag lists and menus). Null, empty and blank texts give no rows; repeated texts are judged each; whole texts are read.
     An empty table gives no rows."""
     docs = documents.select("doc_id", "text").where("trim(text) <> ''")
-    sample = [r["text"] for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).collect()]
-    model = fit(sample)
+    model = fit_model(docs, documents.count(), fit_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -77,6 +77,20 @@ def test_counts_of_shards_are_exact():
     assert all((b == np.sum([c for _, c in got[:i]], axis=0)).all() for i, (b, _) in enumerate(got) if i)
 
 
+def test_counts_follow_the_hypergeometric_law():
+    from math import comb
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((5, 7, 6), (1, 30, 4), (40, 2, 41), (0, 5, 3)):
+        got = np.bincount([M.drawn(good, bad, n, rng) for _ in range(4000)], minlength=n + 1) / 4000
+        want = [comb(good, k) * comb(bad, n - k) / comb(good + bad, n) if k <= good and n - k <= bad else 0 for k in range(n + 1)]
+        assert np.abs(got - want).max() < 0.035
+    big = [M.drawn(3 * 10**11, 7 * 10**11, 5 * 10**11, rng) for _ in range(3)]  # no other rule for large numbers
+    assert all(abs(x - 1.5 * 10**11) < 3_000_000 for x in big) and len(set(big)) == 3
+
+
 def test_mixture_shares_caps_and_coverage(spark):
     r = random.Random(2)
     rows = [(i, s, "word " * r.randint(1, 4000)) for i, s in enumerate(["Big-Source"] * 120 + ["small", "SMALL "] * 6 + ["tiny"] * 3 + ["other"] * 5 + [None] * 3)]
@@ -135,6 +149,8 @@ def test_pages_are_told_apart(spark):
     assert len([i for i in found if 0 <= i < 10_000]) <= 0.01 * len(good)
     assert {r.doc_id for r in labels.collect()}.isdisjoint({-1, -2, -3})
     assert P.stuffed_pages(P.label_pages(d.limit(0))).collect() == []
+    few = P.fit_model(d.select("doc_id", "text").where("text <> ''"), 100 * len(rows), 100)  # about one text
+    assert [e.shape for e in few.emit] == [(5, s) for s in P.SIZES]
 
 
 def test_viterbi_equals_exhaustive_search():
