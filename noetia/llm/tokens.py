@@ -211,10 +211,9 @@ def vocabulary_path(name: str = VOCABULARY, folder: str = TOKENIZERS) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions for all cores where a table comes in a few files."""
-    spark = df.sparkSession
-    want = 2 * spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    """Enough partitions for all cores where a table comes in fewer files than there are cores; else the scan's own."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
