@@ -46,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         return was.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="noetia-"))
+    if sc.applicationId not in _own_dirs:
+        _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="noetia-")
+    return _own_dirs[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Protocol
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,96 +14,235 @@ from noetia.functions import expr as X
 from noetia.functions import text as T
 from noetia.operators.graph import MemoryGraph, touching, with_known_ends
 from noetia.schemas import CLUSTERS, EDGES, NODES, StorageError
+from noetia.session import cut, drop_cut
 
 
 class Store(Protocol):
     def save(self, graph: MemoryGraph) -> None: ...
     def load(self, memory_id: str, user_id: str = "") -> MemoryGraph | None: ...
     def delete(self, memory_id: str) -> None: ...
+    def clear(self, memory_id: str) -> None: ...
     def list(self) -> DataFrame: ...
+    def close(self) -> None: ...
     def health(self) -> bool: ...
 
 
+class Cache(Protocol):
+    def put(self, rows: DataFrame, now: Column, ttl_seconds: int = 3600) -> None: ...
+    def get(self, keys: DataFrame, now: Column) -> DataFrame: ...
+    def invalidate(self, prefix: str = "") -> None: ...
+
+
 class ParquetStore:
-    """A folder of parquet tables partitioned by memory: a save replaces the memory's partitions, a load prunes to them."""
+    """A folder of parquet tables. A save writes a new version of the memory beside the current one and then commits it by
+    making one marker file, so a memory that is being read, or saved from itself, is never lost; a load prunes to the folder
+    of the last version committed. The version before it is kept until the next save, for graphs that were loaded from it."""
+
+    TABLES = ("nodes", "edges", "clusters")
 
     def __init__(self, spark: SparkSession, path: str, keep_dangling: bool = True):
         self.spark, self.path, self.keep_dangling = spark, path.rstrip("/"), keep_dangling
 
-    def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
-    def _write(self, df: DataFrame, name: str, memory_id: str) -> None:
-        part = df.drop("memory_id").withColumn("memory_id", F.lit(memory_id))
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("memory_id").parquet(f"{self.path}/{name}")
+    def _marks(self, memory_id: str) -> str:
+        return f"{self.path}/_versions/{quote(memory_id, safe='')}"
+
+    def _folder(self, name: str, memory_id: str, version: int) -> str:
+        return f"{self.path}/{name}/{quote(memory_id, safe='')}/{version:012d}"
+
+    def version(self, memory_id: str) -> int:
+        """The last version committed, 0 for none."""
+        return max((int(x) for x in self._names(self._marks(memory_id))), default=0)
 
     def save(self, graph: MemoryGraph) -> None:
         if not graph.memory_id:
             raise StorageError("a memory without an id can't be saved")
         edges = graph.edges if self.keep_dangling else with_known_ends(graph.edges, graph.nodes)
-        for name, df in (("nodes", graph.nodes), ("edges", edges), ("clusters", graph.clusters)):
-            if df is not None:
-                self.delete_part(name, graph.memory_id)
-                self._write(df, name, graph.memory_id)
-
-    def delete_part(self, name: str, memory_id: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/memory_id={memory_id}")
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-    def _read(self, name: str, schema, memory_id: str) -> DataFrame:
-        if not self._exists(name):
+        m, was = graph.memory_id, self.version(graph.memory_id)
+        for name, df, schema in zip(self.TABLES, (graph.nodes, edges, graph.clusters), (NODES, EDGES, CLUSTERS)):
+            if df is None:
+                df = self._read(name, schema, m, was)
+            df.withColumn("memory_id", F.lit(m)).write.mode("overwrite").parquet(self._folder(name, m, was + 1))
+        fs, mark = self._fs(f"{self._marks(m)}/{was + 1}")
+        fs.create(mark, True).close()
+        for old in self._names(self._marks(m)):
+            if int(old) < was:
+                self._drop(m, int(old))
+
+    def _drop(self, memory_id: str, version: int) -> None:
+        for path in (f"{self._marks(memory_id)}/{version}", *(self._folder(n, memory_id, version) for n in self.TABLES)):
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
+    def _read(self, name: str, schema, memory_id: str, version: int) -> DataFrame:
+        if not version:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("memory_id") == memory_id)
+        return self.spark.read.schema(schema).parquet(self._folder(name, memory_id, version))
 
     def load(self, memory_id: str, user_id: str = "", valid_at: Column | None = None) -> MemoryGraph | None:
         """Nodes of the user and those without one, and the edges among them; None where the memory is unknown."""
-        nodes = self._read("nodes", NODES, memory_id)
-        edges = self._read("edges", EDGES, memory_id)
-        if not nodes.limit(1).count() and not edges.limit(1).count():
+        version = self.version(memory_id)
+        if not version:
             return None
+        nodes, edges = (self._read(n, s, memory_id, version) for n, s in (("nodes", NODES), ("edges", EDGES)))
         if user_id:
             nodes = nodes.where(X.tenant(user_id))
             edges = touching(edges, nodes, "both")
         if valid_at is not None:
             edges = edges.where(X.valid_at(valid_at))
-        return MemoryGraph(nodes, edges, self._read("clusters", CLUSTERS, memory_id), memory_id)
+        return MemoryGraph(nodes, edges, self._read("clusters", CLUSTERS, memory_id, version), memory_id)
 
     def delete(self, memory_id: str) -> None:
-        for name in ("nodes", "edges", "clusters"):
-            self.delete_part(name, memory_id)
+        fs, p = self._fs(self._marks(memory_id))
+        fs.delete(p, True)  # the memory is gone from here on
+        for name in self.TABLES:
+            fs, p = self._fs(f"{self.path}/{name}/{quote(memory_id, safe='')}")
+            fs.delete(p, True)
 
     clear = delete
 
     def list(self) -> DataFrame:
-        if not self._exists("nodes"):
-            return self.spark.createDataFrame([], "memory_id string")
-        return self.spark.read.schema(NODES).parquet(f"{self.path}/nodes").select("memory_id").distinct()
+        ids = [(unquote(x),) for x in self._names(f"{self.path}/_versions")]
+        return self.spark.createDataFrame(ids, "memory_id string")
+
+    def close(self) -> None:
+        """Nothing is held open."""
 
     def health(self) -> bool:
-        return True
+        """Whether the folder's file system answers."""
+        fs, p = self._fs(self.path)
+        return fs.exists(p) or fs.mkdirs(p)
 
 
 class JdbcStore:
-    """The same tables in a database; filters are pushed to it."""
+    """The same tables in a database; filters are pushed to it. Vectors are stored as bytes, lists as JSON.
+
+    A save goes to staging tables first; one transaction then replaces the memory's rows, so a second save doubles nothing
+    and a failed one leaves the rows as they were.
+    """
+
+    SCHEMAS = {"nodes": NODES, "edges": EDGES, "clusters": CLUSTERS}
+    #: Columns that a database must be able to compare.
+    KEYS = ("id", "memory_id", "user_id", "source_id", "target_id", "state")
 
     def __init__(self, spark: SparkSession, url: str, **options: str):
         self.spark, self.url, self.options = spark, url, options
 
+    def _run(self, *statements: str) -> None:
+        """The statements as one transaction."""
+        jvm = self.spark._jvm
+        props = jvm.java.util.Properties()
+        for k, v in self.options.items():
+            props.setProperty(k, v)
+        if "driver" in self.options:
+            jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(self.options["driver"])
+        c = jvm.java.sql.DriverManager.getConnection(self.url, props)
+        try:
+            c.setAutoCommit(False)
+            for s in statements:
+                st = c.createStatement()
+                st.executeUpdate(s)
+                st.close()
+            c.commit()
+        except Exception as e:
+            c.rollback()
+            raise StorageError("the database refused a statement", cause=str(e)[:300]) from e
+        finally:
+            c.close()
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.options).load()
+
+    def _exists(self, name: str) -> bool:
+        try:
+            return bool(self._table(name).columns)
+        except Exception:  # noqa: BLE001 - the drivers' errors for a missing table differ
+            return False
+
+    def _flat(self, df: DataFrame, name: str) -> DataFrame:
+        out = []
+        for f in self.SCHEMAS[name].fields:
+            kind, c = f.dataType.simpleString(), F.col(f.name) if f.name in df.columns else F.lit(None)
+            out.append((vector_to_blob(c) if kind == "array<float>" else F.to_json(c) if kind.startswith(("array", "map")) else c.cast(kind)).alias(f.name))
+        return df.select(*out)
+
+    def _back(self, df: DataFrame, name: str) -> DataFrame:
+        out = []
+        have = {c.lower(): c for c in df.columns}
+        for f in self.SCHEMAS[name].fields:
+            kind, c = f.dataType.simpleString(), F.col(have[f.name])
+            out.append((blob_to_vector(c) if kind == "array<float>" else F.from_json(c, kind) if kind.startswith(("array", "map")) else c.cast(kind)).alias(f.name))
+        return df.select(*out)
+
+    def _write(self, df: DataFrame, name: str, mode: str) -> None:
+        keys = ", ".join(f"{k} VARCHAR(512)" for k in self.KEYS if k in df.columns)
+        df.write.format("jdbc").options(url=self.url, dbtable=name, createTableColumnTypes=keys, **self.options).mode(mode).save()
+
     def save(self, graph: MemoryGraph) -> None:
-        for name, df in (("nodes", graph.nodes.drop("embedding", "aliases")), ("edges", graph.edges)):
-            df.write.format("jdbc").options(url=self.url, dbtable=name, **self.options).mode("append").save()
+        if not graph.memory_id:
+            raise StorageError("a memory without an id can't be saved")
+        mine, moves, staged = f"'{graph.memory_id.replace(chr(39), chr(39) * 2)}'", [], []
+        for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("clusters", graph.clusters)):
+            if df is None:
+                continue
+            flat = self._flat(df.withColumn("memory_id", F.lit(graph.memory_id)), name)
+            stage = f"{name}_{uuid.uuid4().hex[:16]}"
+            self._write(flat, stage, "overwrite")
+            staged.append(stage)
+            if not self._exists(name):
+                self._write(flat.limit(0), name, "append")
+            moves += [f'DELETE FROM {name} WHERE "memory_id" = {mine}', f"INSERT INTO {name} SELECT * FROM {stage}"]
+        try:
+            self._run(*moves)
+        finally:
+            self._run(*(f"DROP TABLE {s}" for s in staged))
 
-    def load(self, memory_id: str, user_id: str = "") -> MemoryGraph:
-        read = lambda n: self.spark.read.format("jdbc").options(url=self.url, dbtable=n, **self.options).load().where(F.col("memory_id") == memory_id)
-        nodes = read("nodes")
-        return MemoryGraph(nodes.where(X.tenant(user_id)) if user_id else nodes, read("edges"), None, memory_id)
+    def load(self, memory_id: str, user_id: str = "", valid_at: Column | None = None) -> MemoryGraph | None:
+        if not self._exists("nodes"):
+            return None
+        got = {n: self._table(n).where(F.col("memory_id") == memory_id) if self._exists(n) else self.spark.createDataFrame([], s) for n, s in self.SCHEMAS.items()}
+        nodes, edges, clusters = (self._back(df, n) for n, df in got.items())
+        if not nodes.limit(1).count() and not edges.limit(1).count():
+            return None
+        if user_id:
+            nodes = nodes.where(X.tenant(user_id))
+            edges = touching(edges, nodes, "both")
+        if valid_at is not None:
+            edges = edges.where(X.valid_at(valid_at))
+        return MemoryGraph(nodes, edges, clusters, memory_id)
+
+    def delete(self, memory_id: str) -> None:
+        mine = memory_id.replace("'", "''")
+        self._run(*(f"DELETE FROM {n} WHERE \"memory_id\" = '{mine}'" for n in self.SCHEMAS if self._exists(n)))
+
+    clear = delete
+
+    def list(self) -> DataFrame:
+        if not self._exists("nodes"):
+            return self.spark.createDataFrame([], "memory_id string")
+        return self._table("nodes").select("memory_id").distinct()
+
+    def close(self) -> None:
+        """Connections last for one statement only."""
+
+    def health(self) -> bool:
+        try:
+            self._run()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
 
 
 class CacheTable:
-    """(key, value, expires_at) as a table: reads skip what has expired, invalidation is by key prefix."""
+    """(key, value, expires_at) as a written table: reads skip what has expired, invalidation is by key prefix. A change
+    writes the table anew without what has expired, so neither the plan nor the table grows with the number of calls."""
 
     SCHEMA = "key string, value string, expires_at timestamp"
 
@@ -112,15 +253,20 @@ class CacheTable:
     def key(prefix: str, kind: str, user: str, memory: str, text: Column) -> Column:
         return F.concat_ws(":", F.lit(prefix), F.lit(kind), F.lit(user), F.lit(memory), F.md5(text))
 
+    def _become(self, table: DataFrame) -> None:
+        before, self.table = self.table, cut(table)
+        drop_cut(before)
+
     def put(self, rows: DataFrame, now: Column, ttl_seconds: int = 3600) -> None:
-        new = rows.select("key", "value", F.timestamp_micros(F.unix_micros(now) + ttl_seconds * 1_000_000).alias("expires_at"))
-        self.table = self.table.join(new.select("key"), "key", "left_anti").unionByName(new)
+        """Of several rows for one key the largest value stays."""
+        new = rows.groupBy("key").agg(F.max("value").alias("value")).withColumn("expires_at", F.timestamp_micros(F.unix_micros(now) + ttl_seconds * 1_000_000))
+        self._become(self.table.where(F.col("expires_at") > now).join(new.select("key"), "key", "left_anti").unionByName(new))
 
     def get(self, keys: DataFrame, now: Column) -> DataFrame:
         return self.table.where(F.col("expires_at") > now).join(keys.select("key").distinct(), "key", "left_semi")
 
     def invalidate(self, prefix: str = "") -> None:
-        self.table = self.table.where(~F.col("key").startswith(prefix)) if prefix else self.table.where(F.lit(False))
+        self._become(self.table.where(~F.col("key").startswith(prefix)) if prefix else self.table.limit(0))
 
 
 # -- vectors as bytes --------------------------------------------------------------------------------------------------------
