@@ -107,15 +107,19 @@ WITH v AS (
 p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id)
 """
 _LETTERS = "trim(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}]+', ' ', 'g'))"
-_FLAT = f"trim(regexp_replace(description, '{survivors.SPACES}', ' ', 'g'))"
+_FLAT = "trim(regexp_replace(description, '[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
 _P4 = f"""
 WITH r AS (
   SELECT memory_id, entity_type, canonical_name, lower({_T.format('id')}) AS entity_id, description, importance, access_count, accessed_at, created_at,
          {_LETTERS.format('description')} AS d, {_LETTERS.format('name')} AS n, {_LETTERS.format('entity_type')} AS t FROM entities),
+empty AS (
+  SELECT d FROM (SELECT d, t, count(*) AS n, min(canonical_name) AS lo, max(canonical_name) AS hi FROM r WHERE d <> '' GROUP BY d, t)
+  GROUP BY d HAVING count(*) > 1 AND min(lo) <> max(hi) AND max(n) <= 0.8 * sum(n)),
 g AS (SELECT memory_id, entity_type, canonical_name, min(entity_id) AS group_id FROM r GROUP BY ALL HAVING count(DISTINCT entity_id) > 1),
 x AS (
   SELECT *, 'description' AS field_name, CAST(length({_FLAT}) AS BIGINT) AS v FROM r
-    WHERE d NOT IN ('', n, t, n || ' ' || t, t || ' ' || n) AND NOT regexp_matches(d, '^x+$') AND d NOT IN ({', '.join(f"'{x}'" for x in survivors.PLACEHOLDERS)})
+    WHERE d NOT IN ('', n, t, n || ' ' || t, t || ' ' || n) AND NOT regexp_matches(d, '^x+$')
+      AND d NOT IN ('todo', 'tbd', 'tba', 'n a', 'na', 'none', 'null', 'nil', 'unknown', 'no description', 'description pending', 'unbekannt', 'keine beschreibung', 'beschreibung folgt', 'inconnu', 'sans description', 'desconocido', 'sin descripción') AND d NOT IN (SELECT d FROM empty)
   UNION ALL SELECT *, 'importance', CAST(importance AS BIGINT) FROM r WHERE importance IN (0, 1, 3, 5, 6, 8, 10)
   UNION ALL SELECT *, 'accessed_at', epoch_us(accessed_at) FROM r
     WHERE accessed_at BETWEEN TIMESTAMPTZ '2000-01-01 00:00:00+00' AND TIMESTAMPTZ '2024-01-31 00:00:00+00' AND (created_at IS NULL OR accessed_at >= created_at)

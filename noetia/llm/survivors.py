@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noetia.session import norm_id
+from noetia.session import cut, norm_id
 
 AS_OF = "2024-01-31 00:00:00"
 EARLIEST = "2000-01-01 00:00:00"
@@ -14,41 +14,16 @@ MOST_ACCESSES = 999_999
 FIELDS = ("description", "importance", "accessed_at", "access_count")
 GROUP = ("memory_id", "entity_type", "canonical_name")
 
-# Descriptions that say nothing, in lower case, letters only, one blank between words.
-PLACEHOLDERS = (
-    "todo",
-    "to do",
-    "n a",
-    "na",
-    "null",
-    "nil",
-    "none",
-    "tbd",
-    "tba",
-    "xxx",
-    "unknown",
-    "pending",
-    "pending since",
-    "ask again",
-    "see above",
-    "description pending",
-    "no description",
-    "not available",
-    "nothing known so far",
-    "beschreibung folgt",
-    "keine beschreibung",
-    "unbekannt",
-    "siehe oben",
-    "à compléter",
-    "inconnu",
-    "sans description",
-    "sin descripción",
-    "desconocido",
-    "automatically extracted no details",
-    "no description available for this entity yet please complete it later",
-    "no information was found about this one in any of the sources that were searched",
-    "this entry has been created by the importer and still has to be described by somebody",
+# Marks for a missing value or description that are usual everywhere, in lower case, letters only. They matter
+# for small tables; sentences that say nothing are not listed, the corpus shows them (:func:`empty_phrases`).
+MARKS = (
+    *("todo", "tbd", "tba", "n a", "na", "none", "null", "nil", "unknown", "no description", "description pending"),
+    *("unbekannt", "keine beschreibung", "beschreibung folgt", "inconnu", "sans description", "desconocido", "sin descripción"),
 )
+#: A text that entities of different types share says nothing about any of them, if no type has more than this share of it.
+TYPE_SHARE = 0.8
+#: Phrases up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_PHRASES = 200_000
 SPACES = r"[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -62,29 +37,57 @@ def _letters(c: Column) -> Column:
 
 
 def informative(description: Column, name: Column, kind: Column) -> Column:
-    """Whether a description says something: not empty, no placeholder, more than the entity's name or type."""
+    """Whether a description says something by itself: not empty, no mark or row of x, more than the entity's name or type."""
     d, n, t = (_letters(F.coalesce(x, F.lit(""))) for x in (description, name, kind))
     only = [n, t, F.concat_ws(" ", n, t), F.concat_ws(" ", t, n)]
-    ok = (d != "") & ~d.isin(*PLACEHOLDERS) & ~d.rlike(r"^x+$")
+    ok = (d != "") & ~d.isin(*MARKS) & ~d.rlike(r"^x+$")
     for x in only:
         ok = ok & (d != x)
     return ok
 
 
-def _values(entities: DataFrame) -> DataFrame:
+def empty_phrases(entities: DataFrame) -> DataFrame:
+    """``phrase``: hashes of the descriptions (letters only) that say nothing about an entity, from the table itself.
+
+    A description tells of the thing described. One that things of different types bear under different names can't; a
+    formula such as "archivist since" stays with one type. A text counts as empty where at least two names bear it and no
+    type has more than ``TYPE_SHARE`` of its bearers. Rows fold by (text, type) before the shuffle; redelivered rows of one
+    name count once for the names and don't change the types' proportions by much.
+    """
+    d = _letters(F.coalesce(F.col("description"), F.lit("")))
+    rows = entities.select(F.xxhash64(d).alias("phrase"), F.coalesce(F.lower(F.trim("entity_type")), F.lit("")).alias("kind"), F.xxhash64("canonical_name").alias("name")).where(d != "")
+    per = rows.groupBy("phrase", "kind").agg(F.count("*").alias("n"), F.min("name").alias("lo"), F.max("name").alias("hi"))
+    whole = per.groupBy("phrase").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("kinds"))
+    return whole.where((F.col("kinds") > 1) & (F.col("lo") != F.col("hi")) & (F.col("most") <= F.lit(TYPE_SHARE) * F.col("n"))).select("phrase")
+
+
+def _values(entities: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """Every record with the rank value of each field, null where the value isn't usable."""
     as_of, earliest = (F.lit(x).cast("timestamp") for x in (AS_OF, EARLIEST))
     acc = F.col("accessed_at").cast("timestamp")
-    return entities.select(
+    says = informative(F.col("description"), F.col("name"), F.col("entity_type"))
+    src = entities
+    if phrases is not None:
+        phrases = phrases.select(F.col("phrase").alias("_phrase"))
+        key = F.xxhash64(_letters(F.coalesce(F.col("description"), F.lit(""))))
+        src, says = entities.join(phrases, key == F.col("_phrase"), "left"), says & F.col("_phrase").isNull()
+    return src.select(
         *GROUP,
         norm_id("id").alias("entity_id"),
-        F.when(informative(F.col("description"), F.col("name"), F.col("entity_type")), F.length(collapsed(F.col("description"))).cast("bigint")).alias("description"),
+        F.when(says, F.length(collapsed(F.col("description"))).cast("bigint")).alias("description"),
         F.when(F.col("importance").isin(*IMPORTANCE_SCALE), F.col("importance").cast("bigint")).alias("importance"),
         F.when((acc >= earliest) & (acc <= as_of) & (F.col("created_at").isNull() | (acc >= F.col("created_at").cast("timestamp"))), F.unix_micros(acc)).alias("accessed_at"),
         F.when(F.col("access_count").between(0, MOST_ACCESSES), F.col("access_count")).alias("access_count"),
     ).where("entity_id is not null")
 
 
+def usable_values(entities: DataFrame) -> DataFrame:
+    """The rank values of all records, with the table's own empty phrases left out."""
+    e = entities.select(*GROUP, "id", "name", "description", "importance", "accessed_at", "access_count", "created_at")
+    phrases = cut(empty_phrases(e))
+    return _values(e, F.broadcast(phrases) if phrases.count() <= BROADCAST_PHRASES else phrases)
+
+
 def _groups(values: DataFrame) -> DataFrame:
     """Groups of at least two records. Partial aggregation keeps a group with a large share of all rows small."""
     g = values.groupBy(*GROUP).agg(F.min("entity_id").alias("group_id"), F.max("entity_id").alias("last_id"))
@@ -99,7 +102,11 @@ def field_winners(entities: DataFrame) -> DataFrame:
     group limit drops all but the best before the shuffle. Fields without a usable value give no row. Redelivered rows
     have an id of their own group and change nothing; rows with a null id or group field and empty tables give none.
     """
-    values = _values(entities)
+    values = usable_values(entities)
+    return _winners(values)
+
+
+def _winners(values: DataFrame) -> DataFrame:
     pick = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])).alias("x")
     long = values.select(*GROUP, "entity_id", pick).select(*GROUP, "entity_id", "x.field_name", "x.value").where("value is not null")
     w = Window.partitionBy(*GROUP, "field_name").orderBy(F.desc("value"), "entity_id")
@@ -114,13 +121,13 @@ def survivors(entities: DataFrame) -> DataFrame:
     highest importance as trust, then latest access, then smallest id), the surviving values and the ids they come from.
     Same rules as :func:`field_winners`.
     """
-    values = _values(entities)
+    values = cut(usable_values(entities))
     one = values.groupBy(*GROUP, "entity_id").agg(*[F.max(f).alias(f) for f in FIELDS])
     groups = one.groupBy(*GROUP).agg(F.min("entity_id").alias("group_id"), F.count("*").alias("n_records")).where("n_records > 1")
     filled = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
     w = Window.partitionBy(*GROUP).orderBy(F.desc(filled), F.desc_nulls_last("importance"), F.desc_nulls_last("accessed_at"), "entity_id")
     base = one.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(*GROUP, F.col("entity_id").alias("base_id"))
-    wins = field_winners(entities)
+    wins = _winners(values)
     wide = wins.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("entity_id"))).alias(f"{f}_from") for f in FIELDS])
     raw = entities.select(norm_id("id").alias("entity_id"), "description", "importance", "accessed_at", "access_count")
     src = wins.join(raw, "entity_id").groupBy("group_id").agg(

@@ -36,3 +36,16 @@ def test_a_large_group_and_empty_tables(spark):
     got = {r.field_name: r.entity_id for r in S.field_winners(frame(spark, rows)).collect()}
     assert got == {"description": "i00049", "importance": "i00010", "access_count": "i02999"}
     assert S.field_winners(frame(spark, rows).limit(0)).collect() == [] and S.survivors(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_sentences_that_say_nothing_come_from_the_corpus(spark):
+    """A filler that no list has: shared by things of several types. A formula of one type, and a text of one thing, stay."""
+    filler = "Someone at the desk will write this some day, promised!"
+    rows = [(f"f{i}", "m", ["Person", "Concept", "Product"][i % 3], f"N{i}", f"N{i}", filler, 5, None, 1, None) for i in range(9)]
+    rows += [(f"g{i}", "m", "Person", f"N{i}", f"N{i}", "Clerk since 1999", 5, None, 1, None) for i in range(0, 9, 3)]
+    rows += [(f"h{i}", "m", kind, "Same", "Same", "One thing under two types, told at length and in every detail", 5, None, 1, None) for i, kind in enumerate(("Person", "Concept"))]
+    rows += [("h2", "m", "Person", "Same", "Same", "short", 5, None, 1, None)]
+    rows += [(f"k{i}", "m", "Person", f"K{i}", f"K{i}", "a formula of one type", 5, None, 1, None) for i in range(9)] + [("k9", "m", "Concept", "K9", "K9", "a formula of one type", 5, None, 1, None)]
+    rows += [(f"l{i}", "m", "Person", f"K{i}", f"K{i}", "brief", 5, None, 1, None) for i in range(2)]
+    got = {r.group_id: r.entity_id for r in S.field_winners(frame(spark, rows)).where("field_name = 'description'").collect()}
+    assert got == {"f0": "g0", "f3": "g3", "f6": "g6", "h0": "h0", "k0": "k0", "k1": "k1"}
