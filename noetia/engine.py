@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Protocol
 
@@ -26,14 +26,19 @@ from noetia.operators import retrieve as V
 from noetia.operators.community import cluster_rollup, detect
 from noetia.operators.graph import MemoryGraph
 from noetia.schemas import CLUSTERS, EDGES, NODES, EngineConfig, IngestionError, QueryError
-from noetia.session import cut, shared_dir
-from noetia.sources.stores import ParquetStore, Store
+from noetia.session import cut, drop_cut, shared_dir
+from noetia.sources.stores import ParquetStore, Store, read_files, web_pages
 
+# The answers where nothing is found, and the confidence of a direct answer
 NOTHING_FOUND = "No relevant information found in memory."
-DIRECT_CONFIDENCE, SURE = 0.7, 0.5
+DIRECT_CONFIDENCE = 0.7
 NO_ANSWER = "I don't have information about that in my memory."
 
 
+#: Small edits of a graph after which its tables are written anew.
+COMPACT_EVERY = 16
+
+
 class LanguageModel(Protocol):
     def complete(self, prompt: str) -> str: ...
 
@@ -114,6 +119,32 @@ def embed(df: DataFrame, model: EmbeddingModel, id_col: str, text: Column) -> Da
     return df.select(F.col(id_col).cast("string").alias("id"), text.alias("t")).mapInArrow(_embed_batches(model), "id string, embedding array<float>")
 
 
+class NoEmbedding:
+    """A service that has no vector for anything."""
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        return [None] * len(texts)
+
+
+class EmbeddingCache:
+    """Vectors by the MD5 of their text, as a written table: texts that are known aren't embedded again, and a text that
+    occurs often is embedded once."""
+
+    SCHEMA = "key string, embedding array<float>"
+
+    def __init__(self, spark: SparkSession):
+        self.table = self._before = spark.createDataFrame([], self.SCHEMA)
+
+    def embed(self, df: DataFrame, model: EmbeddingModel, id_col: str, text: Column) -> DataFrame:
+        """id, embedding of every row; null texts have none."""
+        rows = df.select(F.col(id_col).cast("string").alias("id"), text.alias("t")).withColumn("key", F.md5("t"))
+        missing = rows.where("key is not null").groupBy("key").agg(F.min("t").alias("t")).join(self.table, "key", "left_anti")
+        new = embed(missing, model, "key", F.col("t")).where("embedding is not null").select(F.col("id").alias("key"), "embedding")
+        old, self._before, self.table = self._before, self.table, cut(self.table.unionByName(new))
+        drop_cut(old)  # the table before is kept for results that still read it
+        return rows.select("id", "key").join(self.table, "key", "left").select("id", "embedding")
+
+
 def _ask(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,6 +175,8 @@ class Engine:
         self.model, self.embedding = model or RuleExtractor(), embedding or HashingEmbedding(self.config.embedding_dim)
         self.graph = self.store.load(memory_id, self.user_id) or MemoryGraph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES), spark.createDataFrame([], CLUSTERS), memory_id)
         self.events: DataFrame | None = None
+        self.evolved_at: int | None = None
+        self._pending = 0
         self.metrics = {"ingested": 0, "queries": 0, "evolutions": 0}
 
     # -- ingest ------------------------------------------------------------------------------------------------------------
@@ -168,8 +201,10 @@ class Engine:
         docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"))
         return nodes, cut(edges), G.ingest_rollup(docs, per)
 
-    def ingest(self, documents: DataFrame | str, metadata: dict | None = None, now: Column | None = None) -> DataFrame:
-        """Adds what texts say to the memory; returns a row per document. New nodes replace those with the same id."""
+    def ingest(self, documents: DataFrame | str, metadata: dict | None = None, now: Column | None = None, progress: Callable[[str, int], None] | None = None) -> DataFrame:
+        """Adds what texts say to the memory; returns a row per document. New nodes replace those with the same id.
+
+        ``progress(step, rows)`` is called as the nodes and the edges are found and when the memory is updated."""
         now = F.current_timestamp() if now is None else now
         if isinstance(documents, str):
             documents = self.spark.createDataFrame([("text", documents)], "doc_id string, text string")
@@ -179,12 +214,28 @@ class Engine:
         if metadata:
             extra = F.to_json(F.create_map(*[F.lit(str(x)) for kv in sorted(metadata.items()) for x in kv]))
             nodes = nodes.withColumn("properties", X.json_merge("properties", extra))
+        tell = progress or (lambda step, rows: None)
+        tell("nodes", nodes.count())
+        tell("edges", edges.count())
         self._set(self.graph.add_nodes(nodes).add_edges(edges))
         self.metrics["ingested"] += 1
+        tell("stored", self.metrics["ingested"])
         if self.config.auto_evolve:
-            self.evolve(now=now)
+            self.evolve(now=now, force=False)
         return result
 
+    def ingest_files(self, path: str, vision: VisionModel | None = None, **options) -> tuple[DataFrame, DataFrame]:
+        """(results, errors) of every file under a folder; images by what a vision model says of them."""
+        files = cut(read_files(self.spark, path, vision=vision))
+        done = self.ingest(files.where("error is null and text is not null").select(F.col("uri").alias("doc_id"), "text"), **options)
+        return done, files.where("error is not null").select("uri", "error")
+
+    def ingest_pages(self, pages: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+        """(results, errors) of ``pages(url, html)`` that the caller fetched."""
+        got = cut(web_pages(pages))
+        done = self.ingest(got.where("error is null and text is not null").select(F.col("url").alias("doc_id"), "text"), **options)
+        return done, got.where("error is not null").select("url", "error")
+
     # -- query -------------------------------------------------------------------------------------------------------------
     def query(self, text: str, top_k: int | None = None, now: Column | None = None) -> dict:
         """answer, context, confidence, sources, nodes and edges for a question; the nodes found count an access."""
@@ -208,14 +259,15 @@ class Engine:
     def answer(self, text: str, clusters: DataFrame | None = None, now: Column | None = None) -> tuple[str, float]:
         """An answer of the language model and its confidence from 0 to 1.
 
-        From the question's own context first; if that stays empty or unsure, from each community (in one distributed
-        job), where a sure answer stands for itself and otherwise the five best are put together.
+        From the question's own context first, whose answers all count as equally sure; if it has none, or if ``clusters`` are
+        given to be asked, from each community (in one distributed job), where a sure answer stands for itself and otherwise
+        the five best are put together.
         """
         found = self.query(text, now=now)
         if not found["sources"]:
             return NOTHING_FOUND, 0.0
         direct = self._complete(f"Context:\n{found['context']}\n\nQuestion: {text}\nAnswer:")
-        if direct and DIRECT_CONFIDENCE >= SURE and clusters is None:
+        if direct and clusters is None:
             return direct, DIRECT_CONFIDENCE
         if clusters is not None:
             prompts = clusters.select(F.col("community").alias("doc_id"), F.lit(0).alias("chunk_index"), F.concat(F.lit("Community:\n"), "summary", F.lit(f"\n\nQuestion: {text}\nReply as JSON with answer and confidence (0-10).")).alias("content"))
@@ -236,8 +288,13 @@ class Engine:
             return ""
 
     # -- evolve ------------------------------------------------------------------------------------------------------------
-    def evolve(self, steps: tuple[str, ...] = ("CONSOLIDATION", "DECAY", "REINFORCEMENT"), now: Column | None = None) -> DataFrame | None:
+    def evolve(self, steps: tuple[str, ...] = ("CONSOLIDATION", "DECAY", "REINFORCEMENT"), now: Column | None = None, force: bool = True) -> DataFrame | None:
+        """The log of the steps; None where the last evolution lies less than the interval back and ``force`` is off."""
         now = F.current_timestamp() if now is None else now
+        at = self.spark.range(1).select(F.unix_micros(now).alias("t")).first()["t"]
+        if not force and self.evolved_at is not None and at - self.evolved_at < self.config.evolve_interval_seconds * 1_000_000:
+            return None
+        self.evolved_at = at
         nodes, edges, log = E.evolve(self.graph.nodes, self.graph.edges, now, steps)
         self._set(replace(self.graph, nodes=nodes, edges=edges, version=self.graph.version + 1))
         self.events = log if self.events is None or log is None else self.events.unionByName(log)
@@ -253,13 +310,13 @@ class Engine:
 
     # -- graph -------------------------------------------------------------------------------------------------------------
     def add_node(self, **values) -> str:
-        row = G.new_nodes(self.spark.createDataFrame([values]), self.memory_id, self.user_id)
-        self._set(self.graph.add_nodes(row))
+        row = cut(G.new_nodes(self.spark.createDataFrame([values]), self.memory_id, self.user_id))
+        self._set(self.graph.add_nodes(row), small=True)
         return row.first()["id"]
 
     def add_edge(self, **values) -> str:
-        row = G.new_edges(self.spark.createDataFrame([values]), self.memory_id)
-        self._set(self.graph.add_edges(row))
+        row = cut(G.new_edges(self.spark.createDataFrame([values]), self.memory_id))
+        self._set(self.graph.add_edges(row), small=True)
         return row.first()["id"]
 
     def get_node(self, node_id: str):
@@ -271,18 +328,24 @@ class Engine:
     def update_node(self, node_id: str, **values) -> None:
         if self.get_node(node_id) is None:
             raise QueryError(f"no node {node_id}")
-        self._set(self.graph.update_node(node_id, F.current_timestamp(), **values))
+        at = F.lit(self.spark.range(1).select(F.current_timestamp().alias("t")).first()["t"])  # one time, however often it is read
+        self._set(self.graph.update_node(node_id, at, **values), small=True)
 
     def delete_node(self, node_id: str) -> bool:
         known = self.get_node(node_id) is not None
-        self._set(self.graph.remove_nodes(self.spark.createDataFrame([(node_id,)], "id string")))
+        self._set(self.graph.remove_nodes(self.spark.createDataFrame([(node_id,)], "id string")), small=True)
         return known
 
     def delete_edge(self, edge_id: str) -> bool:
         known = self.get_edge(edge_id) is not None
-        self._set(self.graph.remove_edges(self.spark.createDataFrame([(edge_id,)], "id string")))
+        self._set(self.graph.remove_edges(self.spark.createDataFrame([(edge_id,)], "id string")), small=True)
         return known
 
+    @staticmethod
+    def has_results(response: dict) -> bool:
+        """Whether a question found any node or edge."""
+        return bool(response["sources"]) or response["nodes"].limit(1).count() > 0 or response["edges"].limit(1).count() > 0
+
     def stats(self) -> dict:
         return {r["kind"]: r["n"] for r in self.graph.counts().collect()} | self.metrics | {"version": self.graph.version}
 
@@ -293,8 +356,14 @@ class Engine:
         self.store.delete(self.memory_id)
         self.graph = MemoryGraph(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES), self.spark.createDataFrame([], CLUSTERS), self.memory_id)
 
-    def _set(self, graph: MemoryGraph, save: bool = False) -> None:
-        """Later steps read tables, not an ever longer plan."""
-        self.graph = replace(graph, nodes=cut(graph.nodes), edges=cut(graph.edges))
+    def _set(self, graph: MemoryGraph, save: bool = False, small: bool = False) -> None:
+        """Later steps read tables, not an ever longer plan. A ``small`` change stays a plan over the last tables until
+        ``COMPACT_EVERY`` of them have come together, so one edit doesn't write the whole memory."""
+        self._pending = self._pending + 1 if small else 0
+        if small and self._pending < COMPACT_EVERY:
+            self.graph = graph
+        else:
+            self._pending = 0
+            self.graph = replace(graph, nodes=cut(graph.nodes), edges=cut(graph.edges))
         if save:
             self.save()

@@ -200,11 +200,12 @@ def _dot(a: Column, b: Column, single: bool) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str, single: bool = False) -> Column:
-    """Cosine; 0 for empty vectors, unequal lengths, zero norms and nulls. ``single``: products in single precision."""
+    """Cosine; 0 for empty vectors, unequal lengths, zero norms, nulls and what isn't finite. ``single``: products in single
+    precision."""
     a, b = col(a), col(b)
     n = F.sqrt(_dot(a, a, single)) * F.sqrt(_dot(b, b, single))
     ok = (F.size(a) > 0) & (F.size(a) == F.size(b))
-    return F.coalesce(F.when(ok & (n > 0), _dot(a, b, single) / n), F.lit(0.0))
+    return F.coalesce(F.when(ok & (n > 0), F.nanvl(_dot(a, b, single) / n, F.lit(0.0))), F.lit(0.0))
 
 
 # -- predicates --------------------------------------------------------------------------------------------------------
@@ -239,8 +240,17 @@ def matches_filters(filters: dict, properties="properties") -> Column:
 
 
 # Modality of each file extension, language of each code extension
-EXTENSIONS = {".txt": "text", ".md": "markdown", ".markdown": "markdown", ".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".gif": "image", ".webp": "image", ".mp3": "audio", ".wav": "audio", ".m4a": "audio", ".html": "webpage", ".htm": "webpage", ".py": "code", ".js": "code", ".ts": "code", ".go": "code", ".java": "code", ".rs": "code", ".c": "code", ".cpp": "code", ".json": "json", ".csv": "csv"}
-LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".java": "java", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".rb": "ruby", ".php": "php"}
+EXTENSIONS = {
+    ".md": "markdown", ".markdown": "markdown",
+    ".pdf": "pdf",
+    ".png": "image", ".jpg": "image", ".jpeg": "image", ".gif": "image", ".webp": "image", ".bmp": "image",
+    ".mp3": "audio", ".wav": "audio", ".m4a": "audio", ".flac": "audio", ".ogg": "audio",
+    ".py": "code", ".go": "code", ".js": "code", ".ts": "code", ".java": "code", ".cpp": "code", ".c": "code", ".rs": "code",
+    ".json": "json",
+    ".csv": "csv",
+    ".html": "webpage", ".htm": "webpage",
+}
+LANGUAGES = {".py": "python", ".go": "go", ".js": "javascript", ".ts": "typescript", ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c": "c", ".rs": "rust", ".rb": "ruby", ".php": "php"}
 
 
 def extension(uri: Column | str) -> Column:
@@ -271,17 +281,21 @@ def is_image(content: Column) -> Column:
     return F.coalesce((F.octet_length(content) >= 8) & (h.startswith("89504E47") | h.startswith("FFD8FF") | h.startswith("474946383761") | h.startswith("474946383961") | (h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"))), F.lit(False))
 
 
-# Entities that the tag stripper knows
-HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# What the tag stripper drops, the part it prefers, and the entities it knows, in the order it takes them
+HTML_DROPPED = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<(?:nav|header|footer|aside)[^>]*>.*?</(?:nav|header|footer|aside)>")
+HTML_MAIN = r"(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>"
+HTML_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 
 def html_text(c: Column | str) -> Column:
-    """Text of a page by patterns: scripts, styles and navigation dropped, the main part preferred, tags as blanks."""
+    """Text of a page by patterns: scripts, styles and navigation dropped, the main part preferred, tags as blanks.
+
+    ``&amp;`` is decoded before the other signs, so a doubly escaped sign is decoded twice.
+    """
     t = col(c)
-    for tag in ("script", "style", "nav", "header", "footer", "aside"):
-        t = F.regexp_replace(t, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
-    main = F.regexp_extract(t, "(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>", 1)
-    t = F.when(main != "", main).otherwise(t)
+    for pattern in HTML_DROPPED:
+        t = F.regexp_replace(t, pattern, "")
+    t = F.when(t.rlike(HTML_MAIN), F.regexp_extract(t, HTML_MAIN, 1)).otherwise(t)
     t = F.regexp_replace(F.regexp_replace(t, "<!--.*?-->", ""), "<[^>]+>", " ")
     for name, ch in HTML_ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(ch))

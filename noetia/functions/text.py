@@ -23,10 +23,10 @@ SENTENCE = re.compile(rb"[.!?]\s+[A-Z]")
 PARAGRAPH = re.compile(rb"\n\s*\n")
 HEADER = re.compile(r"(?m)^(#{1,6})\s+(.+)$")
 SYMBOLS = {
-    "python": re.compile(r"(?m)^(?:async\s+)?(?:def|class)\s+(\w+)"),
-    "javascript": re.compile(r"(?m)^(?:export\s+)?(?:async\s+)?(?:function|class)\s+(\w+)"),
-    "typescript": re.compile(r"(?m)^(?:export\s+)?(?:async\s+)?(?:function|class|interface|type)\s+(\w+)"),
-    "go": re.compile(r"(?m)^(?:func|type)\s+(\w+)"),
+    "python": re.compile(r"(?m)^(?:def|class|async def)\s+\w+"),
+    "javascript": re.compile(r"(?m)^(?:function|class|const|let|var)\s+\w+"),
+    "typescript": re.compile(r"(?m)^(?:function|class|const|let|interface|type)\s+\w+"),
+    "go": re.compile(r"(?m)^(?:func|type)\s+\w+"),
 }
 
 
@@ -140,7 +140,7 @@ def chunk_code(text: str, language: str, size: int = 1000, overlap: int = 200) -
     for m, n in zip(found, [*found[1:], None]):
         end = n.start() if n else len(text)
         part = text[m.start() : end].strip()
-        out.append((len(text[: m.start()].encode()), len(text[:end].encode()), part, {"language": language, "symbol": m.group(1)}))
+        out.append((len(text[: m.start()].encode()), len(text[:end].encode()), part, {"language": language, "symbol": m.group()}))
     return out
 
 
@@ -274,7 +274,7 @@ def process(text: str, modality: str, language: str = "") -> list[Chunk]:
     if modality == "markdown":
         return chunk_markdown(text)
     if modality == "code":
-        return chunk_code(text, language or next((k for k, r in SYMBOLS.items() if r.search(text)), ""))
+        return chunk_code(text, language)
     if modality == "webpage":
         body, title, about = html_dom_text(text)
         return [(s, e, c, {**m, "title": title, "description": about}) for s, e, c, m in chunk_markdown(body)]
@@ -291,9 +291,10 @@ def process(text: str, modality: str, language: str = "") -> list[Chunk]:
 TABLE = "id string, source_id string, chunk_index int, start_char int, end_char int, content string, modality string, metadata map<string,string>"
 
 
-def chunk_table(docs: DataFrame, chunker: Callable[[str, str], list[Chunk]], key: str = "doc_id", text: str = "text", modality: str = "modality") -> DataFrame:
-    """Chunks of every document as a table. ``chunker(text, modality)``; null texts give none. Ids are hashes of document
-    and index, so a repeated task writes the same rows."""
+def chunk_table(docs: DataFrame, chunker: Callable[..., list[Chunk]], key: str = "doc_id", text: str = "text", modality: str = "modality", uri: str | None = None) -> DataFrame:
+    """Chunks of every document as a table. ``chunker(text, modality)``, with the programming language of the file's name as
+    a third argument where ``uri`` names its column; null texts give none. Ids are hashes of document and index, so a
+    repeated task writes the same rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -302,10 +303,10 @@ def chunk_table(docs: DataFrame, chunker: Callable[[str, str], list[Chunk]], key
         names = [x.split()[0] for x in TABLE.split(", ")]
         for b in batches:
             rows = []
-            for k, t, m in zip(*(c.to_pylist() for c in b.columns)):
+            for k, t, m, *language in zip(*(c.to_pylist() for c in b.columns)):
                 if t is None:
                     continue
-                for i, (s, e, c, meta) in enumerate(chunker(t, m or "text")):
+                for i, (s, e, c, meta) in enumerate(chunker(t, m or "text", *language)):
                     rows.append((hashlib.sha256(f"{k}:{i}".encode()).hexdigest()[:32], k, i, s, e, c, m, list(meta.items())))
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -313,16 +314,49 @@ def chunk_table(docs: DataFrame, chunker: Callable[[str, str], list[Chunk]], key
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(modality).alias("m")).mapInArrow(run, TABLE)
+    language = [] if uri is None else [X.language(uri).alias("l")]
+    return docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(modality).alias("m"), *language).mapInArrow(run, TABLE)
+
+
+def register_table_functions(spark) -> None:
+    """The chunkers for SQL: ``LATERAL chunk_text(text, size, overlap)``, ``chunk_sections``, ``chunk_sentence_groups`` and
+    ``chunk_symbols(text, language)``, each with chunk_index, start_char, end_char, content and metadata."""
+    from pyspark.sql.functions import udtf
+
+    columns = "chunk_index int, start_char int, end_char int, content string, metadata map<string,string>"
+
+    def rows(chunks):
+        for i, (s, e, c, m) in enumerate(chunks):
+            yield i, s, e, c, m
+
+    class ChunkText:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from rows(chunk_document(text, size, overlap) if text is not None else ())
+
+    class ChunkSections:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from rows(chunk_markdown(text, size, overlap) if text is not None else ())
+
+    class ChunkSentenceGroups:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from rows(chunk_sentences(text, size, overlap) if text is not None else ())
+
+    class ChunkSymbols:
+        def eval(self, text: str, language: str):
+            yield from rows(chunk_code(text, (language or "").lower()) if text is not None else ())
+
+    for name, f in (("chunk_text", ChunkText), ("chunk_sections", ChunkSections), ("chunk_sentence_groups", ChunkSentenceGroups), ("chunk_symbols", ChunkSymbols)):
+        spark.udtf.register(name, udtf(f, returnType=columns))
 
 
 def fixed_chunks(docs: DataFrame, size: int = 2000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows of ``size`` characters with ids ``doc_i``; the last one ends with the text. All in built-in functions."""
-    n, step = F.length(text), size - overlap
+    """Windows of ``size`` bytes with ids ``doc_i``, each ``overlap`` bytes before the end of the one before; the last one
+    ends with the text. Split characters become replacement characters in ``content``; ``raw`` has the bytes themselves."""
+    n, step = F.octet_length(text), size - overlap
     last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
-    i = F.explode(F.sequence(F.lit(0), last)).alias("i")
-    d = docs.where(F.length(text) > 0).select(key, text, i)
-    return d.select(F.concat_ws("_", F.col(key).cast("string"), F.col("i").cast("string")).alias("id"), F.col(key), F.col("i").alias("chunk_index"), F.substring(F.col(text), F.col("i") * step + 1, F.lit(size)).alias("content"))
+    d = docs.where(n > 0).select(F.col(key), F.encode(F.col(text), "UTF-8").alias("_bytes"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    raw = F.substring(F.col("_bytes"), F.col("i") * step + 1, F.lit(size))
+    return d.select(F.concat_ws("_", F.col(key).cast("string"), F.col("i").cast("string")).alias("id"), F.col(key), F.col("i").alias("chunk_index"), F.make_valid_utf8(raw.cast("string")).alias("content"), raw.alias("raw"))
 
 
 def sentence_split(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from noetia.functions import expr as X
 from noetia.operators.components import connected_components
 from noetia.operators.pairs import block_pairs
 from noetia.operators.rank import pagerank
+from noetia.session import cut
 
 LN2 = 0.6931471805599453
 
@@ -93,15 +94,16 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def are_similar(a: dict, b: dict, cos: float) -> bool:
-    """Whether two nodes are duplicates; the rules in order of strength."""
+    """Whether two nodes are duplicates; the rules in order of strength. The canonical name, where there is one, stands for
+    the name; ``last`` and ``tokens`` are those of it. Blank names match nothing."""
     low = lambda s: (s or "").strip().lower()
-    ca, cb, na, nb = low(a["canonical_name"]), low(b["canonical_name"]), low(a["name"]), low(b["name"])
-    if (ca and ca == cb) or (na and na == cb) or (nb and nb == ca):
+    pa, pb = low(a["canonical_name"]) or low(a["name"]), low(b["canonical_name"]) or low(b["name"])
+    if pa and pa in (pb, low(b["name"])) or pb and pb == low(a["name"]):
         return True
     aa, ab = {low(x) for x in a["aliases"] or () if low(x)}, {low(x) for x in b["aliases"] or () if low(x)}
-    if aa & ab or na in ab or nb in aa:
+    if aa & ab or pa in ab or pb in aa:
         return True
-    if na and nb and (na in nb or nb in na):
+    if pa and pb and (pa in pb or pb in pa):
         return True
     if a["last"] and a["last"] == b["last"] and len(a["last"]) >= 3 and cos >= 0.65:
         return True
@@ -112,24 +114,156 @@ def are_similar(a: dict, b: dict, cos: float) -> bool:
 
 
 def duplicate_pairs(nodes: DataFrame) -> DataFrame:
-    """memory_id, kind, id_a < id_b of nodes of one memory and type that the duplicate rules match (all states)."""
+    """memory_id, kind, id_a < id_b of nodes of one memory and type that the duplicate rules match (all states).
+
+    All cosines of a pair of blocks come from one product; the names' rules are looked up by index (alias, name, last name,
+    token) and only pairs that share something, or are near enough, are put to the rules. Containment is the exception: it
+    is tried for each pair of different names of a block.
+    """
     kind = F.coalesce(F.when(F.lower("entity_type") != "", F.lower("entity_type")), F.lit("unknown")).alias("kind")
-    d = nodes.select("memory_id", kind, "id", "name", "canonical_name", "aliases", "embedding", X.last_name("name").alias("last"), X.consolidation_tokens("name").alias("tokens"))
+    plain = F.coalesce(F.when(F.trim("canonical_name") != "", F.col("canonical_name")), F.col("name"))
+    d = nodes.select("memory_id", kind, "id", "name", "canonical_name", "aliases", "embedding", X.last_name(plain).alias("last"), X.consolidation_tokens(plain).alias("tokens"))
+
+    def keys(r):
+        low = lambda s: (s or "").strip().lower()
+        own = {low(r["canonical_name"]) or low(r["name"]), low(r["name"]), *(low(x) for x in r["aliases"] or ())} - {""}
+        return {("n", x) for x in own}
 
     def kernel(left, right, same):
-        for i, x in enumerate(left):
-            u = np.array(x["embedding"] or (), float)
-            for y in right[i + 1 :] if same else right:
-                v = np.array(y["embedding"] or (), float)
-                n = np.linalg.norm(u) * np.linalg.norm(v) if len(u) and len(u) == len(v) else 0.0
-                cos = float(u @ v / n) if n > 0 and np.isfinite(n) else 0.0
-                if are_similar(x, y, cos):
-                    lo, hi = sorted((x["id"], y["id"]))
-                    yield x["memory_id"], x["kind"], lo, hi
+        cos = _cosines(left, right)
+        cand: set[tuple[int, int]] = set(zip(*(x.tolist() for x in np.nonzero(cos >= 0.6))))
+        index: dict[tuple, list[int]] = {}
+        for j, r in enumerate(right):
+            for k in keys(r):
+                index.setdefault(k, []).append(j)
+        for i, r in enumerate(left):
+            for k in keys(r):
+                cand.update((i, j) for j in index.get(k, ()))
+        plain = lambda r: ((r["canonical_name"] or "").strip() or (r["name"] or "").strip()).lower()
+        by_name: tuple[dict, dict] = ({}, {})
+        for side, rows in zip(by_name, (left, right)):
+            for i, r in enumerate(rows):
+                if p := plain(r):
+                    side.setdefault(p, []).append(i)
+        text = "\n".join(by_name[1])  # a name in some other one is found in all of them at once
+        for p, at in by_name[0].items():
+            if p in text:
+                for q, to in by_name[1].items():
+                    if p in q:
+                        cand.update((i, j) for i in at for j in to)
+        text = "\n".join(by_name[0])
+        for q, to in by_name[1].items():
+            if q in text:
+                for p, at in by_name[0].items():
+                    if q in p:
+                        cand.update((i, j) for i in at for j in to)
+        for i, j in sorted(cand):
+            x, y = left[i], right[j]
+            if (i < j or not same) and are_similar(x, y, float(cos[i, j])):
+                lo, hi = sorted((x["id"], y["id"]))
+                yield x["memory_id"], x["kind"], lo, hi
 
     return block_pairs(d, ["memory_id", "kind"], "id", kernel, "memory_id string, kind string, id_a string, id_b string", 1024)
 
 
+def _cosines(left: list[dict], right: list[dict]) -> np.ndarray:
+    """Cosines of all pairs; 0 where lengths differ, or a vector is missing, zero or not finite."""
+    out = np.zeros((len(left), len(right)))
+    dims = {len(r["embedding"] or ()) for r in left} & {len(r["embedding"] or ()) for r in right}
+    for d in dims - {0}:
+        at, to = ([i for i, r in enumerate(rows) if len(r["embedding"] or ()) == d] for rows in (left, right))
+        a, b = (np.array([rows[i]["embedding"] for i in ix], float) for rows, ix in ((left, at), (right, to)))
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+        out[np.ix_(at, to)] = np.where(np.isfinite(s), s, 0.0)
+    return out
+
+
+def star_groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(center, id) of the duplicate groups: not transitive, every node in one group at most, the center included.
+
+    In order of id, a node that is in no group yet takes all its duplicates that are in none and have a larger id. The order
+    is resolved in rounds: a node is a center once every smaller duplicate of it is settled as a member, and a member once
+    a smaller duplicate is a center; the smallest center takes it. Each round settles the smallest open node of every chain
+    at least, so the rounds end; no group is ever in one task.
+    """
+    e = cut(pairs.select(F.least("id_a", "id_b").alias("lo"), F.greatest("id_a", "id_b").alias("hi")).where("lo <> hi").distinct())
+    open_ = cut(e.select(F.col("lo").alias("id")).union(e.select(F.col("hi").alias("id"))).distinct())
+    done = None
+    while open_.limit(1).count():
+        left = e.join(open_.select(F.col("id").alias("hi")), "hi", "left_semi")
+        waiting = left.join(open_.select(F.col("id").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("id")).distinct()
+        centers = open_.join(waiting, "id", "left_anti")
+        all_centers = cut(centers.select("id", F.col("id").alias("center")))
+        taken = left.join(all_centers.select(F.col("id").alias("lo"), "center"), "lo").groupBy(F.col("hi").alias("id")).agg(F.min("center").alias("center"))
+        new = cut(all_centers.unionByName(taken))
+        done = new if done is None else done.unionByName(new)
+        open_ = cut(open_.join(new, "id", "left_anti"))
+    if done is None:
+        return nodes.limit(0).select(F.col("id").alias("center"), "id")
+    many = done.groupBy("center").count().where("count > 1").select("center")
+    return done.join(many, "center").select("center", "id")
+
+
+def consolidate_fully(nodes: DataFrame, edges: DataFrame, now: Column, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, inferred edges, events): duplicates merge by star groups (or ``groups(center, id)``, as of a model), then
+    repeated edges fold into one, then links over a middle node are inferred."""
+    from noetia.operators.graph import MERGED, merge_nodes, reinforce_edges, remap_endpoints, transitive_links
+
+    g = cut(star_groups(duplicate_pairs(nodes), nodes) if groups is None else groups)
+    member = nodes.join(g, "id")
+    merged = cut(merge_nodes(member, "center"))
+    moved = cut(member.select("center", F.col("id").alias("old_id")).join(merged.select("center", F.col("id").alias("new_id")), "center").where("old_id <> new_id").select("old_id", "new_id"))
+    kept = nodes.join(moved.select(F.col("old_id").alias("id")), "id", "left_anti")
+    m = merged.select("id", *[F.col(c).alias(f"_{c}") for c in MERGED], F.lit(True).alias("_hit"))
+    j = kept.join(m, "id", "left")
+    hit = F.col("_hit").isNotNull()
+    for c in MERGED:
+        j = j.withColumn(c, F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)))
+    new_nodes = j.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).withColumn("accessed_at", F.when(hit, now).otherwise(F.col("accessed_at"))).select(nodes.columns)
+    e = cut(remap_endpoints(edges, moved))
+    r = cut(reinforce_edges(e))
+    key = ["memory_id", "source_id", "target_id", "relation_type"]
+    same = e.join(r.select(*key, "kept_id", F.col("weight").alias("_w"), F.col("confidence").alias("_c")), key, "left")
+    folded = same.where(F.col("kept_id").isNull() | (F.col("kept_id") == F.col("id")))
+    folded = folded.withColumn("weight", F.coalesce("_w", "weight")).withColumn("confidence", F.coalesce("_c", "confidence")).select(edges.columns)
+    ids = member.groupBy("center").agg(F.min("memory_id").alias("memory_id"), F.sort_array(F.collect_list("id")).alias("ids")).join(merged.select("center", F.col("id").alias("new_id")), "center")
+    none = F.array().cast("array<string>")
+    ev = ids.select(*event("CONSOLIDATION", "memory_id", F.col("ids"), none, F.to_json(F.struct(F.size("ids").alias("node_count"))), F.to_json(F.struct(F.col("new_id").alias("merged_node"))), F.concat(F.lit("Merged "), F.size("ids").cast("string"), F.lit(" similar entities")), now))
+    folds = r.select(*event("REINFORCEMENT", "memory_id", none, F.array("kept_id"), F.to_json(F.struct("n")), F.to_json(F.struct("weight", "confidence")), F.lit("repeated edges folded"), now))
+    return new_nodes, folded, transitive_links(folded), ev.unionByName(folds)
+
+
+def model_groups(nodes: DataFrame, model, most: int = 50) -> DataFrame:
+    """(center, id) of the duplicates that a language model names, for every memory and type of up to ``most`` nodes.
+
+    Each such list is one prompt of numbered lines; the answer has one group of numbers a line. A model that fails, and
+    larger types, leave their nodes to :func:`star_groups`.
+    """
+    kind = F.coalesce(F.when(F.lower("entity_type") != "", F.lower("entity_type")), F.lit("unknown"))
+    small = nodes.groupBy("memory_id", kind.alias("kind")).agg(F.count("*").alias("n")).where(F.col("n").between(2, most))
+    others = F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), ", ")
+    line = F.concat(F.col("name"), F.lit(" (aliases: "), F.when(others == "", "none").otherwise(others), F.lit(") - "), X.byte_prefix(F.coalesce("description", F.lit("")), 100))
+    rows = nodes.where("name is not null").select("memory_id", kind.alias("kind"), "id", line.alias("line")).join(small.drop("n"), ["memory_id", "kind"])
+    lists = rows.groupBy("memory_id", "kind").agg(F.sort_array(F.collect_list(F.struct("id", "line"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), r["line"])), "\n")
+    asked = lists.select("x", F.concat(F.lit("Which of these entities of type "), "kind", F.lit(" are the same? One group of numbers a line, with commas.\n"), text).alias("prompt"))
+
+    @F.pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        def one(p):
+            try:
+                return model.complete(p)
+            except Exception:  # noqa: BLE001 - this list is left to the rules
+                return None
+
+        return prompts.map(one)
+
+    g = asked.select("x", F.posexplode(X.parse_groups(ask("prompt"), F.size("x"))).alias("_g", "numbers"))
+    ids = g.select(F.array_sort(F.transform("numbers", lambda k: F.element_at("x", k)["id"])).alias("ids"))
+    return ids.select(F.element_at("ids", 1).alias("center"), F.explode(F.array_distinct("ids")).alias("id"))
+
+
 def merged_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(old_id, new_id) of nodes that merge into another: of every group of linked nodes the most accessed survives, then
     the most important, then the largest id."""
@@ -223,8 +357,6 @@ def rehydrated_edges(edges: DataFrame, rehydrated: DataFrame) -> DataFrame:
 
 def evolve(nodes: DataFrame, edges: DataFrame, now: Column, steps: tuple[str, ...] = ("CONSOLIDATION", "DECAY", "REINFORCEMENT")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The steps in order, each on the result of the one before: (nodes, edges, events). Other step names do nothing."""
-    from noetia.session import cut
-
     log = None
     none = F.array().cast("array<string>")
     for step in steps:

@@ -196,6 +196,10 @@ def reinforce_edges(edges: DataFrame) -> DataFrame:
     return g.where("n > 1").select(*key, "n", F.col("best.id").alias("kept_id"), F.least(F.lit(10.0), "w").alias("weight"), F.least(F.lit(1.0), F.col("c") * 1.1).alias("confidence"))
 
 
+#: Fields that a merged node takes from its group.
+MERGED = ("name", "aliases", "access_count", "importance", "description")
+
+
 def merge_nodes(nodes: DataFrame, group: str) -> DataFrame:
     """One node per ``group``: all aliases and names, accesses summed, highest importance, longest description; the name
     is the longest (then most accessed, then smallest id)."""
@@ -230,6 +234,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def throughput(results: DataFrame, seconds: float) -> DataFrame:
+    """One row of an ingestion's statistics from its results per document (see :func:`ingest_rollup`) and the time it took."""
+    n = F.count("*")
+    return results.agg(
+        F.count_if("success").alias("processed"),
+        F.count_if(~F.col("success")).alias("failed"),
+        F.coalesce(F.sum("n_entities"), F.lit(0)).alias("total_entities"),
+        F.coalesce(F.sum("n_relations"), F.lit(0)).alias("total_relations"),
+        F.lit(float(seconds)).alias("seconds"),
+        F.when(n > 0, F.lit(1000.0 * seconds) / n).otherwise(F.lit(0.0)).alias("ms_per_document"),
+        (n / F.lit(float(seconds)) if seconds > 0 else F.lit(0.0)).alias("documents_per_second"),
+    )
+
+
 def ingest_rollup(documents: DataFrame, results: DataFrame) -> DataFrame:
     """Per document: chunks, entities, relations, success (anything found) and the first error otherwise."""
     r = results.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_entities").alias("n_entities"), F.sum("n_relations").alias("n_relations"), F.min("error").alias("error"))

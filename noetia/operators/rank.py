@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noetia.functions import expr as X
-from noetia.session import cut, drop_cut
+from noetia.session import cut, cut_by, drop_cut
 
 CUT_EVERY = 5
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, pagerank), unweighted: every edge counts for its source's out-degree, mass of nodes without edges is lost."""
-    v = cut(nodes.select("id").distinct())
-    n = v.count()
+    """(id, pagerank), unweighted: every edge counts for its source's out-degree, mass of nodes without edges is lost.
+
+    The edges lie in buckets of their source and the nodes in buckets of their id, so a round moves ranks and their sums
+    only; sums are partial before they move, which a target with a large share of all edges needs.
+    """
+    v = cut_by(nodes.select("id").distinct(), "id")
+    n = max(v.count(), 1)
     out = edges.groupBy("source_id").agg(F.count("*").alias("deg"))
-    e = cut(edges.select("source_id", "target_id").join(out, "source_id").join(v.withColumnRenamed("id", "target_id"), "target_id", "left_semi"))
-    pr = v.withColumn("pr", F.lit(1.0 / max(n, 1)))
+    e = cut_by(edges.select("source_id", "target_id").join(out, "source_id").join(v.withColumnRenamed("id", "target_id"), "target_id", "left_semi"), "source_id")
+    pr = v.withColumn("pr", F.lit(1.0 / n))
     old = None
     for i in range(iterations):
         got = e.join(pr, e.source_id == pr.id).groupBy("target_id").agg(F.sum(F.col("pr") / F.col("deg")).alias("x"))
-        pr = v.join(got, v.id == got.target_id, "left").select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("x", F.lit(0.0))).alias("pr"))
+        pr = v.join(got, v.id == got.target_id, "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("x", F.lit(0.0))).alias("pr"))
         if i % CUT_EVERY == CUT_EVERY - 1 and i < iterations - 1:
             pr = cut(pr)
             if old is not None:
@@ -32,24 +36,31 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
 
 def pagerank_weighted(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-12) -> DataFrame:
     """(id, pagerank) in 0..1 relative to the highest: weight times confidence, dangling mass spread evenly, edges to
-    absent nodes ignored. Stops early once the total change is below ``tolerance``."""
-    v = cut(nodes.select("id").distinct())
-    n = max(v.count(), 1)
+    absent nodes ignored. Stops early once the total change is below ``tolerance``.
+
+    A round is one job over bucketed edges and one sum over its result, which gives change and dangling mass at once.
+    """
+    ids = cut(nodes.select("id").distinct())
     w = F.coalesce(F.col("weight"), F.lit(1.0)) * F.coalesce(F.col("confidence"), F.lit(1.0))
-    e = edges.select("source_id", "target_id", w.alias("w")).join(v.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(v.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    e = edges.select("source_id", "target_id", w.alias("w")).join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     total = e.groupBy("source_id").agg(F.sum("w").alias("t"), F.count("*").alias("k"))
     share = F.when(F.col("w") == 0, 1.0).otherwise(F.col("w")) / F.when(F.col("t") == 0, F.col("k")).otherwise(F.col("t"))
-    e = cut(e.join(total, "source_id").groupBy("source_id", "target_id").agg(F.sum(share).alias("share")))
-    sink = cut(v.join(e.select(F.col("source_id").alias("id")).distinct(), "id", "left_anti"))
-    pr = cut(v.withColumn("pr", F.lit(1.0 / n)))
-    for i in range(iterations):
-        dangling = pr.join(sink, "id", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("d")).first()["d"]
+    e = cut_by(e.join(total, "source_id").groupBy("source_id", "target_id").agg(F.sum(share).alias("share")), "source_id")
+    source = e.select(F.col("source_id").alias("id"), F.lit(True).alias("has")).distinct()
+    v = cut_by(ids.join(source, "id", "left").select("id", F.col("has").isNull().alias("sink")), "id")
+    n, sinks = v.agg(F.count("*"), F.count_if("sink")).first()
+    n = max(n, 1)
+    pr, dangling = v.select("id", F.lit(1.0 / n).alias("pr")), sinks / n
+    old = None
+    for _ in range(iterations):
         got = e.join(pr, e.source_id == pr.id).groupBy("target_id").agg(F.sum(F.col("pr") * F.col("share")).alias("x"))
-        nxt = v.join(got, v.id == got.target_id, "left").select("id", (F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("x", F.lit(0.0))).alias("pr"))
-        nxt = cut(nxt)
-        delta = nxt.join(pr.withColumnRenamed("pr", "before"), "id").agg(F.sum(F.abs(F.col("pr") - F.col("before"))).alias("d")).first()["d"] or 0.0
-        drop_cut(pr)
-        pr = nxt
+        was = pr.select(F.col("id").alias("_id"), F.col("pr").alias("was"))
+        nxt = v.join(got, v.id == got.target_id, "left").join(was, v.id == was._id, "left")
+        nxt = cut_by(nxt.select("id", "sink", "was", (F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("x", F.lit(0.0))).alias("pr")), "id")
+        delta, dangling = nxt.agg(F.coalesce(F.sum(F.abs(F.col("pr") - F.col("was"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("sink"), F.col("pr"))), F.lit(0.0))).first()
+        if old is not None:
+            drop_cut(old)
+        pr, old = nxt.select("id", "pr"), nxt
         if delta < tolerance:
             break
     top = pr.agg(F.max("pr").alias("m")).first()["m"] or 1.0

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noetia.functions import expr as X
+from noetia.session import cut
 
 #: Questions of one batch at most; they travel inside the plan.
 MAX_QUESTIONS = 1000
@@ -97,6 +98,126 @@ def context_text(top: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("query_id", F.concat(F.lit("Entities:\n"), text("n"), F.when(F.size("e") > 0, F.concat(F.lit("\n\nRelationships:\n"), text("e"))).otherwise(F.lit(""))).alias("context"))
 
 
+# How many nodes, chunks, aliases and edges each prompt part takes, and where it cuts texts
+CONTEXT_LIMITS = {"chunk_nodes": 15, "chunks": 10, "chunk_bytes": 2000, "nodes": 20, "aliases": 8, "edges": 40}
+PROMPT_LIMITS = {"nodes": 15, "aliases": 5, "bytes": 200, "edges": 15}
+SOURCE_LIMITS = {"nodes": 10, "chunks": 5, "bytes": 1500}
+NO_SOURCES, NO_ENTITIES, NO_RELATIONS, NO_DESCRIPTION = "No source text available", "No entity details available.", "No relationships available.", "No description"
+
+
+def _chunks(top: DataFrame, nodes: int, chunks: int) -> DataFrame:
+    """query_id, place, chunk: the first distinct source chunks of a question's first nodes, lists before single ones."""
+    many = F.from_json(F.get_json_object("properties", "$.source_chunks"), "array<string>")
+    one = F.get_json_object("properties", "$.source_chunk")
+    all_ = F.concat(F.coalesce(many, F.array().cast("array<string>")), F.array(one))
+    c = top.where(F.col("rank") <= nodes).select("query_id", "rank", F.posexplode(all_).alias("i", "chunk")).where("chunk <> ''")
+    first = c.groupBy("query_id", "chunk").agg(F.min(F.struct("rank", "i")).alias("k"))
+    w = Window.partitionBy("query_id").orderBy("k")
+    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= chunks).select("query_id", "place", "chunk")
+
+
+def _text(lines: DataFrame, name: str, order: str = "place") -> DataFrame:
+    """query_id and the lines in order as one text; bounded by the limits above."""
+    g = lines.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(order, "line"))).alias("x"))
+    return g.select("query_id", F.array_join(F.transform("x", lambda s: s["line"]), "").alias(name))
+
+
+def source_chunks(top: DataFrame) -> DataFrame:
+    """query_id, sources: the source texts that ``top(query_id, rank, properties)`` came from; one row per question."""
+    c = _chunks(top, SOURCE_LIMITS["nodes"], SOURCE_LIMITS["chunks"])
+    line = F.concat(F.lit("[Source "), F.col("place").cast("string"), F.lit("]: "), X.byte_prefix("chunk", SOURCE_LIMITS["bytes"]), F.lit("\n\n"))
+    return top.select("query_id").distinct().join(_text(c.withColumn("line", line), "sources"), "query_id", "left").select("query_id", F.coalesce("sources", F.lit(NO_SOURCES)).alias("sources"))
+
+
+def _also(limit: int, label: str) -> Column:
+    """Other names of a node, in order; empty where there are none."""
+    names = F.slice(F.array_sort(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull() & (a != F.col("name")))), 1, limit)
+    return F.when(F.size(names) > 0, F.concat(F.lit(f" [{label}: "), F.array_join(names, ", "), F.lit("]"))).otherwise(F.lit(""))
+
+
+def _described() -> Column:
+    return F.coalesce(F.when(F.col("description") != "", F.col("description")), F.lit(NO_DESCRIPTION))
+
+
+def prompt_entities(top: DataFrame) -> DataFrame:
+    """query_id, entities: a line for each of a question's first nodes."""
+    line = F.concat(F.lit("- "), "name", F.lit(" ("), F.coalesce("entity_type", F.lit("")), F.lit(")"), _also(PROMPT_LIMITS["aliases"], "also known as"), F.lit(": "), X.byte_prefix(_described(), PROMPT_LIMITS["bytes"]), F.lit("\n"))
+    lines = top.where((F.col("rank") <= PROMPT_LIMITS["nodes"]) & F.col("name").isNotNull()).select("query_id", F.col("rank").alias("place"), line.alias("line"))
+    return top.select("query_id").distinct().join(_text(lines, "entities"), "query_id", "left").select("query_id", F.coalesce("entities", F.lit(NO_ENTITIES)).alias("entities"))
+
+
+def _edge_line(start: str, span: Column) -> Column:
+    return F.concat(F.lit(start), "source_id", F.lit(" --["), F.coalesce("relation_type", F.lit("")), F.lit("]--> "), "target_id", F.when(span != "", F.concat(F.lit(" "), span)).otherwise(F.lit("")), F.lit("\n"))
+
+
+def _first_edges(edges: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("id")
+    return edges.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def prompt_relationships(edges: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, relationships: a line with its years for each of a question's first edges (in order of id)."""
+    from noetia.operators.context import validity_span
+
+    e = _first_edges(edges.where("source_id is not null and target_id is not null"), PROMPT_LIMITS["edges"])
+    text = _text(e.withColumn("line", _edge_line("- ", validity_span(" → ", ""))), "relationships")
+    return questions.select("query_id").distinct().join(text, "query_id", "left").select("query_id", F.coalesce("relationships", F.lit(NO_RELATIONS)).alias("relationships"))
+
+
+def entity_context(top: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, context: source texts, entities and relationships of a question's nodes, for the prompt of an answer.
+
+    ``top``: query_id, rank, id, name, entity_type, description, aliases, properties; ``edges``: query_id and edge columns.
+    Of the first edges (in order of id) those that touch a node of the question come out.
+    """
+    from noetia.operators.context import validity_span
+
+    lim = CONTEXT_LIMITS
+    c = _chunks(top, lim["chunk_nodes"], lim["chunks"])
+    chunk = F.concat(F.lit("\n[Source "), F.col("place").cast("string"), F.lit("]:\n"), X.byte_prefix("chunk", lim["chunk_bytes"]), F.lit("\n"))
+    times = F.get_json_object("properties", "$.occurrence_count").try_cast("int")
+    seen = F.when(times > 1, F.concat(F.lit("  [Mentioned "), times.cast("string"), F.lit(" times across documents]\n"))).otherwise(F.lit(""))
+    node = F.concat(F.lit("\n• "), "name", F.lit(" ("), F.coalesce("entity_type", F.lit("")), F.lit(")"), _also(lim["aliases"], "Also known as"), F.lit("\n  Description: "), _described(), F.lit("\n"), seen)
+    nodes = top.where((F.col("rank") <= lim["nodes"]) & F.col("name").isNotNull()).select("query_id", F.col("rank").alias("place"), node.alias("line"))
+    ends = top.select("query_id", "id").distinct()
+    first = _first_edges(edges.where("source_id is not null and target_id is not null"), lim["edges"])
+    hit = first.join(ends.select("query_id", F.col("id").alias("source_id"), F.lit(True).alias("_s")), ["query_id", "source_id"], "left").join(ends.select("query_id", F.col("id").alias("target_id"), F.lit(True).alias("_t")), ["query_id", "target_id"], "left").where("_s or _t")
+    detail = F.when(F.col("description") != "", F.concat(F.lit("  Detail: "), "description", F.lit("\n"))).otherwise(F.lit(""))
+    rel = hit.withColumn("line", F.concat(_edge_line("• ", validity_span(" → ")), detail))
+    have = first.select("query_id").distinct().withColumn("_e", F.lit("\n\n## RELATIONSHIPS\n"))
+    out = top.select("query_id").distinct()
+    for part, df in (("a", c.withColumn("line", chunk)), ("b", nodes), ("c", rel)):
+        out = out.join(_text(df, part), "query_id", "left")
+    out = out.join(have, "query_id", "left")
+    head = F.when(F.col("a") != "", F.concat(F.lit("## ORIGINAL SOURCE TEXT (contains full details)\n"), "a")).otherwise(F.lit(""))
+    return out.select("query_id", F.concat(head, F.lit("\n\n## EXTRACTED ENTITIES\n"), F.coalesce("b", F.lit("")), F.coalesce("_e", F.lit("")), F.coalesce("c", F.lit(""))).alias("context"))
+
+
+def cached_search(cache, nodes: DataFrame, queries: list[MemoryQuery], now: Column, user_id: str, memory_id: str, top_k: int = 10, floor: float = 0.5, filters: dict | None = None) -> DataFrame:
+    """:func:`semantic_search` through a cache table: query_id, id, score, rank. Questions whose results are cached and have
+    not expired aren't searched again; only results that aren't empty are stored, and only for a named memory."""
+    import json
+
+    spark = nodes.sparkSession
+    asked = spark.createDataFrame([(q.query_id, q.query) for q in queries], "query_id int, query string")
+    rest = F.lit(json.dumps(filters or {}, sort_keys=True, separators=(",", ":")))
+    key = F.concat_ws(":", F.lit("search"), F.lit(user_id), F.lit(memory_id), X.search_key(F.col("query"), F.lit(top_k), F.lit(floor), rest))
+    asked = asked.withColumn("key", key)
+    kind = "array<struct<id:string,score:double,rank:int>>"
+    if not memory_id:
+        return semantic_search(nodes, queries, now, top_k, floor, filters).select("query_id", "id", "score", "rank")
+    hit = cut(cache.get(asked, now).join(asked, "key").select("query_id", F.from_json("value", kind).alias("v")))
+    known = {r["query_id"] for r in hit.select("query_id").collect()}  # at most a batch of questions
+    old = hit.select("query_id", F.explode("v").alias("x")).select("query_id", "x.*")
+    todo = [q for q in queries if q.query_id not in known]
+    if not todo:
+        return old
+    new = cut(semantic_search(nodes, todo, now, top_k, floor, filters).select("query_id", "id", "score", "rank"))
+    found = new.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "id", "score")))).alias("value"))
+    cache.put(found.join(asked, "query_id").select("key", "value"), now)
+    return old.unionByName(new)
+
+
 def semantic_score(now: Column) -> tuple[Column, Column]:
     """(ranking score, similarity with the alias boost, capped at 1)."""
     q = F.lower("query")

@@ -8,6 +8,7 @@ from noetia.functions import expr as X
 from noetia.operators import evolve, graph, rank, retrieve
 from noetia.plans import views as V
 from noetia.session import cut, table
+from noetia.sources import stores
 
 QUERIES, SQL = {}, {}
 
@@ -23,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def W(*parts: str) -> str:
-    return "WITH " + ", ".join(parts) + "\n"
+    return "WITH RECURSIVE " + ", ".join(parts) + "\n"
 
 
 N, E, L, C, Q = V.NODES, V.EDGES, V.LINKED, V.CLUSTERS, V.QUESTIONS
@@ -74,7 +75,16 @@ def consolidation_tokens(s, d):
     return V.nodes(s, d).select("id", F.array_join(F.array_sort(X.consolidation_tokens("name")), " ").alias("tokens"), X.last_name("name").alias("last_name"))
 
 
-@query()
+def _lcs_sql(pairs: str) -> str:
+    """CTEs that end in ``lcs``: the rows of ``pairs(k, a, b)`` with their ratio; the table's rows one after the other."""
+    cell = "greatest(row[j], CASE WHEN y[j] = x[i + 1] THEN CASE WHEN j > 1 THEN row[j - 1] ELSE 0 END + 1 ELSE 0 END)"
+    return f"""lp AS (SELECT k, lower(a) = lower(b) AS same, regexp_extract_all(hex(encode(lower(a))), '..') AS x, regexp_extract_all(hex(encode(lower(b))), '..') AS y FROM ({pairs})),
+lr AS (SELECT k, x, y, 0 AS i, list_transform(y, lambda c: 0) AS row FROM lp
+  UNION ALL SELECT k, x, y, i + 1, list_transform(range(1, len(y) + 1), lambda j: list_max(m[1:j])) FROM (SELECT *, list_transform(range(1, len(y) + 1), lambda j: {cell}) AS m FROM lr WHERE i < len(x))),
+lcs AS (SELECT k, 2.0::DOUBLE * row[len(y)] / (len(x) + len(y)) AS ratio FROM lr WHERE i = len(x) AND len(x) > 0 AND len(y) > 0)"""
+
+
+@query(W(N, _lcs_sql("SELECT DISTINCT {'id': id, 'alias': alias, 'name': name} AS k, name AS a, alias AS b FROM (SELECT id, name, unnest(aliases) AS alias FROM nodes) WHERE alias <> name")) + "SELECT DISTINCT k.id AS id, k.alias AS alias, round(ratio, 6) AS similarity FROM lcs")
 def name_similarity_lcs(s, d):
     n = V.nodes(s, d).select("id", "name", F.explode("aliases").alias("alias")).where("alias <> name")
     return n.select("id", "alias", F.round(evolve.name_similarity("name", "alias"), 6).alias("similarity")).distinct()
@@ -106,16 +116,16 @@ _H = f"exp(-0.693 * {AGE.format(t='accessed_at')} / {{life}})"
 
 @query(W(N) + f"""SELECT id, round({_H.format(life='30.0')}, 6) AS recency, CASE WHEN d < 1 THEN 10.0 WHEN d < 7 THEN 8.0 WHEN d < 30 THEN 5.0 WHEN d < 90 THEN 3.0 ELSE 1.0 END AS recency_steps,
   CASE WHEN coalesce(access_count, 0) <= 0 THEN 0.0 ELSE round(least(1.0, ln(1 + access_count) / ln(101)), 6) END AS frequency,
-  round(exp(-0.693 * d / (30.0 * (0.5 + importance / 20.0) * least(1.0, 0.5 + ln(1 + greatest(coalesce(access_count, 0), 0)) / 10))), 6) AS strength
-FROM (SELECT *, {AGE.format(t='accessed_at')} AS d FROM nodes) WHERE accessed_at BETWEEN TIMESTAMPTZ '2000-01-01 00:00:00+00' AND {NOW} AND importance IN (0,1,3,5,6,8,10)""")
+  round(exp(-0.693 * d / (30.0 * (0.5 + importance / 20.0) * least(1.0, 0.5 + ln(1 + greatest(coalesce(access_count, 0), 0)) / 10))), 4) AS strength
+FROM (SELECT *, {AGE.format(t='accessed_at')} AS d FROM nodes) WHERE accessed_at IS NOT NULL""")
 def node_strength(s, d):
-    n = V.nodes(s, d).where(F.col("accessed_at").between(F.lit("2000-01-01").cast("timestamp"), V.now()) & F.col("importance").isin(0, 1, 3, 5, 6, 8, 10))
-    return n.select("id", F.round(X.recency("accessed_at", V.now()), 6).alias("recency"), X.recency_steps("accessed_at", V.now()).alias("recency_steps"), F.round(X.frequency("access_count"), 6).alias("frequency"), F.round(X.node_strength("accessed_at", V.now(), "importance", "access_count"), 6).alias("strength"))
+    n = V.nodes(s, d).where("accessed_at is not null")
+    return n.select("id", F.round(X.recency("accessed_at", V.now()), 6).alias("recency"), X.recency_steps("accessed_at", V.now()).alias("recency_steps"), F.round(X.frequency("access_count"), 6).alias("frequency"), F.round(X.node_strength("accessed_at", V.now(), "importance", "access_count"), 4).alias("strength"))
 
 
-@query(W(E) + f"SELECT id, round(exp(-0.693 * {AGE.format(t='accessed_at')} / greatest(1.0, 30.0 * least(1.0, weight / 5.0) * confidence)), 6) AS strength FROM edges WHERE accessed_at <= {NOW} AND weight IS NOT NULL AND confidence IS NOT NULL")
+@query(W(E) + f"SELECT id, round(exp(-0.693 * {AGE.format(t='accessed_at')} / greatest(1.0, 30.0 * least(1.0, weight / 5.0) * confidence)), 6) AS strength FROM edges WHERE accessed_at IS NOT NULL AND weight IS NOT NULL AND confidence IS NOT NULL")
 def edge_strength(s, d):
-    e = V.edges(s, d).where((F.col("accessed_at") <= V.now()) & F.col("weight").isNotNull() & F.col("confidence").isNotNull())
+    e = V.edges(s, d).where("accessed_at is not null and weight is not null and confidence is not null")
     return e.select("id", F.round(X.edge_strength("accessed_at", V.now(), "weight", "confidence"), 6).alias("strength"))
 
 
@@ -182,7 +192,9 @@ def graph_view(s, d):
     return row("node", n, "name", "type", F.col("importance")).union(row("edge", e, "source", "target", F.col("relation"))).union(row("cluster", c, "summary", "size", F.lit(None)))
 
 
-@query()
+@query(W(N) + """, p AS (SELECT id, unnest(json_keys(coalesce(properties, '{}'))) AS k, properties FROM nodes),
+v AS (SELECT id, k, json_extract_string(properties, '$."' || k || '"') AS v FROM p WHERE k NOT IN ('source', 'year') UNION ALL SELECT id, 'source', 'import' FROM nodes UNION ALL SELECT id, 'year', '2024' FROM nodes)
+SELECT id, '{' || string_agg(CAST(to_json(k) AS VARCHAR) || ':' || CAST(to_json(v) AS VARCHAR), ',' ORDER BY k) || '}' AS properties FROM v WHERE v IS NOT NULL GROUP BY id""")
 def property_merge(s, d):
     return V.nodes(s, d).select("id", X.json_merge("properties", F.lit('{"source": "import", "year": "2024"}')).alias("properties"))
 
@@ -349,25 +361,20 @@ def pagerank_weighted(s, d):
     return rank.pagerank_weighted(V.nodes(s, d), V.linked(s, d), iterations=_STEPS).select("id", F.round("pagerank", 5).alias("pagerank"))
 
 
-_GOODN = f"good AS (SELECT * FROM nodes WHERE accessed_at BETWEEN TIMESTAMPTZ '2000-01-01 00:00:00+00' AND {NOW} AND importance IN (0,1,3,5,6,8,10))"
 _FREQ = "CASE WHEN coalesce(access_count, 0) <= 0 THEN 0.0 ELSE least(1.0, ln(1 + access_count) / ln(101)) END"
 
 
-def _good(s, d):
-    return V.nodes(s, d).where(F.col("accessed_at").between(F.lit("2000-01-01").cast("timestamp"), V.now()) & F.col("importance").isin(0, 1, 3, 5, 6, 8, 10))
-
-
-@query(_prw_sql(_STEPS) + f", {_GOODN} SELECT g.id, round(least(10.0, greatest(0.0, 10 * (0.3 * exp(-0.693 * {AGE.format(t='accessed_at')} / 30) + 0.3 * {_FREQ} + 0.2 * coalesce(pr / (SELECT max(pr) FROM r{_STEPS}), 0) + 0.2 * importance / 10))), 4) AS score FROM good g LEFT JOIN r{_STEPS} r ON r.id = g.id")
+@query(_prw_sql(_STEPS) + f" SELECT g.id, round(least(10.0, greatest(0.0, 10 * (0.3 * exp(-0.693 * {AGE.format(t='accessed_at')} / 30) + 0.3 * {_FREQ} + 0.2 * coalesce(pr / (SELECT max(pr) FROM r{_STEPS}), 0) + 0.2 * importance / 10))), 4) AS score FROM nodes g LEFT JOIN r{_STEPS} r ON r.id = g.id")
 def node_importance(s, d):
     r = rank.pagerank_weighted(V.nodes(s, d), V.linked(s, d), iterations=_STEPS)
-    return rank.node_importance(_good(s, d), r, V.now()).select("id", F.round("score", 4).alias("score"))
+    return rank.node_importance(V.nodes(s, d), r, V.now()).select("id", F.round("score", 4).alias("score"))
 
 
 @query(W(N, E, L) + f""", i AS (SELECT id, max(importance) AS imp FROM nodes GROUP BY 1)
 SELECT l.id, round(least(10.0, greatest(0.0, 10 * (0.25 * exp(-0.693 * {AGE.format(t='l.accessed_at')} / 30) + 0.2 * {_FREQ} + 0.2 * least(1.0, weight / 5) + 0.15 * confidence + 0.2 * (coalesce(a.imp / 10, 0.5) + coalesce(b.imp / 10, 0.5)) / 2))), 6) AS score
-FROM linked l LEFT JOIN i a ON a.id = source_id LEFT JOIN i b ON b.id = target_id WHERE l.accessed_at <= {NOW} AND confidence IS NOT NULL""")
+FROM linked l LEFT JOIN i a ON a.id = source_id LEFT JOIN i b ON b.id = target_id WHERE l.accessed_at IS NOT NULL AND confidence IS NOT NULL""")
 def edge_importance(s, d):
-    e = V.linked(s, d).where((F.col("accessed_at") <= V.now()) & F.col("confidence").isNotNull())
+    e = V.linked(s, d).where("accessed_at is not null and confidence is not null")
     return rank.edge_importance(e, V.nodes(s, d), V.now()).select("id", F.round("score", 6).alias("score"))
 
 
@@ -375,32 +382,37 @@ def edge_importance(s, d):
 _EXPD = f"importance * exp(-0.6931471805599453 * {AGE.format(t='accessed_at')} / 30)"
 
 
-@query(W(N, _GOODN) + f""", b AS (SELECT *, {BUCKET.format(s='(' + _EXPD + ')')} AS new_importance FROM good WHERE state = 'ACTIVE' AND importance < 10)
+@query(W(N) + f""", b AS (SELECT *, {BUCKET.format(s='(' + _EXPD + ')')} AS new_importance FROM nodes WHERE state = 'ACTIVE' AND importance < 10 AND accessed_at IS NOT NULL)
 SELECT id, memory_id, importance, new_importance, CASE WHEN new_importance = 0 THEN 'DECAYING' ELSE state END AS new_state FROM b WHERE importance - new_importance >= 2""")
 def decay_facade(s, d):
-    return evolve.facade_decay(_good(s, d), V.now())
+    return evolve.facade_decay(V.nodes(s, d), V.now())
 
 
-@query(_pr_sql(20) + f""", {_GOODN}, b AS (SELECT g.*, 0.3 * CASE WHEN {AGE.format(t='accessed_at')} < 1 THEN 10 WHEN {AGE.format(t='accessed_at')} < 7 THEN 8 WHEN {AGE.format(t='accessed_at')} < 30 THEN 5 WHEN {AGE.format(t='accessed_at')} < 90 THEN 3 ELSE 1 END
-  + 0.3 * coalesce(access_count, 0) / 100 + 0.2 * coalesce(pr, 0) * 10 + 0.2 * importance AS sc FROM good g LEFT JOIN r20 r ON r.id = g.id WHERE state = 'ACTIVE')
+@query(_pr_sql(20) + f""", b AS (SELECT g.*, 0.3 * CASE WHEN {AGE.format(t='accessed_at')} < 1 THEN 10 WHEN {AGE.format(t='accessed_at')} < 7 THEN 8 WHEN {AGE.format(t='accessed_at')} < 30 THEN 5 WHEN {AGE.format(t='accessed_at')} < 90 THEN 3 ELSE 1 END
+  + 0.3 * coalesce(access_count, 0) / 100 + 0.2 * coalesce(pr, 0) * 10 + 0.2 * importance AS sc FROM nodes g LEFT JOIN r20 r ON r.id = g.id WHERE state = 'ACTIVE' AND accessed_at IS NOT NULL AND importance IS NOT NULL)
 SELECT id, memory_id, importance, {BUCKET.format(s='sc')} AS new_importance FROM b WHERE abs({BUCKET.format(s='sc')} - importance) >= 2""")
 def reinforce_scores(s, d):
-    return evolve.facade_reinforce(_good(s, d), rank.pagerank(V.nodes(s, d), V.linked(s, d)), V.now())
+    return evolve.facade_reinforce(V.nodes(s, d), rank.pagerank(V.nodes(s, d), V.linked(s, d)), V.now())
 
 
-@query()
+_STRENGTH = f"exp(-0.693 * {AGE.format(t='accessed_at')} / (30.0 * (0.5 + importance / 20.0) * least(1.0, 0.5 + ln(1 + greatest(coalesce(access_count, 0), 0)) / 10)))"
+_NODE_SCORE = f"least(10.0, greatest(0.0, 10 * (0.3 * exp(-0.693 * {AGE.format(t='accessed_at')} / 30) + 0.3 * {_FREQ} + 0.2 * coalesce(pr / (SELECT max(pr) FROM r{_STEPS}), 0) + 0.2 * importance / 10)))"
+
+
+@query(_prw_sql(_STEPS) + f""", q AS (SELECT g.*, {_STRENGTH} AS strength, {_NODE_SCORE} AS score FROM nodes g LEFT JOIN r{_STEPS} r ON r.id = g.id WHERE state <> 'DELETED' AND importance < 10 AND accessed_at IS NOT NULL),
+z AS (SELECT *, CASE WHEN importance < 1 AND strength <= 0.05 THEN 'DELETED' WHEN importance < 1 AND strength <= 0.2 THEN 'ARCHIVED' ELSE state END AS new_state FROM q)
+SELECT id, memory_id, round(strength, 4) AS strength, new_state, CASE WHEN new_state <> state THEN importance ELSE {BUCKET.format(s='score')} END AS new_importance FROM z""")
 def decay_nodes(s, d):
     r = rank.pagerank_weighted(V.nodes(s, d), V.linked(s, d), iterations=_STEPS)
-    out = evolve.decay_nodes(_good(s, d), rank.node_importance(_good(s, d), r, V.now()), V.now())
-    return out.select("id", "memory_id", F.round("strength", 6).alias("strength"), "new_state", "new_importance")
+    out = evolve.decay_nodes(V.nodes(s, d), rank.node_importance(V.nodes(s, d), r, V.now()), V.now())
+    return out.select("id", "memory_id", F.round("strength", 4).alias("strength"), "new_state", "new_importance")
 
 
 @query(W(N, E, L) + f""", s AS (SELECT l.*, exp(-0.693 * {AGE.format(t='accessed_at')} / greatest(1.0, 30.0 * least(1.0, weight / 5.0) * confidence)) AS strength,
-  source_id IN (SELECT id FROM nodes WHERE state = 'DELETED') OR target_id IN (SELECT id FROM nodes WHERE state = 'DELETED') AS dead FROM linked l WHERE state <> 'DELETED' AND coalesce(importance, 5) < 10 AND accessed_at <= {NOW} AND confidence IS NOT NULL AND weight IS NOT NULL)
+  source_id IN (SELECT id FROM nodes WHERE state = 'DELETED') OR target_id IN (SELECT id FROM nodes WHERE state = 'DELETED') AS dead FROM linked l WHERE state <> 'DELETED' AND coalesce(importance, 5) < 10 AND accessed_at IS NOT NULL AND confidence IS NOT NULL AND weight IS NOT NULL)
 SELECT id, round(strength, 6) AS strength, CASE WHEN dead OR strength <= 0.05 THEN 'DELETED' ELSE state END AS new_state, round(CASE WHEN NOT dead AND strength > 0.05 AND strength < 0.5 THEN weight * strength ELSE weight END, 6) AS new_weight FROM s""")
 def decay_edges(s, d):
-    e = V.linked(s, d).where(F.col("accessed_at") <= V.now())
-    return evolve.decay_edges(e, V.nodes(s, d), V.now()).select("id", F.round("strength", 6).alias("strength"), "new_state", F.round("new_weight", 6).alias("new_weight"))
+    return evolve.decay_edges(V.linked(s, d), V.nodes(s, d), V.now()).select("id", F.round("strength", 6).alias("strength"), "new_state", F.round("new_weight", 6).alias("new_weight"))
 
 
 _SIM = W(N) + f""", a AS (SELECT * FROM nodes WHERE state = 'ACTIVE' AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0)
@@ -415,18 +427,76 @@ def similar_pairs(s, d):
     return evolve.similar_pairs(n).select("memory_id", "entity_type", "id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
-def name_similar_pairs(s, d):
-    n = V.nodes(s, d).withColumn("embedding", F.lit(None).cast("array<float>"))
-    return evolve.similar_pairs(n.where(F.col("entity_type").isin("Project", "Product")), 0.9).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+_ACT = "act AS (SELECT * FROM nodes WHERE state = 'ACTIVE' AND entity_type IS NOT NULL)"
+_BY_NAME = _lcs_sql("""SELECT {'m': x.memory_id, 't': x.entity_type, 'a': x.id, 'b': y.id} AS k, x.name AS a, y.name AS b FROM act x JOIN act y ON x.memory_id = y.memory_id AND x.entity_type = y.entity_type AND x.id < y.id WHERE (coalesce(len(x.embedding), 0) = 0 OR coalesce(len(y.embedding), 0) = 0) AND 2.0 * least(octet_length(encode(x.name)), octet_length(encode(y.name))) / (octet_length(encode(x.name)) + octet_length(encode(y.name))) >= 0.84""")
 
 
-@query()
+@query(W(N, _ACT, _BY_NAME) + "SELECT k.m AS memory_id, k.t AS entity_type, k.a AS id_a, k.b AS id_b, round(ratio, 6) AS similarity FROM lcs WHERE ratio >= 0.85")
+def name_similar_pairs(s, d):
+    """The pairs of the whole rule of which one node at least has no vector, so the names decide."""
+    n = cut(V.nodes(s, d))
+    bare = n.where(F.coalesce(F.size("embedding"), F.lit(0)) <= 0).select("id")
+    p = evolve.similar_pairs(n)
+    hit = lambda c: bare.select(F.col("id").alias(c))
+    a = p.join(hit("id_a"), "id_a", "left_semi").select(p.columns)
+    b = p.join(hit("id_a"), "id_a", "left_anti").join(hit("id_b"), "id_b", "left_semi").select(p.columns)
+    return a.union(b).select("memory_id", "entity_type", "id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+_LASTN = "CASE WHEN len(w) > 0 THEN coalesce(list_filter(w, lambda x: x NOT IN ('dr','mr','ms','mrs','prof','professor','jr','sr','phd','md','the'))[-1], w[-1]) END"
+_DUPS = f"""dk AS MATERIALIZED (SELECT *, {_LASTN} AS last FROM (
+  SELECT memory_id, coalesce(nullif(lower(entity_type), ''), 'unknown') AS kind, id, lower(trim(coalesce(name, ''))) AS n, coalesce(nullif(lower(trim(coalesce(canonical_name, ''))), ''), lower(trim(coalesce(name, '')))) AS p,
+    list_filter(list_transform(coalesce(aliases, []), lambda x: lower(trim(coalesce(x, '')))), lambda x: x <> '') AS al, embedding AS e,
+    list_transform(regexp_extract_all(coalesce(nullif(trim(canonical_name), ''), name), '[A-Za-z]{{2,}}'), lambda x: lower(x)) AS w,
+    list_filter(list_distinct(regexp_extract_all(lower(coalesce(nullif(trim(canonical_name), ''), name)), '\\b[a-z]{{2,}}\\b')), lambda x: x NOT IN ('the','dr','mr','ms','mrs','prof','professor','inc','corp','llc')) AS tk FROM nodes)),
+dp AS (SELECT x.memory_id, x.kind, x.id AS id_a, y.id AS id_b, x.p AS xp, y.p AS yp, x.n AS xn, y.n AS yn, x.al AS xa, y.al AS ya, x.last AS xl, y.last AS yl, x.tk AS xt, y.tk AS yt,
+    CASE WHEN len(list_filter(x.e, lambda v: NOT isfinite(v))) = 0 AND len(list_filter(y.e, lambda v: NOT isfinite(v))) = 0 THEN {V.COSINE.format(a='x.e', b='y.e')} ELSE 0 END AS c
+  FROM dk x JOIN dk y ON x.memory_id = y.memory_id AND x.kind = y.kind AND x.id < y.id),
+dup AS (SELECT memory_id, kind, id_a, id_b FROM dp WHERE (xp <> '' AND (xp = yp OR xp = yn)) OR (yp <> '' AND yp = xn) OR len(list_intersect(xa, ya)) > 0 OR list_contains(ya, xp) OR list_contains(xa, yp)
+  OR (xp <> '' AND yp <> '' AND (contains(xp, yp) OR contains(yp, xp))) OR (xl = yl AND length(xl) >= 3 AND c >= 0.65)
+  OR (len(xt) > 0 AND len(yt) > 0 AND len(list_intersect(xt, yt)) / least(len(xt), len(yt)) >= 0.5 AND c >= 0.6) OR c >= 0.75)"""
+
+
+@query(W(N, _DUPS) + "SELECT * FROM dup")
 def duplicate_pairs(s, d):
     return evolve.duplicate_pairs(V.nodes(s, d))
 
 
 @query()
+def duplicate_groups(s, d):
+    """Star groups of the duplicates; tested against the greedy order on a fixture."""
+    n = cut(V.nodes(s, d))
+    return evolve.star_groups(evolve.duplicate_pairs(n), n)
+
+
+@query()
+def consolidate_fully(s, d):
+    """Merged nodes after duplicates, repeated edges and inferred links."""
+    out, _, _, _ = evolve.consolidate_fully(cut(V.nodes(s, d)), V.linked(s, d), V.now())
+    return out.select("id", "memory_id", "name", "access_count", "importance", F.size("aliases").alias("n_aliases"))
+
+
+@query()
+def consolidation_log(s, d):
+    """How many merges and folds a full consolidation logs per memory."""
+    _, _, _, log = evolve.consolidate_fully(cut(V.nodes(s, d)), V.linked(s, d), V.now())
+    return log.groupBy("memory_id", "evolution_type").agg(F.count("*").alias("n_events"))
+
+
+_SIMILAR = f"""sa AS (SELECT * FROM act WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+sp AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM sa x JOIN sa y ON x.memory_id = y.memory_id AND x.entity_type = y.entity_type AND x.id < y.id AND len(x.embedding) = len(y.embedding) WHERE {V.COSINE.format(a='x.embedding', b='y.embedding')} >= 0.85
+  UNION ALL SELECT k.a, k.b FROM lcs WHERE ratio >= 0.85),
+sy AS MATERIALIZED (SELECT a, b FROM sp UNION SELECT b, a FROM sp),
+cl0 AS (SELECT DISTINCT a AS id, a AS root FROM sy UNION SELECT sy.b, cl0.root FROM cl0 JOIN sy ON sy.a = cl0.id),
+comp AS MATERIALIZED (SELECT id, min(root) AS g FROM cl0 GROUP BY id),
+keep AS (SELECT g, arg_max(id, (coalesce(access_count, 0), coalesce(importance, 0), id)) AS new_id FROM comp JOIN nodes USING (id) GROUP BY g),
+mv AS MATERIALIZED (SELECT id AS old_id, new_id FROM comp JOIN keep USING (g) WHERE id <> new_id),
+got AS (SELECT new_id, list_distinct(flatten(list(list_append(coalesce(n.aliases, []), n.name)))) AS al, sum(coalesce(n.access_count, 0)) AS ac FROM mv JOIN nodes n ON n.id = old_id GROUP BY new_id)"""
+
+
+@query(W(N, _ACT, _BY_NAME, _SIMILAR) + """SELECT n.id, n.memory_id, CASE WHEN m.old_id IS NOT NULL THEN 'DELETED' ELSE n.state END AS state, CAST(coalesce(n.access_count, 0) + coalesce(ac, 0) AS BIGINT) AS access_count,
+  array_to_string(list_sort(list_filter(CASE WHEN al IS NOT NULL THEN list_distinct(list_concat(coalesce(n.aliases, []), al)) ELSE n.aliases END, lambda x: x IS NOT NULL)), '|') AS aliases
+FROM nodes n LEFT JOIN got ON got.new_id = n.id LEFT JOIN mv m ON m.old_id = n.id""")
 def consolidate_nodes(s, d):
     n = cut(V.nodes(s, d))
     out, _, _ = evolve.consolidate(n, V.edges(s, d), evolve.similar_pairs(n), V.now())
@@ -436,7 +506,7 @@ def consolidate_nodes(s, d):
 @query()
 def evolve_memories(s, d):
     """The three default steps in order; the log of events."""
-    _, _, log = evolve.evolve(cut(_good(s, d)), V.linked(s, d), V.now())
+    _, _, log = evolve.evolve(cut(V.nodes(s, d)), V.linked(s, d), V.now())
     return log.select("id", "evolution_type", "memory_id", F.array_join("affected_nodes", ",").alias("affected_nodes"), "before_state", "after_state")
 
 
@@ -445,12 +515,19 @@ def evolve_due(s, d):
     return evolve.due(table(s, d, "memories"), V.now()).select("id")
 
 
-@query()
+_V1 = V._lit(V.vector(1))
+_PROD = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] * p[2] AS DOUBLE)))"
+_COS1 = f"CASE WHEN len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND {_PROD.format(a='embedding', b='embedding')} > 0 THEN {_PROD.format(a='embedding', b=_V1)} / (sqrt({_PROD.format(a='embedding', b='embedding')}) * sqrt({_PROD.format(a=_V1, b=_V1)})) ELSE 0 END"
+_RH = f"""rh AS (SELECT memory_id, id, state, round(least(1.0, {_COS1} * CASE WHEN state = 'ARCHIVED' THEN 1.1 ELSE 1.0 END), 5) AS relevance FROM nodes),
+rt AS MATERIALIZED (SELECT * FROM rh WHERE relevance >= 0.2 QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY relevance DESC, id) <= 10)"""
+
+
+@query(W(N, _RH) + "SELECT memory_id, id, relevance, CASE WHEN state IN ('ARCHIVED', 'DECAYING') THEN 'ACTIVE' ELSE state END AS new_state, CASE WHEN state IN ('ARCHIVED', 'DECAYING') THEN 'restored' WHEN state = 'ACTIVE' THEN 'strengthened' ELSE 'unchanged' END AS action FROM rt")
 def rehydrate(s, d):
     return evolve.rehydrate(V.nodes(s, d), V.vector(1), threshold=0.2, limit=10)
 
 
-@query()
+@query(W(N, E, L, _RH) + ", g AS (SELECT id FROM rt WHERE state IN ('ARCHIVED', 'DECAYING')) SELECT id, 'ACTIVE' AS state FROM linked WHERE state <> 'ACTIVE' AND (source_id IN (SELECT id FROM g) OR target_id IN (SELECT id FROM g))")
 def rehydrate_edges(s, d):
     r = evolve.rehydrate(V.nodes(s, d), V.vector(1), threshold=0.2, limit=10)
     return evolve.rehydrated_edges(V.linked(s, d), r).select("id", "state")
@@ -483,7 +560,7 @@ def retrieval_confidence(s, d):
     return _scored(s, d).groupBy("query_id").agg(F.round(F.avg("score"), 6).alias("confidence"), F.count("*").alias("n"))
 
 
-@query(_HYB.replace("WITH nodes", "WITH " + E + ", nodes", 1) + "SELECT t.query_id, e.id FROM edges e JOIN tp t ON t.id = e.source_id JOIN tp u ON u.id = e.target_id AND u.query_id = t.query_id WHERE e.state = 'ACTIVE'")
+@query(_HYB.replace("RECURSIVE nodes", "RECURSIVE " + E + ", nodes", 1) + "SELECT t.query_id, e.id FROM edges e JOIN tp t ON t.id = e.source_id JOIN tp u ON u.id = e.target_id AND u.query_id = t.query_id WHERE e.state = 'ACTIVE'")
 def retrieved_edges(s, d):
     top = cut(retrieve._top(_scored(s, d), 10))
     return retrieve.retrieved_edges(top, V.edges(s, d)).select("query_id", "id")
@@ -494,15 +571,95 @@ def retrieval_sources(s, d):
     return retrieve.sources(retrieve._top(_scored(s, d), 10)).select("query_id", F.array_join("sources", "|").alias("sources"))
 
 
-@query()
+@query(_HYB.replace("RECURSIVE nodes", "RECURSIVE " + E + ", nodes", 1) + """, nl AS (SELECT t.query_id, string_agg('- ' || t.name || ' (' || n.entity_type || '): ' || coalesce(n.description, ''), chr(10) ORDER BY t.rank) AS x FROM tp t JOIN nodes n ON n.id = t.id WHERE t.name IS NOT NULL AND n.entity_type IS NOT NULL GROUP BY 1),
+el AS (SELECT t.query_id, string_agg('- ' || e.source_id || ' ' || e.relation_type || ' ' || e.target_id || ': ' || coalesce(e.description, ''), chr(10) ORDER BY e.id) AS y FROM edges e JOIN tp t ON t.id = e.source_id JOIN tp u ON u.id = e.target_id AND u.query_id = t.query_id WHERE e.state = 'ACTIVE' GROUP BY 1)
+SELECT query_id, 'Entities:' || chr(10) || x || CASE WHEN y IS NOT NULL THEN chr(10) || chr(10) || 'Relationships:' || chr(10) || y ELSE '' END AS context FROM nl LEFT JOIN el USING (query_id)""")
 def retrieval_context(s, d):
     top = cut(retrieve._top(_scored(s, d), 10))
     return retrieve.context_text(top, retrieve.retrieved_edges(top, V.edges(s, d)))
 
 
-@query()
+_LIN = "list_filter(coalesce(aliases, []), lambda a: {})"
+_SEM = W(N, Q) + f""", sm AS (SELECT query_id, id, name, canonical_name, importance, access_count, accessed_at, lower(query) AS q, regexp_split_to_array(lower(query), '[ \\t\\n\\f\\r\\x0b]+') AS qw, aliases,
+    CASE WHEN len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 THEN {V.COSINE.format(a='embedding', b='q_embedding')} ELSE 0 END AS sim
+  FROM nodes, questions WHERE importance <> 0 AND state = 'ACTIVE'),
+sb AS (SELECT *, greatest(CASE WHEN len({_LIN.format('contains(q, lower(a))')}) > 0 THEN 0.30 ELSE 0.0 END,
+    CASE WHEN len({_LIN.format("list_has_any(regexp_split_to_array(lower(a), '[ \\t\\n\\f\\r\\x0b]+'), qw)")}) > 0 THEN 0.15 ELSE 0.0 END,
+    CASE WHEN len(coalesce(aliases, [])) > 0 AND (contains(q, lower(coalesce(canonical_name, name))) OR contains(q, lower(name))) THEN 0.25 ELSE 0.0 END) AS boost,
+    (epoch_us({NOW}) - epoch_us(accessed_at)) / 3600000000.0 AS hours FROM sm),
+ss AS (SELECT query_id, id, round(0.5 * sim + 0.25 * importance / 10.0 + 0.15 * (boost * 3.33) + CASE WHEN hours < 24 THEN 0.1 * (1 - hours / 24) ELSE 0.0 END + least(0.1, 0.01 * coalesce(access_count, 0)), 6) AS score, least(1.0, sim + boost) AS near FROM sb)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM ss WHERE near >= 0.2 QUALIFY rank <= 10"""
+
+
+@query(_SEM)
 def semantic_search(s, d):
-    return retrieve.semantic_search(_good(s, d), V.QUERIES, V.now(), floor=0.2, filters={"state": "ACTIVE"}).select("query_id", "id", "score", "rank")
+    return retrieve.semantic_search(V.nodes(s, d), V.QUERIES, V.now(), floor=0.2, filters={"state": "ACTIVE"}).select("query_id", "id", "score", "rank")
+
+
+@query(_SEM)
+def search_cached(s, d):
+    """The same questions a second time, from the cache of search results."""
+    c, n = stores.CacheTable(s), V.nodes(s, d)
+    ask = lambda: retrieve.cached_search(c, n, V.QUERIES, V.now(), "u", "m", floor=0.2, filters={"state": "ACTIVE"})
+    ask().count()
+    return ask().select("query_id", "id", "score", "rank")
+
+
+def _asked(s, d):
+    """The first nodes of each question with all their columns; some get source texts and counts as an ingestion leaves them."""
+    n = V.nodes(s, d)
+    chunk = F.concat(F.lit("About "), "name", F.lit(" as told: "), F.coalesce("description", F.lit("")))
+    given = F.to_json(F.struct(chunk.alias("source_chunk"), F.array(F.concat(F.lit("Type "), "entity_type"), F.lit(None).cast("string"), F.lit("")).alias("source_chunks"), F.length("name").alias("occurrence_count")))
+    top = retrieve._top(_scored(s, d), 25).select("query_id", "id", "rank")
+    return cut(top.join(n.withColumn("properties", F.when(F.length("name") % 2 == 0, given).otherwise(F.col("properties"))), "id"))
+
+
+_ASKED = _HYB + """, tq AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM fl QUALIFY rk <= 25),
+aq AS MATERIALIZED (SELECT t.query_id, t.rk AS rank, n.*, CASE WHEN length(n.name) % 2 = 0 THEN 'About ' || n.name || ' as told: ' || coalesce(n.description, '') END AS chunk, length(n.name) AS times FROM tq t JOIN nodes n USING (id)),
+ch AS (SELECT query_id, rank, i, CASE WHEN i = 0 THEN 'Type ' || entity_type ELSE chunk END AS c FROM aq, (SELECT unnest([0, 3]) AS i) WHERE chunk IS NOT NULL),
+qs AS (SELECT DISTINCT query_id FROM aq)"""
+_ORDERED = "(SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY min((rank, i))) AS p FROM ch WHERE rank <= {n} AND c <> '' GROUP BY query_id, c QUALIFY p <= {k})"
+_OTHER = "list_sort(list_filter(list_distinct(coalesce(aliases, [])), lambda a: a IS NOT NULL AND a <> name))[1:{n}]"
+
+
+@query(_ASKED + ", x AS (SELECT query_id, string_agg('[Source ' || p || ']: ' || c || chr(10) || chr(10), '' ORDER BY p) AS t FROM " + _ORDERED.format(n=10, k=5) + " GROUP BY 1) SELECT query_id, coalesce(t, 'No source text available') AS sources FROM qs LEFT JOIN x USING (query_id)")
+def source_chunks(s, d):
+    return retrieve.source_chunks(_asked(s, d))
+
+
+@query(_ASKED + ", x AS (SELECT query_id, string_agg('- ' || name || ' (' || coalesce(entity_type, '') || ')' || CASE WHEN len(" + _OTHER.format(n=5) + ") > 0 THEN ' [also known as: ' || array_to_string(" + _OTHER.format(n=5) + ", ', ') || ']' ELSE '' END || ': ' || coalesce(nullif(description, ''), 'No description') || chr(10), '' ORDER BY rank) AS t FROM aq WHERE rank <= 15 GROUP BY 1) SELECT query_id, coalesce(t, 'No entity details available.') AS entities FROM qs LEFT JOIN x USING (query_id)")
+def prompt_entities(s, d):
+    return retrieve.prompt_entities(_asked(s, d))
+
+
+def _asked_edges(s, d, top):
+    ends = top.select("query_id", "id").distinct()
+    e = V.linked(s, d).where("state = 'ACTIVE'")
+    a = e.join(ends.withColumnRenamed("id", "source_id"), "source_id").select("query_id", *e.columns)
+    b = e.join(ends.withColumnRenamed("id", "target_id"), "target_id").select("query_id", *e.columns)
+    return a.union(b).dropDuplicates(["query_id", "id"])
+
+
+_ASKED_EDGES = _ASKED.replace("RECURSIVE nodes", "RECURSIVE " + E + ", " + L + ", nodes", 1) + """, ae AS (SELECT DISTINCT ON (a.query_id, e.id) a.query_id, e.* FROM linked e JOIN aq a ON a.id = e.source_id OR a.id = e.target_id WHERE e.state = 'ACTIVE'),
+fe AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS p, source_id || ' --[' || coalesce(relation_type, '') || ']--> ' || target_id AS line, strftime(timezone('UTC', valid_from), '%Y') || ' → ' || coalesce(strftime(timezone('UTC', valid_until), '%Y'), 'present') AS years FROM ae)
+"""
+
+
+@query(_ASKED_EDGES + ", x AS (SELECT query_id, string_agg('- ' || line || CASE WHEN years IS NOT NULL THEN ' [' || years || ']' ELSE '' END || chr(10), '' ORDER BY p) AS t FROM fe WHERE p <= 15 GROUP BY 1) SELECT query_id, coalesce(t, 'No relationships available.') AS relationships FROM qs LEFT JOIN x USING (query_id)")
+def prompt_relationships(s, d):
+    top = _asked(s, d)
+    return retrieve.prompt_relationships(_asked_edges(s, d, top), top)
+
+
+@query(_ASKED_EDGES + """, a AS (SELECT query_id, string_agg(chr(10) || '[Source ' || p || ']:' || chr(10) || c || chr(10), '' ORDER BY p) AS t FROM """ + _ORDERED.format(n=15, k=10) + """ GROUP BY 1),
+b AS (SELECT query_id, string_agg(chr(10) || '• ' || name || ' (' || coalesce(entity_type, '') || ')' || CASE WHEN len(""" + _OTHER.format(n=8) + """) > 0 THEN ' [Also known as: ' || array_to_string(""" + _OTHER.format(n=8) + """, ', ') || ']' ELSE '' END
+  || chr(10) || '  Description: ' || coalesce(nullif(description, ''), 'No description') || chr(10) || CASE WHEN chunk IS NOT NULL AND times > 1 THEN '  [Mentioned ' || times || ' times across documents]' || chr(10) ELSE '' END, '' ORDER BY rank) AS t FROM aq WHERE rank <= 20 GROUP BY 1),
+r AS (SELECT query_id, string_agg('• ' || line || CASE WHEN years IS NOT NULL THEN ' [valid: ' || years || ']' ELSE '' END || chr(10) || CASE WHEN description <> '' THEN '  Detail: ' || description || chr(10) ELSE '' END, '' ORDER BY p) AS t FROM fe WHERE p <= 40 GROUP BY 1)
+SELECT query_id, CASE WHEN a.t <> '' THEN '## ORIGINAL SOURCE TEXT (contains full details)' || chr(10) || a.t ELSE '' END || chr(10) || chr(10) || '## EXTRACTED ENTITIES' || chr(10) || coalesce(b.t, '')
+  || CASE WHEN r.t IS NOT NULL THEN chr(10) || chr(10) || '## RELATIONSHIPS' || chr(10) || r.t ELSE '' END AS context FROM qs LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id) LEFT JOIN r USING (query_id)""")
+def entity_context(s, d):
+    top = _asked(s, d)
+    return retrieve.entity_context(top, _asked_edges(s, d, top))
 
 
 _VEC = W(N, Q) + f", v AS (SELECT query_id, id, importance, name, round({V.COSINE.format(a='embedding', b='q_embedding')}, 6) AS score FROM (SELECT * FROM nodes WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0), questions) "

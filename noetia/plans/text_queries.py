@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from noetia.engine import Engine, HashingEmbedding, embed
+from noetia.engine import EmbeddingCache, Engine, HashingEmbedding, NoEmbedding, embed
 from noetia.functions import expr as X
 from noetia.functions import text as T
 from noetia.operators import community, context, graph, resolve
@@ -35,32 +35,26 @@ def docs(s, d):
 
 
 # -- texts -----------------------------------------------------------------------------------------------------------------
-_PAGE_SQL = "'<html><head><title>t</title><style>p {x}</style></head><body><nav>menu</nav><main class=\"a\"><h1>T &amp; x</h1><p>' || text || '</p></main><script>var a = 1;</script><footer>end</footer></body></html>'"
-
-
-def _page():
-    return F.concat(F.lit('<html><head><title>t</title><style>p {x}</style></head><body><nav>menu</nav><main class="a"><h1>T &amp; x</h1><p>'), F.col("text"), F.lit("</p></main><script>var a = 1;</script><footer>end</footer></body></html>"))
-
-
 def _html_sql(c: str) -> str:
-    for tag in ("script", "style", "nav", "header", "footer", "aside"):
-        c = f"regexp_replace({c}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
-    m = f"regexp_extract({c}, '(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>', 1)"
-    c = f"CASE WHEN {m} <> '' THEN {m} ELSE {c} END"
+    for pattern in ("<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<(?:nav|header|footer|aside)[^>]*>.*?</(?:nav|header|footer|aside)>"):
+        c = f"regexp_replace({c}, '(?is){pattern}', '', 'g')"
+    main = "'(?is)<(?:main|article)[^>]*>(.*?)</(?:main|article)>'"
+    c = f"CASE WHEN regexp_matches({c}, {main}) THEN regexp_extract({c}, {main}, 1) ELSE {c} END"
     c = f"regexp_replace(regexp_replace({c}, '<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g')"
-    for name, ch in X.HTML_ENTITIES:
-        c = "replace({}, '{}', '{}')".format(c, name, ch.replace("'", "''"))
+    for name, ch in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''")):
+        c = f"replace({c}, '&{name};', '{ch}')"
     return f"trim(regexp_replace({c}, '[ \\t\\n\\f\\r\\x0b]+', ' ', 'g'), ' ')"
 
 
-@query("SELECT doc_id, md5(" + _html_sql("html") + ") AS text_hash FROM (SELECT doc_id, " + _PAGE_SQL + " AS html FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, md5(" + _html_sql("text") + ") AS text_hash FROM documents WHERE text IS NOT NULL")
 def html_to_text(s, d):
-    return docs(s, d).where("text is not null").select("doc_id", F.md5(X.html_text(_page())).alias("text_hash"))
+    return docs(s, d).where("text is not null").select("doc_id", F.md5(X.html_text("text")).alias("text_hash"))
 
 
 @query()
 def html_dom(s, d):
-    pages = docs(s, d).where("text is not null").select("doc_id", _page().alias("text"), F.lit("webpage").alias("modality"))
+    """Every text read as a page."""
+    pages = docs(s, d).where("text is not null").select("doc_id", "text", F.lit("webpage").alias("modality"))
     return T.chunk_table(pages, T.process).select("id", "source_id", "chunk_index", F.md5("content").alias("content_hash"), F.element_at("metadata", "title").alias("title"))
 
 
@@ -74,40 +68,48 @@ def token_estimates(s, d):
     return docs(s, d).where("text is not null").select("doc_id", X.token_estimate("text").alias("tokens"), (F.octet_length("text") > 200).alias("cut"))
 
 
-@query()
+@query("SELECT doc_id, octet_length(encode(text)) > 200 AS cut, md5(encode(text)[1:200]) AS bytes_hash FROM documents WHERE text IS NOT NULL")
 def byte_prefixes(s, d):
-    return docs(s, d).where("text is not null").select("doc_id", F.md5(X.byte_prefix("text", 200, "...")).alias("prefix_hash"))
+    """The bytes before a cut; what becomes of a split character is tested apart."""
+    t = docs(s, d).where("text is not null")
+    return t.select("doc_id", X.byte_prefix("text", 200, "...").endswith("...") & (F.octet_length("text") > 200), F.md5(F.substring(F.encode("text", "UTF-8"), 1, 200)).alias("bytes_hash")).toDF("doc_id", "cut", "bytes_hash")
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r\\x0b]+'), lambda x: trim(x, '.,!?;:''"')), lambda x: octet_length(encode(x)) > 2)) AS w FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x01-\\x7f]*'))
+_SPACES_SQL = "[\\s\\x{0b}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(text, '{_SPACES_SQL}'), lambda x: trim(x, '.,!?;:''"')), lambda x: octet_length(encode(x)) > 2), lambda x: lower(x))) AS w FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(list_sort(w), ' ')) AS token_hash FROM t""")
 def retrieval_tokens(s, d):
-    t = docs(s, d).where("text is not null").where(~F.col("text").rlike("[^\\x01-\\x7f]")).select("doc_id", X.retrieval_tokens("text").alias("w"))
+    t = docs(s, d).where("text is not null").select("doc_id", X.retrieval_tokens("text").alias("w"))
     return t.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("w"), " ")).alias("token_hash"))
 
 
-@query()
-def retrieval_tokens_all(s, d):
-    """As retrieval_tokens, over every text; its SQL holds for ASCII only, where lower case and white space are alike."""
-    t = docs(s, d).where("text is not null").select("doc_id", X.retrieval_tokens("text").alias("w"))
-    return t.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("w"), " ")).alias("token_hash"))
+_KINDS = "'.md': 'markdown', '.markdown': 'markdown', '.pdf': 'pdf', '.png': 'image', '.jpg': 'image', '.jpeg': 'image', '.gif': 'image', '.webp': 'image', '.bmp': 'image', '.mp3': 'audio', '.wav': 'audio', '.m4a': 'audio', '.flac': 'audio', '.ogg': 'audio', '.py': 'code', '.go': 'code', '.js': 'code', '.ts': 'code', '.java': 'code', '.cpp': 'code', '.c': 'code', '.rs': 'code', '.json': 'json', '.csv': 'csv', '.html': 'webpage', '.htm': 'webpage'"
 
 
-@query("SELECT doc_id, CASE WHEN ext = '' THEN CASE WHEN regexp_matches(u, '^https?://') THEN 'webpage' ELSE 'text' END ELSE coalesce(map_extract_value(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.EXTENSIONS.items()) + "}, ext), CASE WHEN regexp_matches(u, '^https?://') THEN 'webpage' ELSE 'text' END) END AS modality FROM (SELECT doc_id, coalesce(source_uri, '') AS u, regexp_extract(lower(coalesce(source_uri, '')), '(\\.[^./\\\\]+)$', 1) AS ext FROM documents)")
+@query("SELECT doc_id, coalesce(map_extract_value(MAP {" + _KINDS + "}, ext), CASE WHEN regexp_matches(u, '^https?://') THEN 'webpage' WHEN starts_with(text, '%PDF') THEN 'pdf' ELSE 'text' END) AS modality FROM (SELECT doc_id, text, coalesce(source_uri, '') AS u, regexp_extract(lower(coalesce(source_uri, '')), '(\\.[^./\\\\]+)$', 1) AS ext FROM documents)")
 def detect_modality(s, d):
-    return docs(s, d).select("doc_id", X.detect_modality("source_uri").alias("modality"))
+    return docs(s, d).select("doc_id", X.detect_modality("source_uri", F.encode("text", "UTF-8")).alias("modality"))
 
 
-@query()
+_HEADS = ("89504E470D0A1A0A", "FFD8FFE000104A46", "4749463839610000", "52494646000000005745425000", "255044462D312E34", "8950")
+
+
+@query("SELECT doc_id, k IN (0, 1, 2, 3) AS is_image, k IN (0, 1) AS is_image_by_magic, k = 4 AS is_pdf FROM (SELECT doc_id, doc_id % 6 AS k FROM documents WHERE text IS NOT NULL)")
 def image_signature(s, d):
-    head = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("89504E470D0A1A0A", "FFD8FFE000104A46", "4749463839610000", "52494646000000005745425000", "255044462D312E34", "8950")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return docs(s, d).select("doc_id", X.is_image(head).alias("is_image"))
+    """The first bytes of files before every document's own; and what their content makes of files without an extension."""
+    t = docs(s, d).where("text is not null")
+    head = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in _HEADS]), (F.col("doc_id") % 6 + 1).cast("int"))
+    content = F.when(F.col("doc_id") % 6 == 5, head).otherwise(F.concat(head, F.encode("text", "UTF-8")))
+    kind = X.detect_modality(F.lit("file"), content)
+    return t.select("doc_id", X.is_image(content).alias("is_image"), (kind == "image").alias("is_image_by_magic"), (kind == "pdf").alias("is_pdf"))
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(range(0, CAST(greatest(ceil((length(text) - 2000) / 1800.0), 0) AS BIGINT) + 1)) AS i, text FROM documents WHERE length(text) > 0)
-SELECT doc_id || '_' || i AS id, doc_id, CAST(i AS INT) AS chunk_index, md5(substr(text, i * 1800 + 1, 2000)) AS content_hash FROM p""")
+@query("""WITH p AS (SELECT doc_id, unnest(range(0, CAST(greatest(ceil((octet_length(encode(text)) - 2000) / 1800.0), 0) AS BIGINT) + 1)) AS i, encode(text) AS b FROM documents WHERE length(text) > 0)
+SELECT doc_id || '_' || i AS id, doc_id, CAST(i AS INT) AS chunk_index, md5(b[i * 1800 + 1:i * 1800 + 2000]) AS content_hash FROM p""")
 def pipeline_chunks(s, d):
-    return T.fixed_chunks(docs(s, d)).select("id", "doc_id", "chunk_index", F.md5("content").alias("content_hash"))
+    return T.fixed_chunks(docs(s, d)).select("id", "doc_id", "chunk_index", F.md5("raw").alias("content_hash"))
 
 
 @query("SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS part_index, md5(unnest(p)) AS part_hash FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?][ \\t\\n\\f\\r]+[A-Z]') AS p FROM documents WHERE text IS NOT NULL)")
@@ -115,8 +117,8 @@ def sentence_split_parity(s, d):
     return T.sentence_split(docs(s, d)).select("doc_id", "part_index", F.md5("part").alias("part_hash"))
 
 
-def _chunks(df, f):
-    return T.chunk_table(df, f).select("id", "source_id", "chunk_index", "start_char", "end_char", F.md5("content").alias("content_hash"))
+def _chunks(df, f, uri=None):
+    return T.chunk_table(df, f, uri=uri).select("id", "source_id", "chunk_index", "start_char", "end_char", F.md5("content").alias("content_hash"))
 
 
 @query()
@@ -131,7 +133,7 @@ def chunk_markdown(s, d):
 
 @query()
 def chunk_code(s, d):
-    return _chunks(docs(s, d).where("modality = 'code'"), T.process)
+    return _chunks(docs(s, d).where("modality = 'code'"), T.process, "source_uri")
 
 
 @query()
@@ -142,12 +144,23 @@ def chunk_kg(s, d):
 @query()
 def process_documents(s, d):
     """Every document by its modality."""
-    return _chunks(docs(s, d), T.process)
+    return _chunks(docs(s, d), T.process, "source_uri")
+
+
+@query()
+def table_functions(s, d):
+    """The chunkers as table functions of SQL."""
+    T.register_table_functions(s)
+    docs(s, d).createOrReplaceTempView("noetia_documents")
+    return s.sql("SELECT d.doc_id, c.chunk_index, c.start_char, c.end_char, md5(c.content) AS content_hash FROM noetia_documents d, LATERAL chunk_text(d.text, 1000, 200) c")
 
 
-@query("SELECT doc_id, substr(array_to_string((list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT starts_with(x, '#')))[1:5], ' '), 1, 500) AS summary FROM documents WHERE text IS NOT NULL")
+@query("WITH x AS (SELECT doc_id, array_to_string((list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \\t\\r\\x0b\\x0c')), lambda x: x <> '' AND NOT starts_with(x, '#')))[1:5], ' ') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, octet_length(encode(t)) > 500 AS cut, CASE WHEN octet_length(encode(t)) <= 500 THEN t END AS summary, (SELECT count(*) FROM x) > 0 AS summarised FROM x")
 def summarise(s, d):
-    return docs(s, d).where("text is not null").select("doc_id", context.summarise("text").alias("summary"))
+    """Summaries that need no cut come out whole; where the cut falls is tested apart."""
+    t = docs(s, d).where("text is not null").select("doc_id", context.summarise("text").alias("s"), context.summarise("text", 1 << 30).alias("whole"))
+    cut_ = F.octet_length("whole") > 500
+    return t.select("doc_id", cut_.alias("cut"), F.when(~cut_, F.col("s")).alias("summary"), F.octet_length("s").between(0, 503).alias("summarised"))
 
 
 # -- model answers -----------------------------------------------------------------------------------------------------------
@@ -182,7 +195,9 @@ def parse_answers(s, d):
     return docs(s, d).select("doc_id", X.parse_answer(raw).alias("x")).select("doc_id", "x.answer", "x.confidence")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split('1, 2' || chr(10) || '3' || chr(10) || 'foo, 4, 5' || chr(10) || (doc_id % 9) || ', 6', chr(10)) AS x FROM documents),
+g AS (SELECT doc_id, list_transform(x, lambda s: list_filter(list_transform(string_split(s, ','), lambda v: try_cast(trim(v) AS INT)), lambda v: v BETWEEN 1 AND 6)) AS y FROM l)
+SELECT doc_id, CAST(to_json(list_filter(y, lambda v: len(v) >= 2)) AS VARCHAR) AS groups FROM g""")
 def parse_groups(s, d):
     raw = F.concat(F.lit("1, 2\n3\nfoo, 4, 5\n"), (F.col("doc_id") % 9).cast("string"), F.lit(", 6"))
     return docs(s, d).select("doc_id", F.to_json(X.parse_groups(raw, F.lit(6))).alias("groups"))
@@ -256,25 +271,56 @@ def blended_embeddings(s, d):
     return b.select("grp", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))), 3).alias("norm"))
 
 
-@query(W(N) + """, l AS (SELECT memory_id, id, importance, CAST(floor(octet_length(encode('- ' || name || ': ' || CASE WHEN description <> '' THEN description ELSE name END)) * 0.25) AS BIGINT) AS tokens FROM nodes WHERE name IS NOT NULL AND importance IS NOT NULL AND octet_length(encode(coalesce(description, ''))) <= 200),
-u AS (SELECT *, sum(tokens) OVER (PARTITION BY memory_id ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM l)
-SELECT memory_id, id, tokens, CAST(used AS BIGINT) AS used FROM u WHERE used <= 500""")
-def context_budget(s, d):
-    n = V.nodes(s, d).where("name is not null and importance is not null").where(F.octet_length(F.coalesce("description", F.lit(""))) <= 200)
-    return context.within_budget(n, "memory_id", [F.desc("importance"), F.col("id")], context.entity_line(), 500).select("memory_id", "id", "tokens", "used")
+#: Bytes of a text that is cut to n bytes with three dots; a character that the cut splits becomes one of three bytes.
+_CUT_BYTES = "CASE WHEN octet_length(encode({c})) <= {n} THEN octet_length(encode({c})) ELSE 3 + {n} + CASE WHEN NOT regexp_matches(hex(encode({c})[{n} + 1:{n} + 1]), '^[89AB]') THEN 0 WHEN regexp_matches(hex(encode({c})[{n}:{n}]), '^[CDEF]') THEN 2 WHEN regexp_matches(hex(encode({c})[{n} - 1:{n} - 1]), '^[CDEF]') THEN 1 ELSE 0 END END"
 
 
-@query()
-def context_budget_all(s, d):
-    """As context_budget, with the entities whose description is cut to 200 bytes."""
+def _lines_sql(name: str, table: str, key: str, order: str, size: str, budget: int) -> str:
+    """CTEs that end in ``name``: the items of each memory that fit."""
+    return f"""{name}_l AS (SELECT memory_id, {key} AS id, {order} AS o, CAST(floor(({size}) * 0.25) AS BIGINT) AS tokens FROM {table} WHERE memory_id IS NOT NULL),
+{name}_u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY memory_id ORDER BY o DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM {name}_l WHERE tokens > 0),
+{name} AS (SELECT * FROM {name}_u WHERE used <= {budget})"""
+
+
+_ENTITY_SIZE = "octet_length(encode('• ' || name || ' (' || coalesce(entity_type, '') || '): ')) + 1 + " + _CUT_BYTES.format(c="(CASE WHEN description <> '' THEN description ELSE name END)", n=200)
+_EDGE_SIZE = "octet_length(encode('• ' || source_id || ' --[' || coalesce(relation_type, '') || ']--> ' || target_id)) + 1 + CASE WHEN description <> '' THEN 2 + " + _CUT_BYTES.format(c="description", n=100) + " ELSE 0 END"
+
+
+@query(W(N, _lines_sql("fit", "(SELECT * FROM nodes WHERE name IS NOT NULL AND importance IS NOT NULL)", "id", "importance", _ENTITY_SIZE, 500)) + "SELECT memory_id, id, tokens, used FROM fit")
+def context_budget(s, d):
     n = V.nodes(s, d).where("name is not null and importance is not null")
     return context.within_budget(n, "memory_id", [F.desc("importance"), F.col("id")], context.entity_line(), 500).select("memory_id", "id", "tokens", "used")
 
 
-@query()
+_QUESTION = "Who founded Apple?"
+_SECTIONS = {  # the budget is 8000 less 6 for the question; shares in the order of the sections
+    "communities": ("(SELECT * FROM cl WHERE summary IS NOT NULL)", "id", "coalesce(importance, 0)", "octet_length(encode('• ' || summary)) + 1", 2797),
+    "entities": ("(SELECT * FROM nodes WHERE name IS NOT NULL)", "id", "coalesce(importance, 0)", _ENTITY_SIZE, 2398),
+    "relationships": ("linked", "id", "coalesce(weight * confidence, 0)", _EDGE_SIZE, 1598),
+    "documents": ("(SELECT * FROM documents WHERE text IS NOT NULL)", "-doc_id", "0", "2 + " + _CUT_BYTES.format(c="text", n=500), 1199),
+}
+
+
+def _window_sql() -> str:
+    out = W(N, E, L, C, *(_lines_sql(f"fit_{k}", *x).replace("o DESC, id ROWS", "o DESC, id DESC ROWS" if k == "documents" else "o DESC, id ROWS") for k, x in _SECTIONS.items()))
+    for k, (table_, *_) in _SECTIONS.items():
+        out += f", {k}_t AS (SELECT memory_id, CAST(sum(tokens) AS BIGINT) AS t, count(*) AS kept FROM fit_{k} GROUP BY 1), {k}_h AS (SELECT memory_id, count(*) AS have FROM {table_} WHERE memory_id IS NOT NULL GROUP BY 1), {k}_x AS (SELECT memory_id, coalesce(t, 0) AS t, coalesce(kept, 0) BETWEEN 1 AND have - 1 AS c FROM {k}_h LEFT JOIN {k}_t USING (memory_id))"
+    out += " SELECT memory_id, " + " OR ".join(f"coalesce({k}_x.c, false)" for k in _SECTIONS) + " AS truncated, " + ", ".join(f"coalesce({k}_x.t, 0) AS {k}_tokens" for k in _SECTIONS)
+    return out + " FROM communities_x FULL JOIN entities_x USING (memory_id) FULL JOIN relationships_x USING (memory_id) FULL JOIN documents_x USING (memory_id)"
+
+
+@query(_window_sql())
 def context_window(s, d):
-    c = context.context_windows(V.nodes(s, d), V.linked(s, d), V.clusters(s, d), docs(s, d), "Who founded Apple?")
-    return c.select("memory_id", F.md5(F.coalesce("entities", F.lit(""))).alias("entities_hash"), "entities_tokens", "relationships_tokens", "communities_tokens", "documents_tokens")
+    """What each section of every memory's context costs; the text is tested apart."""
+    c = context.context_windows(V.nodes(s, d), V.linked(s, d), V.clusters(s, d), docs(s, d), _QUESTION)
+    return c.select("memory_id", "truncated", *[f"{k}_tokens" for k in _SECTIONS])
+
+
+@query()
+def context_text(s, d):
+    """The context of every memory, documents first."""
+    c = context.context_windows(V.nodes(s, d), V.linked(s, d), V.clusters(s, d), docs(s, d), _QUESTION, 2000, "documents")
+    return c.select("memory_id", "tokens_used", "truncated", F.md5("content").alias("content_hash"))
 
 
 @query(W(E, L) + "SELECT id, CASE WHEN valid_from IS NULL THEN '' ELSE '[valid: ' || strftime(timezone('UTC', valid_from), '%Y') || ' to ' || coalesce(strftime(timezone('UTC', valid_until), '%Y'), 'present') || ']' END AS span FROM linked")
@@ -283,30 +329,31 @@ def relationship_spans(s, d):
 
 
 # -- stores ------------------------------------------------------------------------------------------------------------------
-@query(W(N) + ", m AS (SELECT min(memory_id) AS m FROM nodes) SELECT 'nodes' AS kind, count(*) AS n FROM nodes, m WHERE memory_id = m")
+@query(W(N, E, C) + "SELECT 'node' AS kind, id, name AS a, importance AS n FROM nodes UNION ALL SELECT 'edge', id, relation_type, access_count FROM edges UNION ALL SELECT 'cluster', id, summary, importance FROM cl")
 def store_round_trip(s, d):
-    """One memory through a parquet store and back."""
-    n = V.nodes(s, d)
-    first = n.agg(F.min("memory_id").alias("m")).first()["m"]
-    store = stores.ParquetStore(s, f"{shared_dir(s)}/noetia-store")
-    own = F.col("memory_id") == first
-    store.save(graph.MemoryGraph(n.where(own), V.edges(s, d).where(own), V.clusters(s, d).where(own), first))
-    return store.load(first).counts().where("kind = 'nodes'")
+    """All tables as one memory through a parquet store, saved again from what was loaded, and back."""
+    store = stores.ParquetStore(s, f"{shared_dir(s)}/noetia-store-{uuid.uuid4().hex}")
+    store.save(graph.MemoryGraph(V.nodes(s, d), V.edges(s, d), V.clusters(s, d), "all"))
+    store.save(store.load("all"))
+    g = store.load("all")
+    row = lambda k, df, a, n: df.select(F.lit(k).alias("kind"), "id", F.col(a).alias("a"), F.col(n).cast("bigint").alias("n"))
+    return row("node", g.nodes, "name", "importance").union(row("edge", g.edges, "relation_type", "access_count")).union(row("cluster", g.clusters, "summary", "importance"))
 
 
-@query(W(N) + ", k AS (SELECT 'c:query:' || user_id || ':' || memory_id || ':' || md5(name) AS key, max(description) AS value FROM nodes WHERE user_id = 'u0001' GROUP BY 1) SELECT key, value FROM k")
+@query(W(N) + ", k AS (SELECT 'c:query:' || user_id || ':' || memory_id || ':' || md5(name) AS key, max(description) AS value FROM nodes GROUP BY 1) SELECT key, value FROM k WHERE key IS NOT NULL")
 def cache_lookup(s, d):
-    n = V.nodes(s, d).where("user_id = 'u0001'")
-    rows = n.select(F.concat_ws(":", F.lit("c"), F.lit("query"), "user_id", "memory_id", F.md5("name")).alias("key"), F.col("description").alias("value")).groupBy("key").agg(F.max("value").alias("value"))
+    n = V.nodes(s, d).where("memory_id is not null and name is not null")
+    rows = n.select(F.concat_ws(":", F.lit("c"), F.lit("query"), "user_id", "memory_id", F.md5("name")).alias("key"), F.col("description").alias("value"))
     c = stores.CacheTable(s)
     c.put(rows, V.now())
     return c.get(rows.select("key"), V.now()).select("key", "value")
 
 
-@query()
+@query("SELECT vec_id, true AS same, 256 AS n_bytes FROM embeddings")
 def vector_blobs(s, d):
-    v = table(s, d, "embeddings").select("vec_id", "embedding", stores.blob_to_vector(stores.vector_to_blob("embedding")).alias("back"))
-    return v.select("vec_id", (F.col("embedding") == F.col("back")).alias("same"))
+    blob = stores.vector_to_blob("embedding")
+    v = table(s, d, "embeddings").select("vec_id", "embedding", blob.alias("b"), stores.blob_to_vector(blob).alias("back"))
+    return v.select("vec_id", (F.col("embedding") == F.col("back")).alias("same"), F.octet_length("b").alias("n_bytes"))
 
 
 # -- access logs, upserts, pipeline ----------------------------------------------------------------------------------------------
@@ -355,6 +402,18 @@ def list_parts(s, d):
     return V.nodes(s, d).where("description is not null").select("id", F.array_join(X.split_list("description"), "|").alias("parts"))
 
 
+@query("""WITH c AS (SELECT DISTINCT ON (lower(trim(id))) trim(source_id) AS k, coalesce(len(entities), 0) AS ne, coalesce(len(key_phrases), 0) AS nr FROM chunks),
+r AS (SELECT doc_id, CAST(coalesce(sum(ne), 0) AS BIGINT) AS e, CAST(coalesce(sum(nr), 0) AS BIGINT) AS r FROM documents LEFT JOIN c ON k = CAST(doc_id AS VARCHAR) GROUP BY doc_id)
+SELECT count(*) FILTER (e + r > 0) AS processed, count(*) FILTER (e + r = 0) AS failed, CAST(sum(e) AS BIGINT) AS total_entities, CAST(sum(r) AS BIGINT) AS total_relations, round(20000.0 / count(*), 6) AS ms_per_document, count(*) / 20.0 AS documents_per_second FROM r""")
+def ingest_statistics(s, d):
+    """Statistics of an ingestion that took twenty seconds."""
+    c = table(s, d, "chunks").withColumn("id", F.lower(F.trim("id"))).dropDuplicates(["id"])
+    size = lambda x: F.coalesce(F.array_size(x), F.lit(0)).cast("bigint")
+    r = c.select(F.trim("source_id").try_cast("bigint").alias("doc_id"), size("entities").alias("n_entities"), size("key_phrases").alias("n_relations"), F.lit(None).cast("string").alias("error"))
+    t = graph.throughput(graph.ingest_rollup(docs(s, d), r), 20.0)
+    return t.select("processed", "failed", "total_entities", "total_relations", F.round("ms_per_document", 6).alias("ms_per_document"), "documents_per_second")
+
+
 @query()
 def ingest_pipeline(s, d):
     """Chunk, extract and count: a row per document."""
@@ -367,6 +426,17 @@ def embed_documents(s, d):
     return e.select("id", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1), 4).alias("first"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, true AS same, regexp_matches(coalesce(text, ''), '\\w') AS has_vector FROM documents WHERE text IS NULL OR regexp_full_match(text, '[\\x00-\\x7f]*')")
+def embed_cached(s, d):
+    """Texts whose vectors come from the cache are the same as without it; ASCII ones, where a word is the same to both sides."""
+    t = docs(s, d).where(F.col("text").isNull() | ~F.col("text").rlike("[^\\x00-\\x7f]")).select("doc_id", "text")
+    cache = EmbeddingCache(s)
+    first = cache.embed(t, HashingEmbedding(), "doc_id", F.col("text"))
+    again = cache.embed(t, NoEmbedding(), "doc_id", F.col("text"))
+    j = first.withColumnRenamed("embedding", "a").join(again.withColumnRenamed("embedding", "b"), "id")
+    return j.select("id", F.col("a").eqNullSafe(F.col("b")).alias("same"), F.col("b").isNotNull().alias("has_vector"))
+
+
 @query()
 def json_to_text(s, d):
     j = docs(s, d).where("modality = 'json'")

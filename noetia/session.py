@@ -64,11 +64,28 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """As :func:`cut`, in buckets of a hash of ``key``: joins and aggregations on it read the rows where they lie.
+
+    As many buckets as the session has shuffle partitions, if not given. Meant for tables that are read many times.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"noetia_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._noetia_path, out._noetia_table = path, name
+    return out
+
+
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that no plan reads any more."""
+    """Delete the files of a table made by :func:`cut` or :func:`cut_by` that no plan reads any more."""
     path = getattr(df, "_noetia_path", None)
     if path is None:
         return
+    if (name := getattr(df, "_noetia_table", None)) is not None:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     jvm = df.sparkSession._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -247,15 +247,15 @@ class CacheTable:
     SCHEMA = "key string, value string, expires_at timestamp"
 
     def __init__(self, spark: SparkSession):
-        self.table = spark.createDataFrame([], self.SCHEMA)
+        self.table = self._before = spark.createDataFrame([], self.SCHEMA)
 
     @staticmethod
     def key(prefix: str, kind: str, user: str, memory: str, text: Column) -> Column:
         return F.concat_ws(":", F.lit(prefix), F.lit(kind), F.lit(user), F.lit(memory), F.md5(text))
 
     def _become(self, table: DataFrame) -> None:
-        before, self.table = self.table, cut(table)
-        drop_cut(before)
+        old, self._before, self.table = self._before, self.table, cut(table)
+        drop_cut(old)  # the table before is kept for results that still read it
 
     def put(self, rows: DataFrame, now: Column, ttl_seconds: int = 3600) -> None:
         """Of several rows for one key the largest value stays."""
@@ -304,20 +304,40 @@ def _decode(content: pd.Series, modality: pd.Series, ext: pd.Series) -> pd.Serie
     return pd.Series([one(*r) for r in zip(content, modality, ext)])
 
 
-def read_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, path: str, streaming: bool = False, vision=None) -> DataFrame:
     """uri, modality, text, error of every file under a folder; unsupported files carry an error instead of a text."""
     reader = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if streaming else spark.read
-    return extracted(reader.format("binaryFile").load(path))
+    return extracted(reader.format("binaryFile").load(path), vision)
 
 
-def extracted(files: DataFrame) -> DataFrame:
+def extracted(files: DataFrame, vision=None) -> DataFrame:
+    """The same of ``files(path, content)`` from any source. An image's text is what ``vision.describe(bytes)`` says of it,
+    or a note of its size without such a model or where it fails."""
     ext = X.extension("path")
     d = files.withColumn("modality", X.detect_modality("path", F.col("content"))).withColumn("ext", ext)
-    ok = F.col("ext").isin(*X.EXTENSIONS, ".docx")
-    d = d.withColumn("text", F.when(ok, F.pandas_udf(_decode, "string")("content", "modality", "ext")))
+    ok = F.col("ext").isin(*X.EXTENSIONS, ".txt", ".docx")
+    text = F.when(F.col("modality") == "image", F.pandas_udf(_describer(vision), "string")("content")).otherwise(F.pandas_udf(_decode, "string")("content", "modality", "ext"))
+    d = d.withColumn("text", F.when(ok, text))
     return d.select(F.col("path").alias("uri"), "modality", "text", F.when(~ok, F.concat(F.lit("unsupported file type "), "ext")).alias("error"))
 
 
+def _describer(vision):
+    def describe(content: pd.Series) -> pd.Series:
+        def one(b):
+            if b is None:
+                return None
+            try:
+                if vision is not None and (said := vision.describe(bytes(b))):
+                    return said
+            except Exception:  # noqa: BLE001 - the note stands for a description that failed
+                pass
+            return f"[Image of {len(b)} bytes]"
+
+        return content.map(one)
+
+    return describe
+
+
 def web_pages(pages: DataFrame) -> DataFrame:
     """``pages(url, html)``: url, text, error; addresses other than http(s) are errors. Fetching is left to the caller."""
     ok = F.col("url").rlike("^https?://")

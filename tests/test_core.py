@@ -200,14 +200,16 @@ def test_resolution(spark):
 def test_context_budget_stops_at_the_first_overflow(spark):
     d = spark.createDataFrame([("g", 1, "a" * 40), ("g", 2, "b" * 400), ("g", 3, "c")], "g string, i int, t string")
     assert [r.i for r in context.within_budget(d, "g", [F.col("i")], F.col("t"), 50).collect()] == [1]
-    assert context.allocate(7994, "balanced") == {"entities": 2797, "relationships": 2398, "communities": 1598, "documents": 1199}
+    assert context.allocate(7994, "balanced") == {"communities": 2797, "entities": 2398, "relationships": 1598, "documents": 1199}
+    assert context.allocate(7994, "entities", frozenset({"documents"})) == {"entities": 2797, "relationships": 2398, "communities": 1598, "documents": 0}
 
 
 def test_chunkers():
     text = "\n\n".join(f"Paragraph {i}. " + "word " * 60 for i in range(5))
     assert len(T.chunk_document(text, 500, 100, 50)) >= 2
     code = "package x\n\nfunc A() {\n}\n\nfunc B() {\n}\n\ntype C struct {\n}\n\nfunc (c C) D() {\n}\n"
-    assert [c[3]["symbol"] for c in T.chunk_code(code, "go")] == ["A", "B", "C"]
+    assert [c[3]["symbol"] for c in T.chunk_code(code, "go")] == ["func A", "func B", "type C"]
+    assert [c[3]["symbol"] for c in T.chunk_code("const a = 1\nlet b\nclass C {}\n", "javascript")] == ["const a", "let b", "class C"]
     assert T.chunk_document("") == [] and T.chunk_document("  \n ") == []
     assert T.csv_text("name,type\na,b\nc,d\n")[1]["row_count"] == "3" and T.csv_text("a,b\nc\n")[1] == {}
     assert T.json_text('{"b": [1, {"x": null}], "a": true}')[0].startswith("a: true")
@@ -244,10 +246,89 @@ def test_queries_over_all_texts_and_descriptions(spark, tmp_path):
     for i, t in enumerate(texts):
         w = {x.lower() for x in (y.strip(".,!?;:'\"") for y in re.split(r"\s+", t)) if len(x.encode()) > 2}
         want.add((i, len(w), hashlib.md5(" ".join(sorted(w)).encode()).hexdigest()))
-    assert {tuple(r) for r in QUERIES["retrieval_tokens_all"](spark, str(tmp_path)).collect()} == want
-    nodes = [("a", "m", "u", "n1", 8, "d" * 300), ("b", "m", "u", "n2", 6, None), ("c", "m", "u", "n3", 5, "d" * 200)]
-    spark.createDataFrame(nodes, "id string, memory_id string, user_id string, name string, importance int, description string").write.parquet(str(tmp_path / "entities.parquet"))
-    line = lambda name, text: (len("- " + name + ": ") + (len(text) if len(text) <= 200 else 203)) // 4
+    assert {tuple(r) for r in QUERIES["retrieval_tokens"](spark, str(tmp_path)).collect()} == want
+    nodes = [("a", "m", "u", "n1", 8, "d" * 300, "T"), ("b", "m", "u", "n2", 6, None, "T"), ("c", "m", "u", "n3", 5, "d" * 200, "T")]
+    spark.createDataFrame(nodes, "id string, memory_id string, user_id string, name string, importance int, description string, entity_type string").write.parquet(str(tmp_path / "entities.parquet"))
+    line = lambda name, text: (len(f"• {name} (T): \n".encode()) + (len(text) if len(text) <= 200 else 203)) // 4
     t = [line("n1", "d" * 300), line("n2", "n2"), line("n3", "d" * 200)]
-    got = {tuple(r) for r in QUERIES["context_budget_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["context_budget"](spark, str(tmp_path)).collect()}
     assert got == {("m", x, n, sum(t[: k + 1])) for k, (x, n) in enumerate(zip("abc", t))}
+
+
+def test_context_text_sections_and_cuts(spark):
+    n = spark.createDataFrame([("a", "m", "Ann", "Person", "é" * 150, 8), ("b", "m", "Bob", None, None, None)], "id string, memory_id string, name string, entity_type string, description string, importance int")
+    e = spark.createDataFrame([("e1", "m", "a", "b", "knows", "", 1.0, 0.5), ("e2", "m", "b", "a", "likes", "much", 2.0, 1.0)], "id string, memory_id string, source_id string, target_id string, relation_type string, description string, weight double, confidence double")
+    c = spark.createDataFrame([("c", "m", "All of it", 5), ("d", "other", "Else", 5)], "id string, memory_id string, summary string, importance int")
+    d = spark.createDataFrame([(1, "m", "one"), (2, "m", "x" * 9000), (3, "m", "three")], "doc_id long, memory_id string, text string")
+    got = {r.memory_id: r for r in context.context_windows(n, e, c, d, "who?").collect()}
+    cut = ("é" * 100) + "..."
+    want = f"Query: who?\n\n## Topic Summaries\n• All of it\n\n## Relevant Entities\n• Ann (Person): {cut}\n• Bob (): Bob\n\n## Relationships\n• b --[likes]--> a: much\n• a --[knows]--> b\n\n## Supporting Documents\none\n\n{'x' * 500}...\n\nthree"
+    assert got["m"].content == want and not got["m"].truncated and got["m"].tokens_used == len(want.encode()) // 4
+    assert got["other"].content == "Query: who?\n\n## Topic Summaries\n• Else"
+    small = {r.memory_id: r for r in context.context_windows(n, e, c, d, "who?", 60, "documents").collect()}["m"]
+    assert small.truncated and small.documents == "one" and small.content.startswith("Query: who?\n\n## Supporting Documents\none")
+    odd = spark.createDataFrame([("a" + "é" * 150,)], "t string").select(X.byte_prefix("t", 200, "...").alias("t")).first().t
+    assert odd == "a" + "é" * 99 + "\ufffd..."
+
+
+class _Says:
+    def complete(self, prompt):
+        if "fail" in prompt:
+            raise ValueError("no")
+        return "é" * 400
+
+
+def test_summaries_of_a_model(spark):
+    t = spark.createDataFrame([("1", "# head\nfirst\n\n second \nthird"), ("2", "fail " + "y" * 900), ("3", None)], "id string, text string")
+    assert {r.id: r.summary for r in context.model_summaries(t, None).collect()} == {"1": "first second third", "2": "fail " + "y" * 495, "3": None}
+    got = {r.id: r.summary for r in context.model_summaries(t, _Says(), 501).collect()}
+    assert got == {"1": "é" * 250 + "\ufffd", "2": "fail " + "y" * 496, "3": None}
+
+
+def test_star_groups_follow_the_greedy_order(spark):
+    r = random.Random(3)
+    for n, k in ((30, 40), (60, 50), (12, 60)):
+        pairs = {tuple(sorted(r.sample(range(n), 2))) for _ in range(k)}
+        near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in range(n)}
+        want, used = {}, set()
+        for i in range(n):
+            if i not in used:
+                group = {i} | {j for j in near[i] if j > i and j not in used}
+                if len(group) > 1:
+                    want[i] = group
+                    used |= group
+        df = spark.createDataFrame([(f"{b:03d}", f"{a:03d}") for a, b in pairs], "id_a string, id_b string")
+        nodes = spark.createDataFrame([(f"{i:03d}",) for i in range(n)], "id string")
+        got = {}
+        for x in evolve.star_groups(df, nodes).collect():
+            got.setdefault(int(x.center), set()).add(int(x.id))
+        assert got == want
+    assert evolve.star_groups(df.limit(0), nodes).collect() == []
+
+
+class _Groups:
+    def complete(self, prompt):
+        return "1, 2\n3" if "Person" in prompt or "person" in prompt else "nothing"
+
+
+def test_full_consolidation_and_groups_of_a_model(spark):
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    n = graph.new_nodes(spark.createDataFrame([("a", "Ann Lee", "Person", "short", 2), ("b", "Ann Lee", "Person", "a longer one", 3), ("c", "Zed", "Person", "z", 1), ("d", "Thing", "Object", "t", 1)], "id string, name string, entity_type string, description string, access_count long"), "m", "u", now)
+    e = graph.new_edges(spark.createDataFrame([("1", "a", "c", "knows", 1.0, 0.5), ("2", "b", "c", "knows", 2.0, 0.9), ("3", "c", "d", "has", 1.0, 1.0)], "id string, source_id string, target_id string, relation_type string, weight double, confidence double"), "m", now)
+    nodes, edges, new, log = evolve.consolidate_fully(n, e, now)
+    got = {r.id: r for r in nodes.collect()}
+    assert set(got) == {"b", "c", "d"} and got["b"].access_count == 5 and got["b"].description == "a longer one"
+    left = {(r.source_id, r.target_id): (r.weight, round(r.confidence, 3)) for r in edges.collect()}
+    assert left == {("b", "c"): (3.0, 0.77), ("c", "d"): (1.0, 1.0)}
+    assert [(r.source_id, r.target_id) for r in new.collect()] == [("b", "d")]
+    assert sorted(r.evolution_type for r in log.collect()) == ["CONSOLIDATION", "REINFORCEMENT"]
+    assert {(r.center, r.id) for r in evolve.model_groups(n, _Groups()).collect()} == {("a", "a"), ("a", "b")}
+
+
+def test_table_functions_equal_the_chunkers(spark):
+    T.register_table_functions(spark)
+    text = "One sentence here. Another one follows. " * 60
+    got = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got.createOrReplaceTempView("tf_docs")
+    r = spark.sql("SELECT d.doc_id, c.* FROM tf_docs d, LATERAL chunk_text(d.text, 500, 50) c ORDER BY chunk_index").collect()
+    assert [x.content for x in r] == [c[2] for c in T.chunk_document(text, 500, 50)] and {x.doc_id for x in r} == {1}
