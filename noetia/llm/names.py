@@ -1,7 +1,7 @@
 """Variant spellings of names of persons and organisations.
 
 Metric-space partitioning: the pivots are the given names and the branch words that recur in the table; a name goes to
-the cell of its pivot within its memory and type, and by the triangle inequality also to every pivot that a name within
+the cell of its pivot within its memory and type (a large cell is cut into blocks), and by the triangle inequality also to every pivot that a name within
 the search radius could have chosen. A given name that is near no pivot goes to those pivots as well, and to one cell for
 each string left of its surname by the deletions its radius allows, so two rare given names meet too. Inside a cell the distinctive part (surname, company core) is joined exactly within
 a radius of the Damerau-Levenshtein metric. Forms that leave a part out (initials, acronyms, no branch) link only where
@@ -29,8 +29,14 @@ PERSON, ORGANISATION = "person", "organization"
 #: a few thousand, whatever the table's size (names have few tokens).
 PIVOT_SHARE, PIVOT_MEMORIES = 0.001, 4
 GIVEN_RADIUS = 1
-#: An alias used in so many memories says nothing about an entity.
-VAGUE_MEMORIES = 4
+#: A given name that no pivot and no table explains is learned as a short form of the one that shares its surname and memory
+#: in at least so many places, and in this share of the places where any does; and in this share of all names, so that at
+#: most a hundred thousand are learned.
+LEARNED_PLACES, LEARNED_SHARE, LEARNED_LEAST = 2, 0.8, 1e-5
+#: Nicknames that the table may hold at most; they are passed to every task.
+MOST_NICKNAMES = 1_000_000
+#: Rows of a cell above which it is cut into blocks by its parts, whose pairs are tasks of their own.
+CELL_ROWS = 4096
 #: Ids of one class in a block: the pairs of a larger class are spread over pairs of blocks.
 BLOCK_IDS = 1024
 
@@ -39,7 +45,6 @@ TITLES = frozenset("mr mrs ms miss dr prof professor herr frau sra sr mme mlle m
 SUFFIXES = frozenset("jr sr ii iii iv junior senior".split())
 LEGAL = frozenset("inc incorporated llc ltd limited corp corporation gmbh ag sarl sa bv oy oyj plc kg se spa srl aktiengesellschaft".split())
 FILLER = frozenset("the company co group holding and of und et y de".split())
-MORE_NICKNAMES = {"theodore": ("ted", "teddy"), "ulrike": ("uli", "ulli"), "sebastian": ("basti",), "leonhard": ("leo",), "victoria": ("tori",), "alexander": ("sasha", "sascha"), "dmitri": ("dima", "mitya"), "magdalena": ("lena", "madga"), "nicholas": ("niko", "klaus"), "josephine": ("jo", "fina"), "concepcion": ("concha", "conchita"), "mercedes": ("merche",), "edward": ("ned", "ted"), "francois": ("fanfan",), "katherine": ("kitty", "kit"), "gabriel": ("gabi",), "charles": ("chuck", "charlie"), "john": ("jack",), "james": ("jim", "jimmy"), "henry": ("harry", "hank"), "mary": ("molly", "polly")}
 _SPECIAL = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "’": "'", "‐": "-", "–": "-"})
 _OCR = str.maketrans("015348", "olseab")
 
@@ -110,26 +115,36 @@ class Lexicon:
     def __init__(self, given: list[str], branch: list[str], nicknames: list[tuple[str, str]]):
         self.nick: dict[str, set[str]] = {}
         names = {fold(g) for g in given}
-        for full, nick in [*nicknames, *((f, n) for f, ns in MORE_NICKNAMES.items() for n in ns)]:
+        for full, nick in nicknames:
             if full and nick:
                 names.add(fold(full))
                 self.nick.setdefault(fold(nick), set()).add(fold(full))
         shorts = set(self.nick)
         self.given = frozenset(g for g in names if len(g) > 1 and g not in shorts and g not in TITLES and g not in SUFFIXES)
         self.branch = frozenset(b for b in map(fold, branch) if len(b) > 2 and b not in LEGAL and b not in FILLER)
-        self.near_given = lru_cache(200_000)(self._near_given)
-        self.near_branch = lru_cache(200_000)(self._near_branch)
+        self._caches()
 
+    def _caches(self):
+        self.by_length = sorted(self.given, key=lambda g: (-len(g), g))
+        self.near_given = lru_cache(200_000)(self._near_given)
         self.far_given = lru_cache(200_000)(self._far_given)
+        self.near_branch = lru_cache(200_000)(self._near_branch)
 
     def __getstate__(self):
         return {"nick": self.nick, "given": self.given, "branch": self.branch}
 
     def __setstate__(self, s):
         self.__dict__.update(s)
-        self.near_given = lru_cache(200_000)(self._near_given)
-        self.far_given = lru_cache(200_000)(self._far_given)
-        self.near_branch = lru_cache(200_000)(self._near_branch)
+        self._caches()
+
+    def with_nicknames(self, more: list[tuple[str, str]]) -> Lexicon:
+        """The same with further (given name, nickname) pairs; given names stay what they are."""
+        out = Lexicon([], [], [])
+        out.given, out.branch, out.nick = self.given, self.branch, {k: set(v) for k, v in self.nick.items()}
+        for full, nick in more:
+            out.nick.setdefault(nick, set()).add(full)
+        out._caches()
+        return out
 
     def _near_given(self, t: str) -> tuple[tuple[str, ...], bool]:
         """Given names that ``t`` may stand for, nearest pivots first with their margin; whether it is one at all."""
@@ -205,10 +220,10 @@ def parse_person(name: str, lex: Lexicon) -> Form | None:
     if len(full) == 1:
         t = full[0]
         if initials:
-            if lex.is_given(t, exact=True) or len(t) < 4:
+            if lex.is_given(t, exact=True) or len(t) < 2:
                 return None
             return Form(t, None, initials[0], "".join(initials[1:]), suffix)
-        for g in lex.given:  # written together
+        for g in lex.by_length:  # written together
             if len(t) - len(g) >= 5 and t.startswith(g) and not lex.is_given(t):
                 return Form(t[len(g) :], g, suffix=suffix)
         return None
@@ -223,7 +238,7 @@ def parse_person(name: str, lex: Lexicon) -> Form | None:
             if lex.is_given(last, exact=True) or (lex.is_given(last) and not lex.is_given(given)):
                 given, surname = last, "".join(full[:-1])
     middle = "".join(initials)
-    return Form(surname, given, middle=middle, suffix=suffix) if len(surname) >= 3 else None
+    return Form(surname, given, middle=middle, suffix=suffix) if len(surname) >= 2 else None
 
 
 _SYLLABLE = re.compile(r"[^aeiouy]+(?=[aeiouy])")
@@ -266,7 +281,7 @@ def parse_organisation(name: str, lex: Lexicon) -> Form | None:
         core = other[0]
     else:
         return None
-    if len(core) < 4:
+    if len(core) < 2:
         return None
     if not branch:  # written together
         for b in sorted(lex.branch, key=len, reverse=True):
@@ -352,8 +367,9 @@ def _letters(parts: list[str]) -> np.ndarray:
     return out
 
 
-def close_parts(parts: list[str], block: int = 2048) -> Iterator[tuple[int, int, int]]:
-    """(i, j, distance), i < j, of all pairs within their radius: an exact radius join.
+def close_parts(parts: list[str], block: int = 2048, split: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """(i, j, distance), i < j, of all pairs within their radius: an exact radius join; with ``split`` of the first so many
+    parts with the others.
 
     The length (the distance to the empty string) and the letter sets bound the distance from below; what they leave is
     measured.
@@ -361,9 +377,9 @@ def close_parts(parts: list[str], block: int = 2048) -> Iterator[tuple[int, int,
     n = len(parts)
     size, mask = np.array([len(p) for p in parts], np.int16), _letters(parts)
     rad = np.array([radius(p) for p in parts], np.int16)
-    for lo in range(0, n, block):
-        hi = min(lo + block, n)
-        for at in range(lo, n, block):
+    for lo in range(0, n if split is None else split, block):
+        hi = min(lo + block, n if split is None else split)
+        for at in range(lo if split is None else split, n, block):
             to = min(at + block, n)
             r = np.minimum(rad[lo:hi, None], rad[None, at:to])
             ok = np.abs(size[lo:hi, None] - size[None, at:to]) <= r
@@ -393,29 +409,34 @@ def _compatible(x: tuple, y: tuple, d: int) -> bool:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell; one cell's distinct spellings are in memory at a time."""
-    now, held, out = None, {}, []
+    """Rows sorted by cell and pair of blocks; the distinct spellings of two blocks at most are in memory at a time. Two
+    different blocks give only the links between them."""
+    now, held, side, out = None, {}, {}, []
 
     def flush():
-        kind, pivot = now[1], now[2]
+        kind, pivot, cross = now[1], now[2], now[3] != now[4]
         acronym = pivot.startswith("=")
         if pivot.startswith(RARE):
             pivot = RARE  # the same link is found in many such cells
         if acronym:
-            rows = [(node, k) for k, nodes in held.items() for node in nodes]
-            short, full = [n for n, k in rows if k[1][4]], [n for n, k in rows if not k[1][4]]
-            for a in sorted(set(short)):
-                for b in sorted(set(full)) or []:
-                    yield (kind, pivot, a, b, True)
-                if a != min(short):
-                    yield (kind, pivot, a, min(short), False)
+            rows = [(node, k, side[k[0]]) for k, nodes in held.items() for node in nodes]
+            short, full = sorted({(n, b) for n, k, b in rows if k[1][4]}), sorted({(n, b) for n, k, b in rows if not k[1][4]})
+            for a, own in short:
+                for b, other in full:
+                    if not cross or own != other:
+                        yield (kind, pivot, a, b, True)
+                if not cross and a != short[0][0]:
+                    yield (kind, pivot, a, short[0][0], False)
             return
-        parts = sorted({p for p, _ in held})
+        parts = sorted({p for p, _ in held}, key=lambda p: (side[p], p))
         by: dict[str, list] = {}
         for (p, x), nodes in held.items():
             by.setdefault(p, []).append((x, nodes))
-        pairs = [(i, i, 0) for i in range(len(parts))]
-        pairs.extend(close_parts(parts))
+        if cross:
+            pairs = list(close_parts(parts, split=sum(side[p] == now[3] for p in parts)))
+        else:
+            pairs = [(i, i, 0) for i in range(len(parts))]
+            pairs.extend(close_parts(parts))
         for i, j, d in pairs:
             for n, (x, xs) in enumerate(by[parts[i]]):
                 for m, (y, ys) in enumerate(by[parts[j]]):
@@ -441,16 +462,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 yield (kind, "", z, a, True)
 
     for batch in batches:
-        for memory, kind, pivot, node, part, *x in zip(*(c.to_pylist() for c in batch.columns)):
-            cell = (memory, kind, pivot)
+        for memory, kind, pivot, lo, hi, block, node, part, *x in zip(*(c.to_pylist() for c in batch.columns)):
+            cell = (memory, kind, pivot, lo, hi)
             if cell != now:
                 if now is not None:
                     out.extend(flush())
-                now, held = cell, {}
+                now, held, side = cell, {}, {}
                 if len(out) > 10_000:
                     yield _batch(out, [_S, _S, _S, _S, _B], LINK)
                     out = []
             held.setdefault((part, tuple(x)), set()).add(node)
+            side[part] = block
     if now is not None:
         out.extend(flush())
     if out:
@@ -464,29 +486,92 @@ def fit_lexicon(names: DataFrame, nicknames: DataFrame) -> Lexicon:
     got = names.select("kind", "memory_id", tokens).where(F.length("token") > 2).groupBy("kind", "token").agg(F.count("*").alias("n"), F.approx_count_distinct("memory_id").alias("m"))
     share = F.when(F.col("kind") == PERSON, F.lit(total.get(PERSON, 0) * PIVOT_SHARE)).otherwise(F.lit(total.get(ORGANISATION, 0) * PIVOT_SHARE))
     rows = got.where((F.col("m") >= PIVOT_MEMORIES) & (F.col("n") >= share)).orderBy("kind", "token").collect()
-    nick = [tuple(r) for r in nicknames.select("given_name", "nickname").where("given_name is not null and nickname is not null").orderBy(F.desc("given_name"), "nickname").limit(10_000).collect()]
+    known = nicknames.select("given_name", "nickname").where("given_name is not null and nickname is not null").distinct()
+    if (n := known.count()) > MOST_NICKNAMES:
+        raise ValueError(f"{n} nicknames are more than the {MOST_NICKNAMES} that can be passed to every task")
+    nick = sorted(tuple(r) for r in known.collect())
     return Lexicon([r["token"] for r in rows if r["kind"] == PERSON], [r["token"] for r in rows if r["kind"] == ORGANISATION], nick)
 
 
+TAKEN = "memory_id string, kind string, node string, form string, alias boolean, own string, related boolean, part string, lead string, known boolean"
+
+
+def _taken_apart(lex: Lexicon):
+    """Each spelling's surname and given name, whether that is known, the distinctive part of the own name, and whether the
+    spelling has anything of it. Spellings that can't be taken apart are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parse = lru_cache(50_000)(lambda kind, s: (parse_person if kind == PERSON else parse_organisation)(s, lex))
+        for b in batches:
+            out = []
+            for memory, kind, node, name, form in zip(*(c.to_pylist() for c in b.columns)):
+                f = parse(kind, form)
+                if f is None:
+                    continue
+                own, related = parse(kind, name), True
+                if form != name and own is not None:
+                    most = min(radius(own.part), radius(f.part))
+                    related = bool(set(own.acronyms) & set(f.acronyms)) or (bool(f.part) and edit_distance(own.part, f.part, most) <= most)
+                lead = f.lead if kind == PERSON else None
+                known = lead is not None and (lead in lex.given or lex.is_given(lead))
+                exact = lead if lead is None or not known or lead in lex.given else None
+                out.append((memory, kind, node, form, form != name, fold(name) if own is None else own.part, related, f.part, exact, known))
+            if out:
+                yield _batch(out, [_S, _S, _S, _S, _B, _S, _B, _S, _S, _B], TAKEN)
+
+    return run
+
+
+def learned_nicknames(taken: DataFrame, n_names: int) -> list[tuple[str, str]]:
+    """(given name, short form) pairs from the table itself: a first name near no pivot whose bearers share surname and memory
+    with one and the same given name again and again. Relatives share surnames too, but not always the same two names."""
+    p = taken.where((F.col("kind") == PERSON) & F.col("lead").isNotNull()).select("memory_id", "part", "lead", "known").distinct()
+    new = p.where(~F.col("known")).select("memory_id", "part", F.col("lead").alias("short"))
+    met = new.join(p.where("known").select("memory_id", "part", "lead"), ["memory_id", "part"])
+    places = met.groupBy("short").agg(F.count_distinct("memory_id", "part").alias("n"))
+    least = max(LEARNED_PLACES, LEARNED_LEAST * n_names)
+    pairs = met.groupBy("short", "lead").agg(F.count("*").alias("k")).where(F.col("k") >= least).join(places, "short").where(F.col("k") >= F.lit(LEARNED_SHARE) * F.col("n"))
+    return sorted((r["lead"], r["short"]) for r in pairs.select("lead", "short").collect())
+
+
+def vague_aliases(taken: DataFrame) -> DataFrame:
+    """(kind, form) of the aliases that say nothing: they have nothing of their bearers' names, and these differ."""
+    a = taken.where("alias and not related").groupBy("kind", "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
+    return a.where(F.levenshtein("lo", "hi") > 2).select("kind", "form")
+
+
+def _blocked(cells: DataFrame) -> DataFrame:
+    """Cells with the pair of blocks that a row takes part in; one block where a cell is small."""
+    key = ["memory_id", "kind", "pivot"]
+    rest = [c for c in cells.columns if c not in key]
+    size = cells.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
+    nb = size.select(*key, F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("int").alias("nb"))
+    c = cells.join(nb, key, "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("part"), F.col("nb")).cast("int"))
+    c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return c.select(*key, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *rest)
+
+
 def name_classes(entities: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``names`` (memory_id, kind, name, node) and ``classes`` (node, class): names that mean one entity share a class.
 
     ``node`` is the smallest id that bears the name in its memory and type; the entities that bear one and the same name
     fold together first, so a name that a large share of all rows bears is one node. Only Person and Organization are
     linked. Null or blank names and ids are left out; aliases count as spellings too, except those without a surname or a
-    distinctive word. Names that fit several entities equally (an initial shared by relatives) link to none.
+    distinctive word, and those that bearers of different names share without having anything of their names. Names that fit several entities equally (an initial shared by relatives) link to none.
     """
     e = entities.select(norm_id("id").alias("id"), norm_id("memory_id").alias("memory_id"), F.lower(F.btrim("entity_type", F.lit(BLANKS))).alias("kind"), "name", "aliases")
     e = e.where(F.col("kind").isin(PERSON, ORGANISATION) & F.col("id").isNotNull() & (F.length(F.btrim("name", F.lit(BLANKS))) > 0))
     names = cut(e.groupBy("memory_id", "kind", "name").agg(F.min("id").alias("node")))
     lex = fit_lexicon(names, nicknames)
-    own = names.select("memory_id", "kind", "node", F.col("name").alias("form"))
+    own = names.select("memory_id", "kind", "node", "name", F.col("name").alias("form"))
     other = e.select("memory_id", "kind", "name", F.explode("aliases").alias("form")).where("form is not null and form <> name").distinct().join(names, ["memory_id", "kind", "name"])
-    vague = other.groupBy("kind", "form").agg(F.approx_count_distinct("memory_id").alias("m")).where(F.col("m") >= VAGUE_MEMORIES)
-    other = other.join(vague, ["kind", "form"], "left_anti")
-    forms = own.union(other.select("memory_id", "kind", "node", "form"))
-    cells = forms.mapInArrow(_forms(lex), CELL)
-    links = cut(cells.repartition("memory_id", "kind", "pivot").sortWithinPartitions("memory_id", "kind", "pivot").mapInArrow(_links, LINK).distinct())
+    forms = own.unionByName(other.select(own.columns))
+    taken = cut(forms.mapInArrow(_taken_apart(lex), TAKEN))
+    lex = lex.with_nicknames(learned_nicknames(taken, names.count()))
+    forms = taken.join(vague_aliases(taken).withColumn("alias", F.lit(True)), ["kind", "form", "alias"], "left_anti").select("memory_id", "kind", "node", "form")
+    cells = cut(forms.mapInArrow(_forms(lex), CELL))
+    by = ["memory_id", "kind", "pivot", "lo", "hi"]
+    links = cut(_blocked(cells).repartition(*by).sortWithinPartitions(*by).mapInArrow(_links, LINK).distinct())
     strong = links.where(~F.col("weak"))
     sure = cut(connected_components(strong.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     comp = lambda c: F.coalesce(F.col("component"), F.col(c))
@@ -502,6 +587,22 @@ def name_classes(entities: DataFrame, nicknames: DataFrame) -> tuple[DataFrame,
     return names, cut(classes.select("node", F.col("component").alias("class")))
 
 
+def _members(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """The ids that bear each of ``names(memory_id, kind, name, ...)``."""
+    ids = entities.select(norm_id("id").alias("id"), norm_id("memory_id").alias("memory_id"), F.lower(F.btrim("entity_type", F.lit(BLANKS))).alias("kind"), "name").where("id is not null")
+    return ids.join(names, ["memory_id", "kind", "name"]).distinct()
+
+
+def classes_of_ids(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """``entity_id``, ``memory_id``, ``entity_type``, ``class_id``, ``n_links``: one row per person or organisation with its class
+    (its smallest node's id) and the number of other ids in it; an entity without variants is a class of its own. The
+    pairs of ids under different names of a class are those of :func:`name_pairs`."""
+    names, classes = name_classes(entities, nicknames)
+    m = _members(entities, names.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))).select("id", "memory_id", "kind", "class").distinct()
+    size = m.groupBy("class").agg((F.count_distinct("id") - 1).alias("n_links"))
+    return m.join(size, "class").select(F.col("id").alias("entity_id"), "memory_id", F.col("kind").alias("entity_type"), F.col("class").alias("class_id"), "n_links")
+
+
 def name_pairs(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     """``id_a`` < ``id_b``: entities of one memory and type that are the same under different names.
 
@@ -512,8 +613,7 @@ def name_pairs(entities: DataFrame, nicknames: DataFrame) -> DataFrame:
     named = names.join(classes, "node")
     size = named.groupBy("class").count().where("count > 1").select("class")
     named = named.join(size, "class")
-    ids = entities.select(norm_id("id").alias("id"), norm_id("memory_id").alias("memory_id"), F.lower(F.btrim("entity_type", F.lit(BLANKS))).alias("kind"), "name").where("id is not null")
-    member = cut(ids.join(named, ["memory_id", "kind", "name"]).select("class", "name", "id").distinct())
+    member = cut(_members(entities, named).select("class", "name", "id").distinct())
     blocks = member.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK_IDS)).cast("int").alias("blocks"))
     member = member.join(blocks, "class").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

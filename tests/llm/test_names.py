@@ -132,3 +132,47 @@ def test_rare_given_names_meet(spark):
 def test_strings_within_the_radius_share_a_deletion(a, b):
     r = min(N.radius(a), N.radius(b))
     assert N.edit_distance(a, b) > r or N.deletions(a, r) & N.deletions(b, r)
+
+
+def _found(spark, rows, nick=()):
+    nicknames = spark.createDataFrame([*nick, (None, "x")], "given_name string, nickname string")
+    df = spark.createDataFrame([(*r, "", "", "") for r in rows], E)
+    return {(r.id_a, r.id_b) for r in N.name_pairs(df, nicknames).collect()}, df, nicknames
+
+
+def test_short_forms_are_learned_from_shared_surnames(spark):
+    """No table has them; relatives that share a surname now and then teach nothing."""
+    rows = [(f"f{i}", f"m{i % 6}", "Person", f"{g} {w}xenvor{w[::-1]}", None) for i, (g, w) in enumerate(itertools.product(("Ignacio", "Margaret", "Johannes"), "aq bw ce dr et".split()))]
+    rows += [(f"{w}{k}", f"m{i}", "Person", n, None) for i, w in enumerate(("zolvrem", "tarvik", "pelhonar")) for k, n in enumerate((f"Ignacio {w}", f"Nacho {w}"))]
+    rows += [(f"r{w}{k}", f"m{i}", "Person", n, None) for i, (w, g) in enumerate((("skandor", "Margaret"), ("brolnik", "Johannes"))) for k, n in enumerate((f"{g} {w}", f"Quillby {w}"))]
+    got, df, nick = _found(spark, rows)
+    assert got == {(f"{w}0", f"{w}1") for w in ("zolvrem", "tarvik", "pelhonar")}
+
+
+def test_aliases_count_by_what_they_have_of_the_name(spark):
+    rows = [(f"f{i}", f"m{i % 6}", "Person", f"{g} {w}xenvor{w[::-1]}", None) for i, (g, w) in enumerate(itertools.product(("Robert", "Johannes"), "aq bw ce dr et fy".split()))]
+    rows += [("a1", "m", "Person", "Robert Kelvarin", ["team lead"]), ("a2", "m", "Person", "Johannes Miltrov", ["team lead"])]  # a phrase
+    rows += [(f"b{i}", f"m{i}", "Person", "Robert Smithson", ["Robert Smithsen"]) for i in range(6)]  # a namesake in many memories
+    rows += [("c1", "m3", "Person", "Robert Smithsen", None)]
+    rows += [("d1", "m", "Person", "Robert Wu", None), ("d2", "m", "Person", "Dr. ROBERT WU", None), ("d3", "m", "Person", "Robert Li", None)]
+    got, *_ = _found(spark, rows)
+    assert got == {("b3", "c1"), ("d1", "d2")}
+
+
+def test_a_cell_in_blocks_gives_the_same(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    w = lambda n: "".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") for _ in range(n))
+    rows = []
+    for i in range(120):
+        core = w(4)
+        for k, s in enumerate((core, core[:3] + "x" + core[4:], core[:-1])):
+            rows.append((f"p{i:03d}{k}", "m", "Person", f"{('Elizabeth', 'Johannes')[i % 2]} {s.title()}", [f"{'EJ'[i % 2]}. {s.title()}"]))
+            rows.append((f"q{i:03d}{k}", "m", "Organization", f"{s.title()} Robotics AG", None))
+    plain, df, nick = _found(spark, rows)
+    monkeypatch.setattr(N, "CELL_ROWS", 40)
+    cut_up = {(x.id_a, x.id_b) for x in N.name_pairs(df, nick).collect()}
+    assert len(plain) > 300 and cut_up == plain
+    c = {x.entity_id: x for x in N.classes_of_ids(df, nick).collect()}
+    assert len(c) == len(rows) and all(c[a].class_id == c[b].class_id and c[a].n_links >= 1 for a, b in plain)
