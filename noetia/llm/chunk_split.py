@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noetia.session import norm_id
+from noetia.session import cut, norm_id
 
 LIMIT_BYTES, OVERLAP_BYTES = 1000, 200
+#: Chunks of one document that are split in one task; a document with more goes to several.
+CHUNKS_PER_TASK = 2048
+#: Such documents that are broadcast at most; more are joined.
+BROADCAST_SOURCES = 100_000
 EDGE_BLANKS = " \t\r\n"
 
 _SPACE = re.compile(rb"(?:[ \t\r\n\x0b\x0c]|\xc2\xa0|\xe3\x80\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf])+")
@@ -75,7 +79,7 @@ def _code_point_start(b: bytes, p: int) -> int:
 
 def split_bytes(b: bytes, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES) -> list[tuple[int, int]]:
     """(start, end) of the pieces of ``b``: each at most ``limit`` bytes, each but the first starting ``overlap`` bytes
-    before the end of the piece before (up to three more, to start at a character)."""
+    before the end of the piece before (up to twelve more, to start at a character and not at a mark that belongs to it)."""
     if not 0 <= overlap < limit - 4:
         raise ValueError("overlap must be smaller than the limit by more than a character")
     n = len(b)
@@ -155,29 +159,34 @@ def locate(doc: bytes | None, b: bytes, hint: int | None) -> int | None:
 
 
 def _split_batches(limit: int, overlap: int):
+    """Rows sorted by (part, is_chunk): the documents of a part come before its chunks and are held until the next part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, out = None, [], []
         for batch in batches:
-            out: list[tuple] = []
-            for cid, sid, modality, start, content, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                raw = content.encode()
-                b = raw.strip(EDGE_BLANKS.encode())
-                lead = len(raw) - len(raw.lstrip(EDGE_BLANKS.encode()))
+            for part, is_chunk, cid, sid, modality, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    now, docs = part, []
+                if not is_chunk:
+                    docs.append(text)
+                    continue
+                b = text.strip(EDGE_BLANKS.encode())
+                lead = len(text) - len(text.lstrip(EDGE_BLANKS.encode()))
                 hint = None if start is None else start + lead
-                doc = None if text is None else text.encode()
-                base = locate(doc, b, hint)
+                base = next((at for d in docs if (at := locate(d, b, hint)) is not None), None)
                 located = base is not None
                 if base is None:
                     base = hint
                 pieces = split_bytes(b, limit, overlap)
                 for i, (s, e) in enumerate(pieces):
-                    out.append((cid, sid, modality, i, len(pieces), None if base is None else base + s, None if base is None else base + e, located, b[s:e].decode()))
+                    out.append((cid, sid, modality, i, len(pieces), s, None if base is None else base + s, None if base is None else base + e, located, b[s:e].decode()))
                 if len(out) > 4000:
                     yield _rows(out)
                     out = []
-            if out:
-                yield _rows(out)
+        if out:
+            yield _rows(out)
 
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def _rows(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in PIECES.split(", ")])
@@ -185,18 +194,21 @@ def _split_batches(limit: int, overlap: int):
     return run
 
 
-PIECES = "chunk_id string, source_id string, modality string, piece_index int, n_pieces int, start_char bigint, end_char bigint, located boolean, content string"
+PIECES = "chunk_id string, source_id string, modality string, piece_index int, n_pieces int, offset int, start_char bigint, end_char bigint, located boolean, content string"
 
 
 def split_chunks(chunks: DataFrame, documents: DataFrame, limit: int = LIMIT_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
     """Pieces of every chunk whose content, without blanks at both ends, is longer than ``limit`` bytes.
 
-    Returns chunk_id, source_id, modality, piece_index (from 0), n_pieces, start_char, end_char (bytes in the document),
-    located (found in the document; else the offsets rest on the chunk's own, or are null), content. Pieces joined with
-    their overlaps dropped give the trimmed content again. Chunks with null, empty or short content, or a null id, give no
-    rows; a redelivered chunk counts once (of different rows with one id the longest content holds). A chunk whose
-    source_id names no document, or whose content isn't in it, is split all the same. Text without any boundary is cut
-    between characters.
+    Returns chunk_id, source_id, modality, piece_index (from 0), n_pieces, offset (in the trimmed content), start_char,
+    end_char (bytes in the document), located (found in the document; else the offsets rest on the chunk's own, or are
+    null), content. Pieces joined with their overlaps dropped give the trimmed content again. Chunks with null, empty or
+    short content, or a null id, give no rows; a redelivered chunk counts once (of different rows with one id the longest
+    content holds). A chunk whose source_id names no document, or whose content isn't in it, is split all the same; one
+    without a source_id counts as a source of its own. Of documents with one id any may hold the chunk. Text without any
+    boundary is cut between characters.
+
+    A document's text travels once, ahead of its chunks; one with very many chunks is sent to several tasks.
     """
     big = chunks.select(
         norm_id("id").alias("chunk_id"),
@@ -206,14 +218,30 @@ def split_chunks(chunks: DataFrame, documents: DataFrame, limit: int = LIMIT_BYT
         "content",
     ).where(F.col("chunk_id").isNotNull() & (F.octet_length(F.btrim("content", F.lit(EDGE_BLANKS))) > limit))
     one = big.groupBy("chunk_id").agg(F.max(F.struct(F.octet_length("content").alias("n"), "content", "source_id", "modality", "start_char")).alias("c"))
-    one = one.select("chunk_id", "c.source_id", "c.modality", "c.start_char", "c.content")
-    docs = documents.select(F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("doc_text"))
-    joined = one.join(docs, "source_id", "left").select("chunk_id", "source_id", "modality", "start_char", "content", "doc_text")
-    return joined.mapInArrow(_split_batches(limit, overlap), PIECES)
+    one = cut(one.select("chunk_id", "c.source_id", "c.modality", "c.start_char", "c.content"))
+    many = one.where("source_id is not null").groupBy("source_id").agg(F.ceil(F.count("*") / F.lit(CHUNKS_PER_TASK)).cast("int").alias("salts")).where("salts > 1")
+    docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("string").alias("source_id"), F.encode("text", "UTF-8").alias("text"))
+    n_many = many.count()
+    salted = lambda df, salt: df.withColumn("salt", F.lit(0)) if not n_many else df.join(F.broadcast(many) if n_many <= BROADCAST_SOURCES else many, "source_id", "left").withColumn("salt", salt)
+    docs = salted(docs, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    one = salted(one, F.pmod(F.xxhash64("chunk_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    part = lambda source: F.concat_ws(":", "salt", source).alias("part")
+    null = F.lit(None).cast("string")
+    rows = docs.select(part(F.col("source_id")), F.lit(False).alias("is_chunk"), null.alias("chunk_id"), null.alias("source_id"), null.alias("modality"), F.lit(None).cast("bigint").alias("start_char"), "text")
+    rows = rows.unionByName(one.select(part(F.coalesce("source_id", F.concat(F.lit("~"), "chunk_id"))), F.lit(True).alias("is_chunk"), "chunk_id", "source_id", "modality", "start_char", F.encode("content", "UTF-8").alias("text")))
+    return rows.repartition("part").sortWithinPartitions("part", "is_chunk").mapInArrow(_split_batches(limit, overlap), PIECES)
+
+
+def rejoined(pieces: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
+    """``chunk_id``, ``within_limit``, ``text_hash``: whether all pieces keep the limit, and the MD5 of the text that the pieces
+    give when what overlaps is dropped. The pieces of one chunk are as many as its own length allows."""
+    p = F.encode("content", "UTF-8")
+    rows = pieces.groupBy("chunk_id").agg(F.max(F.octet_length("content")).alias("longest"), F.sort_array(F.collect_list(F.struct("offset", p.alias("b")))).alias("x"))
+    start = F.struct(F.lit(0).alias("end"), F.encode(F.lit(""), "UTF-8").alias("b"))
+    add = lambda a, x: F.struct((x["offset"] + F.octet_length(x["b"])).alias("end"), F.concat(a["b"], F.substring(x["b"], a["end"] - x["offset"] + 1, F.octet_length(x["b"]))).alias("b"))
+    return rows.select("chunk_id", (F.col("longest") <= limit).alias("within_limit"), F.md5(F.aggregate("x", start, add)["b"]).alias("text_hash"))
 
 
 def oversized_chunks(pieces: DataFrame) -> DataFrame:
     """Ids of the chunks that the splitter cut."""
     return pieces.where("n_pieces > 1 and piece_index = 0").select("chunk_id")
-
-

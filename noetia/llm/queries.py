@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return chunk_split.oversized_chunks(p1_pieces(spark, d))
 
 
+def p1_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Of every chunk that was cut: whether its pieces keep the limit, and the hash of the text they give together."""
+    return chunk_split.rejoined(p1_pieces(spark, d))
+
+
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar entities of every entity; a share of all lists is probed, as lone vectors have no near ones."""
     near = knn.most_similar(table(spark, d, "entities"), margin=0.35, probes=16, max_lists=256)
@@ -32,10 +37,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Each name of a person or organisation with the class of its entity and the number of names in it."""
-    n, c = names.name_classes(table(spark, d, "entities"), table(spark, d, "nicknames"))
-    size = c.groupBy("class").agg(F.count("*").alias("n_names"))
-    return n.join(c, "node", "left").join(size, "class", "left").select("memory_id", F.col("kind").alias("entity_type"), "name", F.coalesce("class", "node").alias("class_id"), F.coalesce("n_names", F.lit(1)).alias("n_names"))
+    """Each person or organisation by id with the class of its entity, and how many other ids are linked to it."""
+    return names.classes_of_ids(table(spark, d, "entities"), table(spark, d, "nicknames"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +85,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rejoined": p1_rejoined,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
@@ -129,6 +133,7 @@ QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY v DESC, en
 """
 SQL = {
     "p1_found": "SELECT DISTINCT lower(" + _T.format("id") + ") AS chunk_id FROM chunks WHERE octet_length(encode(trim(content, E' \\t\\n\\r'))) > 1000",
+    "p1_rejoined": "SELECT lower(" + _T.format("id") + ") AS chunk_id, true AS within_limit, md5(trim(arg_max(content, octet_length(encode(content))), E' \\t\\n\\r')) AS text_hash FROM chunks WHERE octet_length(encode(trim(content, E' \\t\\n\\r'))) > 1000 GROUP BY 1",
     "p2_found": _V
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM p WHERE c >= 0.85)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE r <= 5""",

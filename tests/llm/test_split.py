@@ -70,3 +70,22 @@ def test_table_offsets_nulls_and_repeats(spark):
     empty = spark.createDataFrame([], SC)
     assert S.split_chunks(empty, docs).collect() == []
     assert sorted(r.chunk_id for r in S.oversized_chunks(S.split_chunks(spark.createDataFrame(data, SC), docs)).collect()) == ["a", "b", "c", "g"]
+
+
+def test_a_document_with_very_many_chunks_and_rejoining(spark, monkeypatch):
+    import hashlib
+
+    text = " ".join(f"Sentence number {i} goes on for a while." for i in range(2000))
+    b = text.encode()
+    spans = [(i * 150, i * 150 + 1500 + i % 7) for i in range(200)]
+    data = [(f"c{i:03d}", "1", 0, s, e, b[s:e].decode(), "text", "x", 1) for i, (s, e) in enumerate(spans)]
+    docs = spark.createDataFrame([(1, text), (2, "other"), (None, text)], "doc_id long, text string")
+    chunks = spark.createDataFrame(data, SC)
+    plain = sorted(map(tuple, S.split_chunks(chunks, docs).collect()))
+    monkeypatch.setattr(S, "CHUNKS_PER_TASK", 30)
+    assert sorted(map(tuple, S.split_chunks(chunks, docs).collect())) == plain
+    monkeypatch.setattr(S, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, S.split_chunks(chunks, docs).collect())) == plain
+    assert all(b[x[6] : x[7]].decode() == x[9] and x[8] for x in plain)
+    got = {r.chunk_id: (r.within_limit, r.text_hash) for r in S.rejoined(S.split_chunks(chunks, docs)).collect()}
+    assert got == {f"c{i:03d}": (True, hashlib.md5(b[s:e].strip()).hexdigest()) for i, (s, e) in enumerate(spans)}
