@@ -3,8 +3,8 @@
 Each key's periods are kept as an ordered map of disjoint intervals. An insertion finds the overlapped stretch by two
 binary searches and merges it in place. The union of intervals is associative, so the map runs twice: on each input
 partition before the shuffle, and again on the merged parts after it. Timelines are cut into buckets of
-``BUCKET_YEARS`` years, so a key that holds a large share of all rows is spread over several tasks; the bucket edges are
-stitched by a window over at most a few dozen rows per key.
+``BUCKET_YEARS`` years after the first merge, and the buckets of keys that still hold very many intervals into equal parts,
+so a key that holds a large share of all rows is spread over as many tasks as it needs; the edges are stitched by a window.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noetia.session import BLANKS, norm_id
+from noetia.session import BLANKS, cut, norm_id
 
 ALWAYS_BEFORE, ALWAYS_AFTER = -(2**62), 2**62
 TOLERANCE_US = 1_000_000
@@ -26,6 +26,10 @@ BUCKET_US = BUCKET_YEARS * 31_557_600 * 1_000_000
 FIRST_BUCKET, LAST_BUCKET = 0, 9
 #: Keys that a map-side worker holds before it passes its merged intervals on.
 HELD_KEYS = 20_000
+#: Intervals of one key and bucket that a task takes; more are cut into parts, up to so many of a bucket (two days each).
+PART_ROWS, PARTS = 500_000, 1440
+#: Hash slots by which hot keys are looked for.
+SLOTS = 4096
 
 
 class IntervalMap:
@@ -57,32 +61,35 @@ def _columns(batch: pa.RecordBatch) -> list[list]:
     return [c.to_pylist() for c in batch.columns]
 
 
-def _combine(keys: int):
-    """Map side: merge what one partition holds of each key and bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, IntervalMap] = {}
-        schema = None
-
-        def flush() -> pa.RecordBatch:
-            rows = [(*k, s, e) for k, m in held.items() for s, e in zip(m.starts, m.ends)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-
-        for batch in batches:
-            schema = batch.schema
-            *ks, starts, ends = _columns(batch)
-            for k, s, e in zip(zip(*ks), starts, ends):
-                m = held.get(k)
-                if m is None:
-                    m = held[k] = IntervalMap()
-                m.insert(s, e)
-            if len(held) >= HELD_KEYS:
-                yield flush()
-        if held:
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map side: merge what one partition holds of each key, then cut the merged intervals at the bucket edges."""
+    held: dict[tuple, IntervalMap] = {}
+    schema = None
+
+    def flush() -> pa.RecordBatch:
+        rows = []
+        for k, m in held.items():
+            for s, e in zip(m.starts, m.ends):
+                first, last = (min(max(x // BUCKET_US, FIRST_BUCKET), LAST_BUCKET) for x in (s, e))
+                for b in range(first, last + 1):
+                    rows.append((*k, b, s if b == first else b * BUCKET_US, e if b == last else (b + 1) * BUCKET_US))
+        held.clear()
+        *ks, start, end = schema
+        types = [*(f.type for f in ks), pa.int32(), start.type, end.type]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*(f.name for f in ks), "bucket", "start", "end"])
+
+    for batch in batches:
+        schema = batch.schema
+        *ks, starts, ends = _columns(batch)
+        for k, s, e in zip(zip(*ks), starts, ends):
+            m = held.get(k)
+            if m is None:
+                m = held[k] = IntervalMap()
+            m.insert(s, e)
+        if len(held) >= HELD_KEYS:
             yield flush()
-
-    return run
+    if held:
+        yield flush()
 
 
 def _sorted_groups(keys: int, emit):
@@ -113,18 +120,34 @@ def _sorted_groups(keys: int, emit):
 
 
 def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end) in microseconds to the same per timeline bucket, merged within each input partition."""
-    clamp = lambda c: F.least(F.greatest(F.expr(f"{c} div {BUCKET_US}"), F.lit(FIRST_BUCKET)), F.lit(LAST_BUCKET)).cast("int")
-    b = F.explode(F.sequence("fb", "lb")).alias("bucket")
-    cut_up = df.withColumn("fb", clamp("start")).withColumn("lb", clamp("end")).select(*keys, "start", "end", "fb", "lb", b)
-    edge = lambda k: (F.col("bucket") + k).cast("bigint") * F.lit(BUCKET_US)
-    parts = cut_up.select(
-        *keys,
-        "bucket",
-        F.when(F.col("bucket") == F.col("fb"), F.col("start")).otherwise(edge(0)).alias("start"),
-        F.when(F.col("bucket") == F.col("lb"), F.col("end")).otherwise(edge(1)).alias("end"),
-    )
-    return parts.mapInArrow(_combine(len(keys) + 1), parts.schema)
+    """(keys, start, end) in microseconds to the same per bucket, merged within each input partition. ``bucket`` counts parts:
+    a bucket is ``PARTS`` numbers wide, of which all but the hot keys' use the first."""
+    schema = ", ".join([*(f"{k} string" for k in keys), "bucket int, start bigint, end bigint"])
+    rows = df.select(*keys, "start", "end").mapInArrow(_combine, schema)
+    return _parted(cut(rows), [*keys, "bucket"]).withColumn("bucket", F.col("bucket") * PARTS + F.col("part")).drop("part")
+
+
+def _parted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the ``part`` of its bucket; rows of hot keys are cut at the parts' edges.
+
+    A key can be hot only if its hash slot is, so keys are counted in hot slots alone, and not at all where none is.
+    """
+    slot = F.pmod(F.xxhash64(*by), F.lit(SLOTS))
+    hot = [r["s"] for r in rows.groupBy(slot.alias("s")).agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS).collect()]  # at most SLOTS
+    if hot:
+        n = rows.where(slot.isin(*hot)).groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS)
+        parts = cut(n.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(by)], F.least(F.ceil(F.col("n") / F.lit(PART_ROWS)), F.lit(PARTS)).cast("int").alias("parts")))
+        hot = parts.limit(1).count()
+    if not hot:
+        return rows.withColumn("part", F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(by)]
+    r = rows.join(parts, same, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop(*[f"_h{i}" for i in range(len(by))])
+    r = r.withColumn("from", F.col("bucket").cast("bigint") * F.lit(BUCKET_US)).withColumn("width", F.expr(f"{BUCKET_US} div parts"))
+    at = lambda c: F.least(F.greatest(F.expr(f"({c} - `from`) div width"), F.lit(0)), F.col("parts") - 1).cast("int")
+    r = r.withColumn("fp", at("start")).withColumn("lp", at("end")).withColumn("part", F.explode(F.sequence("fp", "lp")))
+    edge = lambda k: F.col("from") + (F.col("part") + k).cast("bigint") * F.col("width")
+    keys = [k for k in by if k != "bucket"]
+    return r.select(*keys, "bucket", F.when(F.col("part") == F.col("fp"), F.col("start")).otherwise(edge(0)).alias("start"), F.when(F.col("part") == F.col("lp"), F.col("end")).otherwise(edge(1)).alias("end"), "part")
 
 
 def _merged(df: DataFrame, keys: list[str], emit, extra: str) -> DataFrame:
@@ -159,7 +182,7 @@ def interval_gaps(df: DataFrame, keys: list[str]) -> DataFrame:
             yield (*k, 1, f, u)
 
     rows = _merged(df, keys, emit, "kind int, a bigint, b bigint")
-    # kind 0: the extent of a bucket, few per key; kind 1: gaps inside a bucket, each a window group of its own
+    # kind 0: the extent of a bucket or part, few per key; kind 1: gaps inside it, each a window group of its own
     w = Window.partitionBy(*keys, "kind", F.when(F.col("kind") == 1, F.col("a")).otherwise(F.lit(0))).orderBy("bucket")
     before = F.lag("b").over(w)
     out = rows.select(*keys, "kind", F.when(F.col("kind") == 1, F.col("a")).otherwise(before).alias("gap_from"), F.when(F.col("kind") == 1, F.col("b")).otherwise(F.col("a")).alias("gap_until"))

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from noetia.session import norm_id
 
-#: Parents a range holds about; sets the number of ranges.
-PARENTS_PER_RANGE = 50_000
-MIN_RANGES, MAX_RANGES = 16, 16_384
+#: Parents and references of a range, about; the larger need sets the number of ranges. Beyond ``MAX_RANGES`` ranges hold more
+#: parents (a task's memory is enough for some millions).
+PARENTS_PER_RANGE, REFERENCES_PER_RANGE = 50_000, 50_000
+MAX_RANGES = 16_384
 #: A range with more references than this times the mean is split.
 HOT = 2.0
 UNKNOWN_TIME = -(2**63)
@@ -95,8 +96,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     ids and different values, the smallest (scope hash, created) holds. A null scope equals a null scope only. With no
     parents every reference is missing; with no references the result is empty.
     """
-    n_parents = parents.count()
-    n_ranges = int(min(MAX_RANGES, max(MIN_RANGES, -(-n_parents // PARENTS_PER_RANGE))))
+    n_ranges = int(min(MAX_RANGES, max(1, -(-parents.count() // PARENTS_PER_RANGE), -(-refs.count() // REFERENCES_PER_RANGE))))
     # equal-width ranges of the signed 64-bit hash, a power of two of them: the top bits name the range
     bits = max(1, (n_ranges - 1).bit_length())
     n_ranges = 1 << bits

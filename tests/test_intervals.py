@@ -71,3 +71,19 @@ def test_relationships_nulls_blanks_and_extra_columns(spark):
     assert rows(I.relationship_gaps(df)) == sorted([("a", "works_at", sec(2000, 1, 1), sec(2001, 1, 1)), ("a", "works_at", sec(2001, 2, 2), sec(2001, 3, 1))], key=repr)
     assert (None, sec(2000, 1, 1)) in [tuple(r)[2:] for r in I.relationship_periods(df).collect()]
     assert I.relationship_gaps(df.limit(0)).collect() == []
+
+
+def test_hot_keys_are_cut_into_parts(spark, monkeypatch):
+    r = random.Random(5)
+    day = 86400 * US
+    data = [("hot", s := r.randint(0, 300) * day * 70 + r.randint(0, 9) * US, s + r.choice([0, 40, 86400 * 20, 86400 * 900]) * US) for _ in range(900)]
+    data += [("hot", I.ALWAYS_BEFORE, -5 * day), ("hot", 25_000 * day, I.ALWAYS_AFTER), (None, 5, 6), ("cold", 1, 2), ("cold", 9 * day, 10 * day)]
+    df = spark.createDataFrame(data, "key string, start long, end long").repartition(6)
+    plain = rows(I.interval_gaps(df, ["key"])), rows(I.interval_periods(df, ["key"]))
+    want = brute([x[1:] for x in data if x[0] == "hot"], US)
+    assert [x[1:] for x in plain[0] if x[0] == "hot"] == sorted([(a[1], b[0]) for a, b in zip(want, want[1:])], key=repr)
+    monkeypatch.setattr(I, "PART_ROWS", 20)
+    monkeypatch.setattr(I, "SLOTS", 8)
+    assert (rows(I.interval_gaps(df, ["key"])), rows(I.interval_periods(df, ["key"]))) == plain
+    monkeypatch.setattr(I, "PARTS", 4)
+    assert (rows(I.interval_gaps(df, ["key"])), rows(I.interval_periods(df, ["key"]))) == plain
