@@ -1,9 +1,9 @@
 """Most similar vectors for every vector: inverted lists with an adaptive scan of the dimensions.
 
 Vectors are rotated, so that the first columns estimate a distance without bias. Lists of near vectors are packed into
-shards; a vector goes to its own shard and to the other shards whose lists it probes. Inside a list the first block of
-columns is multiplied for all pairs; a hypothesis test on the partial distance abandons the pairs that are unlikely to
-beat the query's current k-th best, and only the others see the remaining columns.
+shards; a vector goes to its own shard and to the other shards whose lists it probes. Inside a list the columns are taken
+block by block; after each block a hypothesis test on the partial distance abandons the pairs that are unlikely to beat the
+query's current k-th best. While many pairs are left, a block is one matrix product; few are followed one by one.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from noetia.llm.vectors import Lists, blobs, copies, fit_lists, joined, representatives, unit_vectors, unpack
 from noetia.session import cut
 
-ROWS_PER_LIST, LISTS_PER_SHARD, MAX_LISTS = 700, 8, 16_384
-#: Width of the first column block and the significance of its test (standard errors).
-FIRST_BLOCK, EPSILON = 32, 2.1
-#: Share of pairs that pass the test from which the rest is multiplied densely.
-DENSE = 0.06
+#: Beyond ``MAX_LISTS`` lists (11 million different vectors) lists grow instead, as a sample of bounded size fits no more.
+ROWS_PER_LIST, LISTS_PER_SHARD, WIDE_LISTS_PER_SHARD, MAX_LISTS = 700, 8, 32, 16_384
+#: Columns after which the partial distance is tested, and the significance of each test (standard errors).
+TESTS, EPSILON = (16, 32, 48), 2.1
+#: Share of the pairs up to which those left are followed one by one.
+SPARSE = 0.03
 QUERY_BLOCK = 2048
+#: Lists that serve vectors without near neighbours, and how many of them are probed, each by the root of the number before.
+WIDE_LISTS, WIDE_PROBES = 2.4, 2.5
 
 
 def _spread(lists: Lists, dim: int, margin: float, most: int):
@@ -70,10 +73,11 @@ class _Shard:
             self.raw_lists = [x for p in self.lists for x in p]
             self.order = order
             self.u = u
-            head, tail = u[:, :FIRST_BLOCK], u[:, FIRST_BLOCK:]
-            # one column more, so that a single product gives the partial dot less half the partial length
-            self.head = np.ascontiguousarray(np.hstack([head, -0.5 * np.einsum("ij,ij->i", head, head)[:, None]]).T)
-            self.tail = np.ascontiguousarray(tail.T)
+            steps = [t for t in TESTS if t < self.dim]
+            self.blocks = list(zip([0, *steps], [*steps, self.dim]))
+            self.columns = [np.ascontiguousarray(u[:, x:y].T) for x, y in self.blocks]
+            # half the squared length of the first columns, after each block
+            self.half = np.stack([0.5 * np.einsum("ij,ij->i", u[:, :y], u[:, :y]) for _, y in self.blocks])
             names, first = np.unique(home[order], return_index=True)
             self.span = dict(zip(names.tolist(), zip(first.tolist(), np.append(first[1:], len(u)).tolist())))
             self.ready = True
@@ -99,33 +103,37 @@ class _Shard:
         bar = np.maximum(best[rows, k - 1], floor)
         open_ = bar <= -1.0  # no k-th best yet and no floor: nothing can be abandoned
         x = q[rows]
-        head = x[:, :FIRST_BLOCK]
-        part = np.hstack([head, np.ones((len(x), 1), np.float32)]) @ self.head[:, lo:hi]
-        length = np.einsum("ij,ij->i", head, head)
-        # abandon where the partial squared distance, scaled to all columns, is too far beyond the bar's
-        factor = (1 + EPSILON / np.sqrt(FIRST_BLOCK)) ** 2 * FIRST_BLOCK / dim
-        limit = 0.5 * (length - factor * (2 - 2 * bar))
-        mask = part > limit[:, None]
-        mask[open_] = True
-        if (n := np.count_nonzero(mask)) == 0:
-            return
-        if n > DENSE * mask.size:
-            full = x[:, FIRST_BLOCK:] @ self.tail[:, lo:hi]
-            full += part
-            full -= self.head[FIRST_BLOCK, lo:hi][None, :]
+        i = j = None  # the pairs left, once they are few
+        dot = np.zeros((len(x), hi - lo), np.float32)
+        for n, (a, b) in enumerate(self.blocks):
+            if i is None:
+                dot += x[:, a:b] @ self.columns[n][:, lo:hi]
+            else:
+                for at in range(0, len(i), 65_536):
+                    s = slice(at, at + 65_536)
+                    dot[s] += np.einsum("ij,ij->i", x[i[s], a:b], self.u[lo + j[s], a:b])
+            if b == dim:
+                break
+            # abandon where the partial squared distance, scaled to all columns, is too far beyond the bar's
+            factor = (1 + EPSILON / np.sqrt(b)) ** 2 * b / dim
+            limit = 0.5 * np.einsum("ij,ij->i", x[:, :b], x[:, :b]) - factor * (1 - bar)
+            limit[open_] = -np.inf
+            if i is not None:
+                keep = dot - self.half[n][lo + j] > limit[i]
+                i, j, dot = i[keep], j[keep], dot[keep]
+            elif not open_.any():
+                mask = dot - self.half[n][lo:hi] > limit[:, None]
+                if np.count_nonzero(mask) <= SPARSE * mask.size:
+                    i, j = np.nonzero(mask)
+                    dot = dot[i, j]
+        if i is None:
             if open_.any() and hi - lo > k + 1:  # such a query sets its bar by this list's own k + 1 best (one may be itself)
-                bar[open_] = np.partition(full[open_], -(k + 1), axis=1)[:, -(k + 1)] - 1e-6
-            mask &= full > bar[:, None]
-            i, j = np.nonzero(mask)
-            score = full[i, j]
+                bar[open_] = np.partition(dot[open_], -(k + 1), axis=1)[:, -(k + 1)] - 1e-6
+            i, j = np.nonzero(dot > bar[:, None])
+            score = dot[i, j]
         else:
-            i, j = np.nonzero(mask)
-            score = np.empty(len(i), np.float32)
-            for a in range(0, len(i), 65_536):
-                b = slice(a, a + 65_536)
-                score[b] = np.einsum("ij,ij->i", x[i[b]], self.u[lo + j[b]])
-            keep = score > bar[i]
-            i, j, score = i[keep], j[keep], score[keep]
+            keep = dot > bar[i]
+            i, j, score = i[keep], j[keep], dot[keep]
         j = j + lo
         ok = own[rows[i]] != j
         i, j, score = i[ok], j[ok], score[ok]
@@ -179,16 +187,22 @@ def _search(dim: int, k: int, floor: float):
     return run
 
 
-def neighbours(reps: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64, max_lists: int = MAX_LISTS) -> DataFrame:
+def neighbours(reps: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64, wide: bool = False) -> DataFrame:
     """``id``, ``neighbour``, ``cosine``, ``rank`` of the k most similar other rows of every row of ``reps(id, vec)``.
 
     ``reps`` is read several times; pass a written table. A row probes the lists whose centres come within ``margin`` of
-    its nearest centre's cosine, ``probes`` at most. Near neighbours are found with a fixed number of probes however many
-    lists there are; vectors without near neighbours need a fixed share of the lists, which ``max_lists`` sets. With ``min_cosine`` only neighbours at least that similar come out,
-    and the scan abandons all others. Ties go to the smaller id.
+    its nearest centre's cosine, ``probes`` at most. Near neighbours are found with a fixed number of probes in lists of a
+    fixed size. Vectors without near neighbours have theirs scattered: ``wide`` makes lists by the root of the rows and probes
+    by the root of the lists, so the rows scanned for a vector grow with about the power 0.75 of all rows. With
+    ``min_cosine`` only neighbours at least that similar come out, and the scan abandons all others. Ties go to the smaller id.
     """
     n = reps.count()
-    lists = fit_lists(reps, n, ROWS_PER_LIST, LISTS_PER_SHARD, dim, max_lists)
+    if wide:
+        n_lists = max(1, round(WIDE_LISTS * n**0.5))
+        probes, margin = int(np.ceil(WIDE_PROBES * n_lists**0.5)), 2.0
+        lists = fit_lists(reps, n, -(-n // n_lists) if n else 1, WIDE_LISTS_PER_SHARD, dim, MAX_LISTS)
+    else:
+        lists = fit_lists(reps, n, ROWS_PER_LIST, LISTS_PER_SHARD, dim, MAX_LISTS)
     floor = -2.0 if min_cosine is None else float(np.nextafter(np.float32(min_cosine) - np.float32(2e-6), np.float32(-2)))
     spread = reps.select("id", "vec").mapInArrow(_spread(lists, dim, margin, probes), "shard int, kind tinyint, id string, lists binary, vec binary")
     found = spread.repartitionById(lists.n_shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dim, k, floor), "id string, neighbour string, cosine double")
@@ -196,7 +210,7 @@ def neighbours(reps: DataFrame, k: int = 5, min_cosine: float | None = None, mar
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def most_similar(entities: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64, max_lists: int = MAX_LISTS) -> DataFrame:
+def most_similar(entities: DataFrame, k: int = 5, min_cosine: float | None = None, margin: float = 0.15, probes: int = 12, dim: int = 64, wide: bool = False) -> DataFrame:
     """The k most similar entities of every entity with a usable embedding, over all memories.
 
     ``id``, ``neighbour``, ``cosine``, ``rank``; see :func:`neighbours`. Exact copies of a vector are searched once, as
@@ -207,7 +221,7 @@ def most_similar(entities: DataFrame, k: int = 5, min_cosine: float | None = Non
     """
     vectors = unit_vectors(entities, dim)
     reps = cut(representatives(vectors))
-    near = neighbours(reps, k, min_cosine, margin, probes, dim, max_lists)
+    near = neighbours(reps, k, min_cosine, margin, probes, dim, wide)
     if not reps.where("id <> last_id").limit(1).count():
         return near
     group = cut(copies(vectors, reps))

@@ -23,8 +23,8 @@ def p1_rejoined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar entities of every entity; a share of all lists is probed, as lone vectors have no near ones."""
-    near = knn.most_similar(table(spark, d, "entities"), margin=0.35, probes=16, max_lists=256)
+    """The five most similar entities of every entity, lone ones too."""
+    near = knn.most_similar(table(spark, d, "entities"), wide=True)
     return near.select(F.col("id").alias("entity_id"), "neighbour", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -46,7 +46,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.survivors(table(spark, d, "entities"))
+    s = survivors.survivors(table(spark, d, "entities"))
+    return s.withColumn("accessed_us", F.unix_micros("accessed_at")).drop("accessed_at")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.round_trip(table(spark, d, "documents"))
+    """The hash of what the ids of each text decode to, and whether it has none."""
+    return tokens.round_trip(table(spark, d, "documents")).select("doc_id", "text_hash", (F.col("n_tokens") == 0).alias("no_tokens"))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +133,18 @@ x AS (
 SELECT group_id, field_name, entity_id FROM x JOIN g USING (memory_id, entity_type, canonical_name)
 QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY v DESC, entity_id) = 1
 """
+_P4_FIELDS = ("description", "importance", "accessed_at", "access_count")
+_P4_ALL = (
+    _P4.replace("SELECT group_id, field_name, entity_id FROM x JOIN g", ", w AS (SELECT group_id, field_name, entity_id, x.description, x.importance, x.accessed_at, x.access_count FROM x JOIN g")
+    + f"""),
+u AS (SELECT memory_id, entity_type, canonical_name, entity_id, {', '.join(f"max(CASE WHEN field_name = '{f}' THEN v END) AS {f}" for f in _P4_FIELDS)} FROM (SELECT DISTINCT memory_id, entity_type, canonical_name, entity_id, field_name, v FROM x) GROUP BY ALL),
+o AS (SELECT DISTINCT memory_id, entity_type, canonical_name, entity_id FROM r),
+b AS (SELECT g.group_id, o.memory_id, o.entity_type, o.canonical_name, o.entity_id AS base_id, count(*) OVER (PARTITION BY g.group_id) AS n_records FROM o JOIN g USING (memory_id, entity_type, canonical_name) LEFT JOIN u USING (memory_id, entity_type, canonical_name, entity_id)
+  QUALIFY row_number() OVER (PARTITION BY g.group_id ORDER BY (CASE WHEN u.description IS NULL THEN 0 ELSE 1 END + CASE WHEN u.importance IS NULL THEN 0 ELSE 1 END + CASE WHEN u.accessed_at IS NULL THEN 0 ELSE 1 END + CASE WHEN u.access_count IS NULL THEN 0 ELSE 1 END) DESC, u.importance DESC NULLS LAST, u.accessed_at DESC NULLS LAST, o.entity_id) = 1),
+f AS (SELECT group_id, {', '.join(f"max(CASE WHEN field_name = '{f}' THEN entity_id END) AS {f}_from" for f in _P4_FIELDS)}, max(CASE WHEN field_name = 'description' THEN {_FLAT} END) AS description, max(CASE WHEN field_name = 'importance' THEN importance END) AS importance,
+  epoch_us(max(CASE WHEN field_name = 'accessed_at' THEN accessed_at END)) AS accessed_us, max(CASE WHEN field_name = 'access_count' THEN access_count END) AS access_count FROM w GROUP BY group_id)
+SELECT b.*, f.* EXCLUDE (group_id) FROM b LEFT JOIN f USING (group_id)"""
+)
 SQL = {
     "p1_found": "SELECT DISTINCT lower(" + _T.format("id") + ") AS chunk_id FROM chunks WHERE octet_length(encode(trim(content, E' \\t\\n\\r'))) > 1000",
     "p1_rejoined": "SELECT lower(" + _T.format("id") + ") AS chunk_id, true AS within_limit, md5(trim(arg_max(content, octet_length(encode(content))), E' \\t\\n\\r')) AS text_hash FROM chunks WHERE octet_length(encode(trim(content, E' \\t\\n\\r'))) > 1000 GROUP BY 1",
@@ -138,6 +152,8 @@ SQL = {
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM p WHERE c >= 0.85)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n WHERE r <= 5""",
     "p4_found": _P4,
+    "p4_survivors": _P4_ALL,
+    "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text_hash, coalesce(text, '') = '' AS no_tokens FROM documents",
     "p5_found": _V
     + """, s AS (SELECT a, least(a, min(b)) AS cluster_id, count(*) AS n FROM p WHERE c >= 0.85 GROUP BY a)
 SELECT cluster_id, a AS entity_id FROM s WHERE n >= 2""",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -262,18 +263,21 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str |
 
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """``key``, ``n_tokens``, ``exact``: whether decoding the ids gives the text again (null counts as empty)."""
+    """``key``, ``n_tokens``, ``exact``: whether decoding the ids gives the text again (null counts as empty), and the MD5
+    ``text_hash`` of what they give."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            n, ok = [], []
+            n, ok, md5 = [], [], []
             for t in b.column(1).to_pylist():
                 x = bpe.encode(t)
+                back = bpe.decode(x)
                 n.append(len(x))
-                ok.append(bpe.decode(x) == (t or ""))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ok, pa.bool_())], names=[key, "n_tokens", "exact"])
+                ok.append(back == (t or ""))
+                md5.append(hashlib.md5(back.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ok, pa.bool_()), pa.array(md5, pa.string())], names=[key, "n_tokens", "exact", "text_hash"])
 
     kind = df.schema[key].dataType.simpleString()
-    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"{key} {kind}, n_tokens bigint, exact boolean")
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"{key} {kind}, n_tokens bigint, exact boolean, text_hash string")
