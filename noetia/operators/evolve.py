@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noetia.functions import expr as X
 from noetia.operators.components import connected_components
-from noetia.operators.pairs import block_pairs
+from noetia.operators.pairs import block_pairs, cosines
 from noetia.operators.rank import pagerank
 from noetia.session import cut
 
@@ -130,7 +130,7 @@ def duplicate_pairs(nodes: DataFrame) -> DataFrame:
         return {("n", x) for x in own}
 
     def kernel(left, right, same):
-        cos = _cosines(left, right)
+        cos = cosines(left, right)
         cand: set[tuple[int, int]] = set(zip(*(x.tolist() for x in np.nonzero(cos >= 0.6))))
         index: dict[tuple, list[int]] = {}
         for j, r in enumerate(right):
@@ -166,19 +166,6 @@ def duplicate_pairs(nodes: DataFrame) -> DataFrame:
     return block_pairs(d, ["memory_id", "kind"], "id", kernel, "memory_id string, kind string, id_a string, id_b string", 1024)
 
 
-def _cosines(left: list[dict], right: list[dict]) -> np.ndarray:
-    """Cosines of all pairs; 0 where lengths differ, or a vector is missing, zero or not finite."""
-    out = np.zeros((len(left), len(right)))
-    dims = {len(r["embedding"] or ()) for r in left} & {len(r["embedding"] or ()) for r in right}
-    for d in dims - {0}:
-        at, to = ([i for i, r in enumerate(rows) if len(r["embedding"] or ()) == d] for rows in (left, right))
-        a, b = (np.array([rows[i]["embedding"] for i in ix], float) for rows, ix in ((left, at), (right, to)))
-        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-            s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
-        out[np.ix_(at, to)] = np.where(np.isfinite(s), s, 0.0)
-    return out
-
-
 def star_groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(center, id) of the duplicate groups: not transitive, every node in one group at most, the center included.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,3 +53,16 @@ def block_pairs(df: DataFrame, group: list[str], id_col: str, kernel: Callable,
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out])
 
     return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def cosines(left: list[dict], right: list[dict]) -> np.ndarray:
+    """Cosines of all pairs; 0 where lengths differ, or a vector is missing, zero or not finite."""
+    out = np.zeros((len(left), len(right)))
+    dims = {len(r["embedding"] or ()) for r in left} & {len(r["embedding"] or ()) for r in right}
+    for d in dims - {0}:
+        at, to = ([i for i, r in enumerate(rows) if len(r["embedding"] or ()) == d] for rows in (left, right))
+        a, b = (np.array([rows[i]["embedding"] for i in ix], float) for rows, ix in ((left, at), (right, to)))
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+        out[np.ix_(at, to)] = np.where(np.isfinite(s), s, 0.0)
+    return out

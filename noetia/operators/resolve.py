@@ -9,7 +9,7 @@ import numpy as np
 
 from noetia.functions import expr as X
 from noetia.operators.components import connected_components
-from noetia.operators.pairs import block_pairs
+from noetia.operators.pairs import block_pairs, cosines
 
 # Thresholds of the resolver
 TOKEN_LIMIT, COSINE_LIMIT = 0.7, 0.85
@@ -24,42 +24,53 @@ def alias_links(nodes: DataFrame) -> DataFrame:
 
 
 def similarity_links(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes of a tenant and type whose name tokens overlap enough, or whose vectors are near."""
-    d = nodes.select("memory_id", "user_id", F.lower("entity_type").alias("kind"), "id", X.entity_tokens("name").alias("tokens"), "embedding")
+    """(a, b): each node of a tenant with its best match among those of smaller id and compatible type.
+
+    A match needs enough token overlap or near vectors; the best is that of the highest score, which is the overlap or,
+    if that is more, 0.4 of it and 0.6 of the cosine. An empty type is compatible with all. Names' tokens and aliases' count.
+    """
+    words = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    tokens = F.array_distinct(F.flatten(F.transform(F.filter(words, lambda x: x.isNotNull()), lambda x: X.entity_tokens(X.clean_name(x)))))
+    d = nodes.select("memory_id", "user_id", F.lower(F.coalesce("entity_type", F.lit(""))).alias("kind"), "id", X.entity_tokens(X.clean_name("name")).alias("own"), tokens.alias("tokens"), "embedding")
 
     def kernel(left, right, same):
+        """The smaller id is the candidate, with its aliases' tokens; the larger one is matched by its name's."""
+        cos = cosines(left, right)
+        pairs = set(zip(*(x.tolist() for x in np.nonzero(cos >= COSINE_LIMIT))))
         index: dict[str, list[int]] = {}
         for j, r in enumerate(right):
-            for t in r["tokens"] or ():
+            for t in set(r["tokens"] or ()) | set(r["own"] or ()):
                 index.setdefault(t, []).append(j)
-        for x in left:
-            tx, seen = set(x["tokens"] or ()), set()
-            for t in tx:
-                for j in index[t] if t in index else ():
-                    y = right[j]
-                    if y["id"] <= x["id"] and same or y["id"] == x["id"] or j in seen:
-                        continue
-                    seen.add(j)
-                    ty = set(y["tokens"] or ())
-                    if len(tx & ty) / len(tx | ty) >= TOKEN_LIMIT:
-                        yield x["id"], y["id"]
-        dims = {len(r["embedding"]) for r in left if r["embedding"]} & {len(r["embedding"]) for r in right if r["embedding"]}
-        for dim in dims:
-            ls, rs = [r for r in left if r["embedding"] and len(r["embedding"]) == dim], [r for r in right if r["embedding"] and len(r["embedding"]) == dim]
-            a, b = np.array([r["embedding"] for r in ls], float), np.array([r["embedding"] for r in rs], float)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
-            for i, j in zip(*np.nonzero(s >= COSINE_LIMIT)):
-                if ls[i]["id"] != rs[j]["id"]:
-                    yield ls[i]["id"], rs[j]["id"]
-
-    return block_pairs(d, ["memory_id", "user_id", "kind"], "id", kernel, "a string, b string")
+        for i, r in enumerate(left):
+            for t in set(r["tokens"] or ()) | set(r["own"] or ()):
+                pairs.update((i, j) for j in index.get(t, ()))
+        best: dict[str, tuple[float, str]] = {}
+        for i, j in pairs:
+            x, y = left[i], right[j]
+            if x["id"] == y["id"] or (same and i > j) or (x["kind"] and y["kind"] and x["kind"] != y["kind"]):
+                continue
+            old, new = (x, y) if x["id"] < y["id"] else (y, x)
+            a, b = set(new["own"] or ()), set(old["tokens"] or ())
+            overlap = len(a & b) / len(a | b) if a and b else 0.0
+            c = float(cos[i, j])
+            score = max(overlap, 0.4 * overlap + 0.6 * c) if c > 0 else overlap
+            if score > 0 and (overlap >= TOKEN_LIMIT or c >= COSINE_LIMIT):
+                got = best.get(new["id"])
+                if got is None or (-score, old["id"]) < (-got[0], got[1]):
+                    best[new["id"]] = (score, old["id"])
+        for b, (score, a) in best.items():
+            yield a, b, score
+
+    found = block_pairs(d, ["memory_id", "user_id"], "id", kernel, "a string, b string, score double")
+    top = found.groupBy("b").agg(F.min(F.struct((-F.col("score")).alias("s"), "a")).alias("x"))
+    return top.select(F.col("x.a").alias("a"), "b")
 
 
 def resolve(nodes: DataFrame) -> DataFrame:
     """memory_id, user_id, resolved_id, name, entity_type, aliases, n_merged: the final candidates.
 
-    Links by alias and by similarity close to components, which doesn't depend on the order of arrival; the name is the
+    Nodes count as arriving in order of id. A shared name or alias decides; else a node joins its best match before it, and
+    stays alone where there is none. What hangs together by these links is one candidate, so no order of rows matters; the name is the
     one with the most words (then the longest, then the smallest id).
     """
     links = alias_links(nodes).union(similarity_links(nodes))

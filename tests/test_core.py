@@ -332,3 +332,15 @@ def test_table_functions_equal_the_chunkers(spark):
     got.createOrReplaceTempView("tf_docs")
     r = spark.sql("SELECT d.doc_id, c.* FROM tf_docs d, LATERAL chunk_text(d.text, 500, 50) c ORDER BY chunk_index").collect()
     assert [x.content for x in r] == [c[2] for c in T.chunk_document(text, 500, 50)] and {x.doc_id for x in r} == {1}
+
+
+def test_each_node_joins_its_best_match_only(spark):
+    n = [
+        ("a", "Acme Solar Power", [1.0, 0.0], "Company"),
+        ("b", "Acme Solar Plant Power", [0.0, 1.0], "company"),  # overlap 0.75 with a
+        ("c", "Solar Plant Power Acme Two", [0.0, 1.0], ""),  # cosine and overlap with b beat a
+        ("d", "Acme Solar Power", [1.0, 0.0], "Person"),  # another type
+        ("e", "Zeta", [float("nan"), 1.0], "Company"),
+    ]
+    df = spark.createDataFrame([(i, "m", "u", x, t, None, v) for i, x, v, t in n], "id string, memory_id string, user_id string, name string, entity_type string, aliases array<string>, embedding array<float>")
+    assert {(r.a, r.b) for r in resolve.similarity_links(df).collect()} == {("a", "b"), ("b", "c")}
