@@ -7,6 +7,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -251,13 +252,26 @@ def csv_text(text: str) -> tuple[str, dict]:
     return "\n".join(out), {"row_count": str(len(rows)), "structured": "true"}
 
 
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+
+
 def pdf_text(content: bytes) -> str:
-    """Strings in parentheses between text marks; a note where there are none."""
-    out = []
-    for block in re.findall(rb"BT(.*?)ET", content, re.S):
-        for m in re.findall(rb"\(((?:[^()\\]|\\.)*)\)", block, re.S):
-            out.append(re.sub(rb"\\([()\\])", rb"\1", m).decode("latin-1"))
-    return " ".join(x for x in out if x.strip()) or "[PDF without extractable text]"
+    """Strings in parentheses between text marks, page stream by page stream in their order, compressed ones inflated; a note
+    where there are none."""
+    streams = [m.group(1) for m in _STREAM.finditer(content)]
+    pages = []
+    for raw in streams or [content]:
+        try:
+            raw = zlib.decompressobj().decompress(raw)
+        except zlib.error:
+            pass  # not compressed
+        out = []
+        for block in re.findall(rb"BT(.*?)ET", raw, re.S):
+            for m in re.findall(rb"\(((?:[^()\\]|\\.)*)\)", block, re.S):
+                out.append(re.sub(rb"\\([()\\])", rb"\1", m).decode("latin-1"))
+        if text := " ".join(x for x in out if x.strip()):
+            pages.append(text)
+    return "\n".join(pages) or "[PDF without extractable text]"
 
 
 def docx_text(content: bytes) -> str:

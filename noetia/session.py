@@ -51,13 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
+_scratch: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, within the shared folder; it is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        path = f"{shared_dir(spark)}/noetia-{app}-{uuid.uuid4().hex[:8]}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _scratch[app] = path
+    return _scratch[app]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table into the shared folder and read them back.
 
     The files are columnar and survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/noetia-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._noetia_path = path
@@ -72,7 +88,7 @@ def cut_by(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"noetia_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
+    path = f"{scratch_dir(spark)}/{name}"
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._noetia_path, out._noetia_table = path, name

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
 from typing import Protocol
 from urllib.parse import quote, unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from noetia.functions import expr as X
 from noetia.functions import text as T
@@ -240,6 +244,141 @@ class JdbcStore:
             return False
 
 
+def with_retries(f, attempts: int = 3, delay_seconds: float = 1.0, retry=lambda e: True):
+    """The result of ``f()``; an error that ``retry`` says may pass is waited out, a fixed time between the attempts."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return f()
+        except Exception as e:
+            if not left or not retry(e):
+                raise
+            time.sleep(delay_seconds)
+
+
+class GraphDatabaseStore:
+    """Memories in a property-graph database, through sessions that the executors open themselves.
+
+    ``connect()`` gives a session with ``run(statement, rows)``, which returns rows as dicts, and ``close()``; it must be
+    picklable. A save merges nodes, then the edges of which both ends exist, then clusters, each in batches from the tasks
+    that hold them; merging by id makes a repeated task harmless. What the memory no longer has is removed at the end.
+    Vectors travel as lists, other lists and properties as they are; times as microseconds.
+    """
+
+    BATCH = 500
+    # The statements
+    STATEMENTS = {
+        "memory": "UNWIND $rows AS r MERGE (m:Memory {id: r.id}) SET m.saved = r.saved",
+        "nodes": "UNWIND $rows AS r MERGE (n:Entity {id: r.id, memory_id: r.memory_id}) SET n += r",
+        "edges": "UNWIND $rows AS r MATCH (s:Entity {id: r.source_id, memory_id: r.memory_id}) MATCH (t:Entity {id: r.target_id, memory_id: r.memory_id}) MERGE (s)-[e:RELATES {id: r.id}]->(t) SET e += r",
+        "clusters": "UNWIND $rows AS r MERGE (c:Cluster {id: r.id, memory_id: r.memory_id}) SET c += r",
+        "old edges": "UNWIND $rows AS r MATCH (:Entity {memory_id: r.id})-[e:RELATES]->() WHERE e.saved <> r.saved DELETE e",
+        "old nodes": "UNWIND $rows AS r MATCH (n:Entity {memory_id: r.id}) WHERE n.saved <> r.saved DETACH DELETE n",
+        "old clusters": "UNWIND $rows AS r MATCH (c:Cluster {memory_id: r.id}) WHERE c.saved <> r.saved DELETE c",
+        "get nodes": "UNWIND $rows AS r MATCH (n:Entity {memory_id: r.id}) RETURN properties(n) AS row",
+        "get edges": "UNWIND $rows AS r MATCH (:Entity {memory_id: r.id})-[e:RELATES]->() RETURN properties(e) AS row",
+        "get clusters": "UNWIND $rows AS r MATCH (c:Cluster {memory_id: r.id}) RETURN properties(c) AS row",
+        "delete": "UNWIND $rows AS r MATCH (x) WHERE x.memory_id = r.id OR (x:Memory AND x.id = r.id) DETACH DELETE x",
+        "list": "MATCH (m:Memory) RETURN m.id AS memory_id",
+        "health": "RETURN 1 AS ok",
+    }
+    SCHEMAS = {"nodes": NODES, "edges": EDGES, "clusters": CLUSTERS}
+
+    def __init__(self, spark: SparkSession, connect, attempts: int = 3, delay_seconds: float = 1.0):
+        self.spark, self.connect, self.attempts, self.delay = spark, connect, attempts, delay_seconds
+
+    def _run(self, name: str, rows: list[dict] | None = None) -> list[dict]:
+        def once():
+            session = self.connect()
+            try:
+                return list(session.run(self.STATEMENTS[name], rows or []))
+            finally:
+                session.close()
+
+        return with_retries(once, self.attempts, self.delay)
+
+    def _sink(self, df: DataFrame, name: str, saved: str) -> int:
+        connect, statement, size, attempts, delay = self.connect, self.STATEMENTS[name], self.BATCH, self.attempts, self.delay
+        flat = df.select(*[F.unix_micros(f.name).alias(f.name) if f.dataType.simpleString() == "timestamp" else F.col(f.name) for f in df.schema.fields], F.lit(saved).alias("saved"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            session, n = connect(), 0
+            try:
+                for b in batches:
+                    for at in range(0, b.num_rows, size):
+                        rows = b.slice(at, size).to_pylist()
+                        with_retries(lambda rows=rows: list(session.run(statement, rows)), attempts, delay)
+                        n += len(rows)
+            finally:
+                session.close()
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        return flat.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+    def save(self, graph: MemoryGraph) -> None:
+        if not graph.memory_id:
+            raise StorageError("a memory without an id can't be saved")
+        saved = uuid.uuid4().hex
+        mine = lambda df: df.withColumn("memory_id", F.lit(graph.memory_id))
+        row = [{"id": graph.memory_id, "saved": saved}]
+        self._run("memory", row)
+        self._sink(mine(graph.nodes), "nodes", saved)
+        self._sink(with_known_ends(mine(graph.edges), mine(graph.nodes)), "edges", saved)
+        if graph.clusters is not None:
+            self._sink(mine(graph.clusters), "clusters", saved)
+        for name in ("old edges", "old nodes", *(["old clusters"] if graph.clusters is not None else [])):
+            self._run(name, row)
+
+    def _read(self, name: str, memory_id: str) -> DataFrame:
+        """One memory's rows, read in one task of an executor."""
+        connect, statement, schema, attempts, delay = self.connect, self.STATEMENTS[f"get {name}"], self.SCHEMAS[name], self.attempts, self.delay
+        times = [f.name for f in schema.fields if f.dataType.simpleString() == "timestamp"]
+        plain = T_.StructType([T_.StructField(f.name, T_.LongType() if f.name in times else f.dataType) for f in schema.fields])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            for b in batches:
+                for key in b.column(0).to_pylist():
+                    session = connect()
+                    try:
+                        rows = with_retries(lambda key=key: [r["row"] for r in session.run(statement, [{"id": key}])], attempts, delay)
+                    finally:
+                        session.close()
+                    for at in range(0, len(rows), 10_000):
+                        yield pa.RecordBatch.from_pylist(rows[at : at + 10_000], to_arrow_schema(plain))
+
+        got = self.spark.createDataFrame([(memory_id,)], "id string").mapInArrow(run, plain)
+        return cut(got.select(*[F.timestamp_micros(f.name).alias(f.name) if f.name in times else F.col(f.name) for f in schema.fields]))
+
+    def load(self, memory_id: str, user_id: str = "", valid_at: Column | None = None) -> MemoryGraph | None:
+        nodes, edges, clusters = (self._read(n, memory_id) for n in self.SCHEMAS)
+        if not nodes.limit(1).count() and not edges.limit(1).count():
+            return None
+        if user_id:
+            nodes = nodes.where(X.tenant(user_id))
+            edges = touching(edges, nodes, "both")
+        if valid_at is not None:
+            edges = edges.where(X.valid_at(valid_at))
+        return MemoryGraph(nodes, edges, clusters, memory_id)
+
+    def delete(self, memory_id: str) -> None:
+        self._run("delete", [{"id": memory_id}])
+
+    clear = delete
+
+    def list(self) -> DataFrame:
+        return self.spark.createDataFrame([(r["memory_id"],) for r in self._run("list")], "memory_id string")
+
+    def close(self) -> None:
+        """Sessions last for one statement or one task."""
+
+    def health(self) -> bool:
+        try:
+            return bool(self._run("health"))
+        except Exception:  # noqa: BLE001
+            return False
+
+
 class CacheTable:
     """(key, value, expires_at) as a written table: reads skip what has expired, invalidation is by key prefix. A change
     writes the table anew without what has expired, so neither the plan nor the table grows with the number of calls."""
