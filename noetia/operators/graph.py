@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noetia.functions import expr as X
 from noetia.schemas import EDGES, NODES
+from noetia.session import cut
 
 
 def with_defaults(df: DataFrame, schema, values: dict[str, Column]) -> DataFrame:
@@ -155,21 +156,41 @@ def community_neighbourhood(clusters: DataFrame, nodes: DataFrame, edges: DataFr
     return members.withColumn("member", F.lit(True)).unionByName(near.select("cluster_id", "node_id").withColumn("member", F.lit(False)))
 
 
+#: Edges per middle node and side from which the bound of :func:`transitive_links` is found.
+BOUND_EDGES = 32
+
+
+def _paths(a: DataFrame, b: DataFrame, have: DataFrame) -> DataFrame:
+    """One path per pair of ends that have no edge yet: the most confident, then the smallest middle node."""
+    path = a.join(b, ["memory_id", "b"]).where("a <> c").select("memory_id", "a", "b", "c", (F.least("w1", "w2") * 0.5).alias("weight"), (F.col("c1") * F.col("c2") * 0.8).alias("confidence"))
+    key = F.struct(F.round(-F.col("confidence"), 9).alias("k"), "b", "weight")
+    best = path.groupBy("memory_id", "a", "c").agg(F.min(key).alias("x"))  # partial sums keep a hub's paths small
+    best = best.join(have, ["memory_id", "a", "c"], "left_anti")
+    return best.select("memory_id", F.col("a").alias("source_id"), F.col("x.b").alias("via_id"), F.col("c").alias("target_id"), "x.weight", (-F.col("x.k")).alias("confidence"))
+
+
 def transitive_links(edges: DataFrame, min_confidence: float = 0.7, limit: int | None = 10) -> DataFrame:
     """A to C over a middle node, both edges confident, without an edge from A to C yet. One path per pair (highest
-    confidence, then the middle node's id); the ``limit`` best per memory."""
+    confidence, then the middle node's id); the ``limit`` best per memory.
+
+    A hub's edges in and out would all be paired. With a limit, the best edges of each middle node alone give a confidence
+    that the result can't fall below; of all edges only those that can reach it with the best partner are then paired.
+    """
     e = edges.where((F.col("state") == "ACTIVE") & (F.col("confidence") >= min_confidence)).select("memory_id", "source_id", "target_id", "weight", "confidence")
+    have = edges.select("memory_id", F.col("source_id").alias("a"), F.col("target_id").alias("c")).distinct()
+    if limit is not None:
+        e, have = cut(e), cut(have)
     a = e.select("memory_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("weight").alias("w1"), F.col("confidence").alias("c1"))
     b = e.select("memory_id", F.col("source_id").alias("b"), F.col("target_id").alias("c"), F.col("weight").alias("w2"), F.col("confidence").alias("c2"))
-    have = edges.select("memory_id", F.col("source_id").alias("a"), F.col("target_id").alias("c")).distinct()
-    path = a.join(b, ["memory_id", "b"]).where("a <> c").join(have, ["memory_id", "a", "c"], "left_anti")
-    path = path.select("memory_id", "a", "b", "c", (F.least("w1", "w2") * 0.5).alias("weight"), (F.col("c1") * F.col("c2") * 0.8).alias("confidence"))
-    key = F.struct(F.round(-F.col("confidence"), 9).alias("k"), "b", "weight")
-    best = path.groupBy("memory_id", "a", "c").agg(F.min(key).alias("x")).select("memory_id", F.col("a").alias("source_id"), F.col("x.b").alias("via_id"), F.col("c").alias("target_id"), "x.weight", (-F.col("x.k")).alias("confidence"))
     if limit is None:
-        return best
+        return _paths(a, b, have)
     w = Window.partitionBy("memory_id").orderBy(F.desc("confidence"), "source_id", "target_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
+    top = lambda p: p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    first = lambda df, c, end: df.withColumn("_r", F.row_number().over(Window.partitionBy("memory_id", "b").orderBy(F.desc(c), end))).where(F.col("_r") <= BOUND_EDGES).drop("_r")
+    bound = top(_paths(first(a, "c1", "a"), first(b, "c2", "c"), have)).where(F.col("rank") == limit).select("memory_id", (F.col("confidence") - 1e-8).alias("bound"))
+    bound = cut(bound)
+    reach = lambda df, c, other, best: df.join(other.groupBy("memory_id", "b").agg(F.max(best).alias("_best")), ["memory_id", "b"]).join(bound, "memory_id", "left").where(F.col(c) * F.col("_best") * 0.8 >= F.coalesce("bound", F.lit(0.0))).drop("_best", "bound")
+    return top(_paths(reach(a, "c1", b, "c2"), reach(b, "c2", a, "c1"), have)).drop("rank")
 
 
 def remap_endpoints(edges: DataFrame, merged: DataFrame) -> DataFrame:

@@ -344,3 +344,37 @@ def test_each_node_joins_its_best_match_only(spark):
     ]
     df = spark.createDataFrame([(i, "m", "u", x, t, None, v) for i, x, v, t in n], "id string, memory_id string, user_id string, name string, entity_type string, aliases array<string>, embedding array<float>")
     assert {(r.a, r.b) for r in resolve.similarity_links(df).collect()} == {("a", "b"), ("b", "c")}
+
+
+def test_links_over_a_hub_are_exact(spark):
+    r = random.Random(11)
+    rows_, n = [], 0
+    for m in ("m1", "m2"):
+        for _ in range(700):
+            hub = r.random() < 0.6
+            s, t = (r.choice(["hub", f"n{r.randint(0, 90)}"]) if hub else f"n{r.randint(0, 90)}"), (f"n{r.randint(0, 90)}" if hub else r.choice(["hub", f"n{r.randint(0, 90)}"]))
+            rows_.append((f"e{n}", m, s, t, r.choice([1.0, 2.0]), round(r.choice([0.6, 0.7, 0.8, 0.9, 1.0, r.random()]), 3), "ACTIVE"))
+            n += 1
+    e = spark.createDataFrame(rows_, "id string, memory_id string, source_id string, target_id string, weight double, confidence double, state string")
+    cols = ["memory_id", "source_id", "via_id", "target_id", "weight", "confidence"]
+    every = {}
+    for x in graph.transitive_links(e, limit=None).select(cols).collect():
+        every.setdefault(x.memory_id, []).append(tuple(x))
+    want = {y for v in every.values() for y in sorted(v, key=lambda y: (-y[5], y[1], y[3]))[:10]}
+    assert {tuple(x) for x in graph.transitive_links(e).select(cols).collect()} == want and len(want) == 20
+
+
+def test_last_names_and_communities_of_next_to_nothing(spark):
+    n = lambda a, b: one(spark, X.share_last_name(F.lit(a), F.lit(b)))
+    assert n("Dr. Ann Lee", "Lee") and not n("Ann Wu", "Bo Wu") and not n("", "Lee") and n("Ann Gray Jr", "Gray")
+    node = "id string, memory_id string"
+    edge = "id string, memory_id string, source_id string, target_id string, weight double"
+    none, empty = spark.createDataFrame([], edge), spark.createDataFrame([], node)
+    few = spark.createDataFrame([("a", "m"), ("b", "m")], node)
+    loop = spark.createDataFrame([("e", "m", "a", "a", 1.0)], edge)
+    for f in (community.label_propagation, community.greedy_modularity):
+        assert f(empty, none).count() == 0
+        assert len({x.community for x in f(few, none).collect()}) == 2
+        assert len({x.community for x in f(few, loop).collect()}) == 2
+    pair = spark.createDataFrame([("e", "m", "a", "b", 2.0)], edge)
+    assert len({x.community for x in community.label_propagation(few, pair).collect()}) == 1

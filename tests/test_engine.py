@@ -1,8 +1,10 @@
+import datetime as dt
 import time
 
 from pyspark.sql import functions as F
 
 from noetia.engine import Engine, HashingEmbedding
+from noetia.functions import text as T
 from noetia.sources import stores
 from noetia.streaming import inbox
 
@@ -96,3 +98,20 @@ def test_answer_ladder(spark, tmp_path):
         got = e.answer("What is Graph Engine?", c, now())
         assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
     assert e.answer("zz")[1] in (0.0, 0.7)
+
+
+def test_streams_of_chunks_and_accesses(spark, tmp_path):
+    src = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "one sentence. another one.", "text"), (2, None, "text")], "doc_id long, text string, modality string").write.parquet(src)
+    got = []
+    docs = spark.readStream.schema("doc_id long, text string, modality string").parquet(src)
+    q = inbox.stream_results(docs, lambda d: T.chunk_table(d, lambda t, m: T.chunk_document(t)), lambda d, n: got.extend(d.collect()), str(tmp_path / "cp"))
+    q.awaitTermination(90)
+    assert [(r.source_id, r.content) for r in got] == [("1", "one sentence. another one.")]
+    ev = str(tmp_path / "ev")
+    t = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    spark.createDataFrame([(t(1, 5), "u"), (t(1, 50), "u"), (t(2, 1), "u"), (t(1, 7), "v")], "ts timestamp, user_id string").write.parquet(ev)
+    q = inbox.access_counts(spark.readStream.schema("ts timestamp, user_id string").parquet(ev)).writeStream.format("memory").queryName("hits").outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.window_start.hour, r.user_id, r.n_accesses) for r in spark.sql("select * from hits").collect()} == {(1, "u", 2), (2, "u", 1), (1, "v", 1)}
