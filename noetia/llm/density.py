@@ -36,9 +36,10 @@ SLACK = (0.05, 0.0)
 
 def _to_cells(lists: Lists, dim: int, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = lists.rows_at_once
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 row, cell, home = lists.probes(unpack(part.column(1), dim), margin, len(lists.centres))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(

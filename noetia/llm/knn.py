@@ -19,7 +19,7 @@ from noetia.llm.vectors import Lists, blobs, copies, fit_lists, joined, represen
 from noetia.session import cut
 
 #: Beyond ``MAX_LISTS`` lists (11 million different vectors) lists grow instead, as a sample of bounded size fits no more.
-ROWS_PER_LIST, LISTS_PER_SHARD, WIDE_LISTS_PER_SHARD, MAX_LISTS = 700, 8, 32, 16_384
+ROWS_PER_LIST, LISTS_PER_SHARD, WIDE_LISTS_PER_SHARD, MAX_LISTS = 700, 8, 128, 16_384
 #: Columns after which the partial distance is tested, and the significance of each test (standard errors).
 TESTS, EPSILON = (16, 32, 48), 2.1
 #: Share of the pairs up to which those left are followed one by one.
@@ -33,24 +33,27 @@ def _spread(lists: Lists, dim: int, margin: float, most: int):
     """Each vector to its shard (kind 0, base and query) and to the other shards it probes (kind 1, query only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            u = unpack(b.column(1), dim)
-            row, lst, home = lists.probes(u, margin, most)
-            shard = lists.shard[lst]
-            foreign = lst != home[row]  # the home list comes first, so that kind 0 names it
-            order = np.lexsort((lst, foreign, shard, row))
-            row, lst, shard = row[order], lst[order], shard[order]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(shard) != 0)]))
-            n_lists = np.diff(np.append(first, len(row)))
-            r, s = row[first], shard[first]
-            kind = (s != lists.shard[home[r]]).astype(np.int8)
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.astype(np.int32)), pa.array(kind), b.column(0).take(take), blobs(n_lists * 2, lst.astype("<i2").tobytes()), b.column(1).take(take)],
-                names=["shard", "kind", "id", "lists", "vec"],
-            )
+        step = lists.rows_at_once
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                yield place(whole.slice(at, step))
+
+    def place(b: pa.RecordBatch) -> pa.RecordBatch:
+        u = unpack(b.column(1), dim)
+        row, lst, home = lists.probes(u, margin, most)
+        shard = lists.shard[lst]
+        foreign = lst != home[row]  # the home list comes first, so that kind 0 names it
+        order = np.lexsort((lst, foreign, shard, row))
+        row, lst, shard = row[order], lst[order], shard[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(shard) != 0)]))
+        n_lists = np.diff(np.append(first, len(row)))
+        r, s = row[first], shard[first]
+        kind = (s != lists.shard[home[r]]).astype(np.int8)
+        take = pa.array(r)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(s.astype(np.int32)), pa.array(kind), b.column(0).take(take), blobs(n_lists * 2, lst.astype("<i2").tobytes()), b.column(1).take(take)],
+            names=["shard", "kind", "id", "lists", "vec"],
+        )
 
     return run
 

@@ -79,6 +79,11 @@ class Lists:
     shard: np.ndarray
     n_shards: int
 
+    @property
+    def rows_at_once(self) -> int:
+        """Rows whose products with all centres take some tens of megabytes."""
+        return max(64, min(4096, 2**23 // max(1, len(self.centres))))
+
     def probes(self, u: np.ndarray, margin: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, home list per row): lists whose centre is within ``margin`` of the best cosine, ``most`` at most."""
         a = u @ self.centres.T
