@@ -22,8 +22,8 @@ MARKS = (
 )
 #: A text that entities of different types share says nothing about any of them, if no type has more than this share of it.
 TYPE_SHARE = 0.8
-#: Phrases up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_PHRASES = 200_000
+#: Phrases, groups or texts' ids up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 SPACES = r"[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -73,6 +73,7 @@ def _values(entities: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
         src, says = entities.join(phrases, key == F.col("_phrase"), "left"), says & F.col("_phrase").isNull()
     return src.select(
         *GROUP,
+        *(["group_id"] if "group_id" in entities.columns else []),
         norm_id("id").alias("entity_id"),
         F.when(says, F.length(collapsed(F.col("description"))).cast("bigint")).alias("description"),
         F.when(F.col("importance").isin(*IMPORTANCE_SCALE), F.col("importance").cast("bigint")).alias("importance"),
@@ -81,17 +82,23 @@ def _values(entities: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     ).where("entity_id is not null")
 
 
-def usable_values(entities: DataFrame) -> DataFrame:
-    """The rank values of all records, with the table's own empty phrases left out."""
-    e = entities.select(*GROUP, "id", "name", "description", "importance", "accessed_at", "access_count", "created_at")
-    phrases = cut(empty_phrases(e))
-    return _values(e, F.broadcast(phrases) if phrases.count() <= BROADCAST_PHRASES else phrases)
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table, with a hint to broadcast it if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
+def group_values(entities: DataFrame) -> DataFrame:
+    """group_id and the rank values of the records of every duplicate group, with the table's own empty phrases left out.
 
-def _groups(values: DataFrame) -> DataFrame:
-    """Groups of at least two records. Partial aggregation keeps a group with a large share of all rows small."""
-    g = values.groupBy(*GROUP).agg(F.min("entity_id").alias("group_id"), F.max("entity_id").alias("last_id"))
-    return g.where("group_id <> last_id").drop("last_id")
+    A group has at least two different ids. Partial aggregation keeps a group with a large share of all rows small; records
+    that are in no group leave before anything else is moved.
+    """
+    e = entities.select(*GROUP, "id", "name", "description", "importance", "accessed_at", "access_count", "created_at")
+    ids = e.select(*GROUP, norm_id("id").alias("entity_id")).where("entity_id is not null")
+    groups = ids.groupBy(*GROUP).agg(F.min("entity_id").alias("group_id"), F.max("entity_id").alias("last_id")).where("group_id <> last_id").drop("last_id")
+    phrases = _sized(empty_phrases(e))
+    return _values(e.join(_sized(groups), [*GROUP]), phrases)
 
 
 def field_winners(entities: DataFrame) -> DataFrame:
@@ -102,16 +109,14 @@ def field_winners(entities: DataFrame) -> DataFrame:
     group limit drops all but the best before the shuffle. Fields without a usable value give no row. Redelivered rows
     have an id of their own group and change nothing; rows with a null id or group field and empty tables give none.
     """
-    values = usable_values(entities)
-    return _winners(values)
+    return _winners(group_values(entities)).select("group_id", "field_name", "entity_id")
 
 
 def _winners(values: DataFrame) -> DataFrame:
     pick = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])).alias("x")
-    long = values.select(*GROUP, "entity_id", pick).select(*GROUP, "entity_id", "x.field_name", "x.value").where("value is not null")
-    w = Window.partitionBy(*GROUP, "field_name").orderBy(F.desc("value"), "entity_id")
-    best = long.withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    return best.join(_groups(values), [*GROUP]).select("group_id", "field_name", "entity_id")
+    long = values.select("group_id", "entity_id", pick).select("group_id", "entity_id", "x.field_name", "x.value").where("value is not null")
+    w = Window.partitionBy("group_id", "field_name").orderBy(F.desc("value"), "entity_id")
+    return long.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
 def survivors(entities: DataFrame) -> DataFrame:
@@ -121,19 +126,19 @@ def survivors(entities: DataFrame) -> DataFrame:
     highest importance as trust, then latest access, then smallest id), the surviving values and the ids they come from.
     Same rules as :func:`field_winners`.
     """
-    values = cut(usable_values(entities))
-    one = values.groupBy(*GROUP, "entity_id").agg(*[F.max(f).alias(f) for f in FIELDS])
-    groups = one.groupBy(*GROUP).agg(F.min("entity_id").alias("group_id"), F.count("*").alias("n_records")).where("n_records > 1")
+    values = cut(group_values(entities))
+    n = values.select("group_id", "entity_id").distinct().groupBy("group_id").agg(F.count("*").alias("n_records"))
     filled = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
-    w = Window.partitionBy(*GROUP).orderBy(F.desc(filled), F.desc_nulls_last("importance"), F.desc_nulls_last("accessed_at"), "entity_id")
-    base = one.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(*GROUP, F.col("entity_id").alias("base_id"))
-    wins = _winners(values)
-    wide = wins.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("entity_id"))).alias(f"{f}_from") for f in FIELDS])
-    raw = entities.select(norm_id("id").alias("entity_id"), "description", "importance", "accessed_at", "access_count")
-    src = wins.join(raw, "entity_id").groupBy("group_id").agg(
-        F.max(F.when(F.col("field_name") == "description", collapsed(F.col("description")))).alias("description"),
-        F.max(F.when(F.col("field_name") == "importance", F.col("importance"))).alias("importance"),
-        F.max(F.when(F.col("field_name") == "accessed_at", F.col("accessed_at"))).alias("accessed_at"),
-        F.max(F.when(F.col("field_name") == "access_count", F.col("access_count"))).alias("access_count"),
+    w = Window.partitionBy("group_id").orderBy(F.desc(filled), F.desc_nulls_last("importance"), F.desc_nulls_last("accessed_at"), "entity_id")
+    base = values.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("group_id", *GROUP, F.col("entity_id").alias("base_id"))
+    wins = cut(_winners(values))
+    of = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
+    wide = wins.groupBy("group_id").agg(
+        *[of(f, "entity_id").alias(f"{f}_from") for f in FIELDS],
+        of("importance", "value").cast("int").alias("importance"),
+        F.timestamp_micros(of("accessed_at", "value")).alias("accessed_at"),
+        of("access_count", "value").alias("access_count"),
     )
-    return groups.join(base, [*GROUP]).join(wide, "group_id", "left").join(src, "group_id", "left")
+    told = _sized(wins.where("field_name = 'description'").select("group_id", "entity_id"))
+    texts = entities.select(norm_id("id").alias("entity_id"), collapsed(F.col("description")).alias("text")).join(told, "entity_id").groupBy("group_id").agg(F.max("text").alias("description"))
+    return base.join(n, "group_id").join(wide, "group_id", "left").join(texts, "group_id", "left")

@@ -31,10 +31,12 @@ def test_winners_ties_and_unusable_values(spark):
     assert s["a"].n_records == 4 and s["a"].description == "a longer text" and s["a"].base_id == "b" and s["f"].n_records == 2 and s["f"].description is None
 
 
-def test_a_large_group_and_empty_tables(spark):
+def test_a_large_group_and_empty_tables(spark, monkeypatch):
     rows = [(f"i{i:05d}", "m", "Concept", "C", "C", "d" * (i % 50), i % 11, None, i, None) for i in range(3000)]
     got = {r.field_name: r.entity_id for r in S.field_winners(frame(spark, rows)).collect()}
     assert got == {"description": "i00049", "importance": "i00010", "access_count": "i02999"}
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    assert {r.field_name: r.entity_id for r in S.field_winners(frame(spark, rows)).collect()} == got
     assert S.field_winners(frame(spark, rows).limit(0)).collect() == [] and S.survivors(frame(spark, rows).limit(0)).collect() == []
 
 
