@@ -46,6 +46,7 @@ OFFER_WORDS = frozenset(
 
 _BREAK = re.compile(r"</?(?:li|ul|ol|br|p|div|tr|td|h\d|b|a)\b[^>]*>|[\r\n\u2028\u2029\x0b\x0c\x85]+|\s//\s", re.I)
 _HREF = re.compile(r"""<a\b[^>]*href\s*=\s*["']?([^"'\s>]+)[^>]*>""", re.I)
+_MARKDOWN = re.compile(r"!?\[([^\[\]\n]*)\]\(")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"“«'(¿¡]*[A-ZÀ-ÞŁŒ0-9])|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LINK = re.compile(r"^[\W_]*(?:https?://|ftp://|www\.)|^[\W_]*[a-z0-9][a-z0-9-]{2,}\.(?:[a-z0-9-]+\.)*[a-z]{2,}(?:/\S*)?[\W_]*$", re.I)
@@ -89,7 +90,8 @@ def units(text: str) -> list[str]:
     """Lines, sentences and windows of a text; the targets of links in tags are words of it."""
     if "<" in text:
         text = _HREF.sub(lambda m: f"\n{m.group(1) if '://' in m.group(1) else 'https://' + m.group(1)} ", text)
-    text = text.replace("](", " ")
+    if "](" in text:
+        text = _MARKDOWN.sub(r"\1 ", text).replace("](", " ")
     out: list[str] = []
     for line in _BREAK.split(text):
         line = line.strip()

@@ -164,3 +164,8 @@ def test_viterbi_equals_exhaustive_search():
     for x, y in zip(xs, m.label(xs)):
         score = lambda z: m.start[z[0]] + sum(m.move[a, b] for a, b in zip(z, z[1:])) + sum(e[s, x[i, f]] for i, s in enumerate(z) for f, e in enumerate(m.emit))  # noqa: E731, B023
         assert np.isclose(score(tuple(y)), max(map(score, itertools.product(range(5), repeat=len(x)))))
+
+
+def test_markdown_links_count_as_links():
+    us = P.units("[Sometime chat](https://a.example/x) [other word](http://b.test)\n\n![pic](https://c.test/i.png)\nSee [the note] and (that).")
+    assert us == ["Sometime chat https://a.example/x) other word http://b.test)", "pic https://c.test/i.png)", "See [the note] and (that)."]
