@@ -1,7 +1,8 @@
 """Communities: adjacency, synchronous modularity moves and label propagation, metrics and summaries.
 
 Both detectors are rounds of joins and aggregations over the edge table, so a memory of any size is spread over tasks.
-In a round only the nodes of one hash half move, which keeps neighbours from swapping places for ever.
+In a round only the nodes of one hash half move, which keeps neighbours from swapping places for ever. Rounds end when
+neither half moves, on the test data after about twenty, or after a hundred.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _rounds(nodes: DataFrame, adj: DataFrame, step, rounds: int) -> DataFrame:
     return label.select("memory_id", F.col("u").alias("id"), F.col("label").alias("community"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(memory_id, id, community): each node takes the label with the most weight among its neighbours, the smallest on
     ties; nodes without neighbours stay alone."""
 
@@ -54,7 +55,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> D
     return _rounds(nodes, adjacency(edges), step, rounds)
 
 
-def greedy_modularity(nodes: DataFrame, edges: DataFrame, rounds: int = 12, max_size: int = 100) -> DataFrame:
+def greedy_modularity(nodes: DataFrame, edges: DataFrame, rounds: int = 100, max_size: int = 100) -> DataFrame:
     """(memory_id, id, community): nodes move to the neighbouring community of the highest positive gain
     ``(in - degree * strength / W) / W``; communities above ``max_size`` are cut into runs of that size in order of id."""
     adj = cut(adjacency(edges))
