@@ -26,7 +26,7 @@ TESTS, EPSILON = (16, 32, 48), 2.1
 SPARSE = 0.03
 QUERY_BLOCK = 2048
 #: Lists that serve vectors without near neighbours, and how many of them are probed, each by the root of the number before.
-WIDE_LISTS, WIDE_PROBES = 2.4, 2.5
+WIDE_LISTS, WIDE_PROBES = 2.4, 3.5
 
 
 def _spread(lists: Lists, dim: int, margin: float, most: int):

@@ -142,3 +142,38 @@ def test_close_vectors_are_all_pairs():
         want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.85)) if not same or i < j}
         got = [(i, j) for x, y in density.close_vectors(u, v, same, 0.85) for i, j in zip(x, y)]
         assert len(got) == len(set(got)) and {p for p in set(got) ^ want if abs(s[p] - 0.85) > 1e-5} == set() and want
+
+
+def test_wide_probing_finds_the_neighbours_of_lone_vectors(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(21)
+    topics = rng.normal(size=(40, 64))
+    v = np.concatenate([topics[rng.integers(0, 40, 5000)] * 0.7 + rng.normal(size=(5000, 64)), rng.normal(size=(1000, 64))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    pq.write_table(pa.table({"id": [f"id{i:05d}" for i in range(len(v))], "embedding": pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    got = knn.most_similar(spark.read.parquet(str(tmp_path / "e.parquet")), 5, wide=True).select("id", "neighbour").collect()
+    pairs = {(int(r.id[2:]), int(r.neighbour[2:])) for r in got}
+    want, _ = brute(v, 5)
+    lone = {(a, b) for a, b in want if a >= 5000}
+    assert len(pairs) == 5 * len(v) and len(pairs & want) >= 0.93 * len(want) and len(pairs & lone) >= 0.9 * len(lone)
+
+
+def test_vector_sums_fold_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(22)
+    keys = np.sort(rng.integers(0, 30, 500))
+    u = rng.normal(size=(500, 64)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    batch = lambda at, to: pa.RecordBatch.from_arrays([pa.array(keys[at:to]), pack(u[at:to])], names=["k", "vec"])
+    cuts = [0, 3, 3, 200, 201, 460, 500]
+    parts = list(density._partial_sums("k", 64)(batch(a, b) for a, b in zip(cuts, cuts[1:])))
+    out = {}
+    for b in density._fold_sums("k")(iter(parts)):
+        for k, t, n in zip(*(c.to_pylist() for c in b.columns)):
+            assert k not in out
+            out[k] = (np.frombuffer(t, "<f8"), n)
+    assert set(out) == set(keys.tolist())
+    assert all(n == (keys == k).sum() and np.allclose(t, u[keys == k].sum(axis=0), atol=1e-3) for k, (t, n) in out.items())
