@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from noetia.functions import expr as X
 from noetia.session import cut, cut_by, drop_cut
 
 CUT_EVERY = 5
+#: Rounds of a job of the weighted PageRank; nodes and edges of a block at most, on average.
+ROUNDS, BLOCK_NODES, BLOCK_EDGES = 10, 1 << 19, 1 << 21
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
@@ -34,37 +40,137 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     return pr.withColumnRenamed("pr", "pagerank")
 
 
+def _slots(spark, n: int) -> list[int]:
+    """A key for each of ``n`` hash partitions, in their order."""
+    got = spark.range(50 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k")).collect()
+    return [k for _, k in sorted((r["p"], r["k"]) for r in got)]
+
+
+def _numbers(c, kind: str) -> np.ndarray:
+    return np.frombuffer(c.as_py(), kind)
+
+
+def _layout(slots: list[int]):
+    """A block's edges, cut by the block of their target: (b, to, src, share, starts, at).
+
+    The edges of ``src`` with ``share`` are in order of their target; ``starts`` is where each of the targets ``at`` begins.
+    The row without ``to`` has the number of the block's nodes in ``starts`` and those without edges in ``at``.
+    """
+
+    def layout(key, nodes, edges):
+        n = nodes.num_rows
+        s, tb, t, x, w, k = (edges[c].to_numpy() for c in ("si", "tb", "ti", "x", "w", "k"))
+        total, many = np.bincount(s, w, n), np.bincount(s, k, n)
+        share = x / np.where(total == 0, many, total)[s]
+        order = np.lexsort((s, t, tb))
+        s, tb, t, share = s[order].astype("i4"), tb[order], t[order].astype("i4"), share[order]
+        rows = [(key[0].as_py(), None, b"", b"", np.array([n], "i4").tobytes(), np.flatnonzero(many == 0).astype("i4").tobytes())]
+        for to in slots:
+            lo, hi = np.searchsorted(tb, [to, to + 1])
+            starts = np.flatnonzero(np.diff(t[lo:hi], prepend=-1)).astype("i4")
+            rows.append((key[0].as_py(), to, s[lo:hi].tobytes(), share[lo:hi].tobytes(), starts.tobytes(), t[lo:hi][starts].tobytes()))
+        return pa.table([pa.array(c, f) for c, f in zip(zip(*rows), _EDGES.types)], schema=_EDGES)
+
+    return layout
+
+
+_EDGES = pa.schema([("b", pa.int64()), ("to", pa.int64()), ("src", pa.binary()), ("share", pa.binary()), ("starts", pa.binary()), ("at", pa.binary())])
+_SENT = pa.schema([("to", pa.int64()), ("b", pa.int64()), ("at", pa.binary()), ("x", pa.binary()), ("dangling", pa.float64()), ("was", pa.binary())])
+_RANKS = pa.schema([("b", pa.int64()), ("pr", pa.binary()), ("delta", pa.float64()), ("top", pa.float64())])
+
+
+def _send(b: int, own: pa.Table, pr: np.ndarray) -> pa.Table:
+    """What a block's ranks add to the targets in every block, and the mass of its nodes without edges."""
+    alone = own.filter(pc.is_null(own["to"]))
+    dangling = float(pr[_numbers(alone["at"][0], "i4")].sum())
+    rows = []
+    for to, src, share, starts, at in zip(*(own.filter(pc.is_valid(own["to"]))[c] for c in ("to", "src", "share", "starts", "at"))):
+        begin = _numbers(starts, "i4")
+        x = np.add.reduceat(pr[_numbers(src, "i4")] * _numbers(share, "f8"), begin) if len(begin) else np.zeros(0)
+        rows.append((to.as_py(), b, at.as_py(), x.tobytes(), dangling, pr.tobytes() if to.as_py() == b else None))
+    return pa.table([pa.array(c, f) for c, f in zip(zip(*rows), _SENT.types)], schema=_SENT)
+
+
+def _receive(sent: pa.Table, n: int, damping: float) -> tuple[np.ndarray, np.ndarray]:
+    """The block's new ranks and its old ones; sums run in order of the sending blocks, so they are the same in any run."""
+    sent = sent.sort_by("b")
+    was = _numbers(sent["was"].drop_null()[0], "f8")
+    x = np.zeros(len(was))
+    for at, add in zip(sent["at"], sent["x"]):
+        x[_numbers(at, "i4")] += _numbers(add, "f8")
+    return (1 - damping) / n + damping * sum(sent["dangling"].to_pylist()) / n + damping * x, was
+
+
 def pagerank_weighted(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-12) -> DataFrame:
     """(id, pagerank) in 0..1 relative to the highest: weight times confidence, dangling mass spread evenly, edges to
     absent nodes ignored. Stops early once the total change is below ``tolerance``.
 
-    A round is one job over bucketed edges and one sum over its result, which gives change and dangling mass at once.
+    Nodes are numbered within blocks of a hash of their id, and each block keeps its edges as arrays. A round is one stage:
+    every block sends every block one sum for each of its targets there. Jobs of ``ROUNDS`` rounds each end with the
+    change; where all fits one block, its rounds need neither stages nor jobs. Blocks grow in number with nodes and edges, so
+    a task holds a bounded part of either.
     """
+    spark = nodes.sparkSession
     ids = cut(nodes.select("id").distinct())
-    w = F.coalesce(F.col("weight"), F.lit(1.0)) * F.coalesce(F.col("confidence"), F.lit(1.0))
-    e = edges.select("source_id", "target_id", w.alias("w")).join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    total = e.groupBy("source_id").agg(F.sum("w").alias("t"), F.count("*").alias("k"))
-    share = F.when(F.col("w") == 0, 1.0).otherwise(F.col("w")) / F.when(F.col("t") == 0, F.col("k")).otherwise(F.col("t"))
-    e = cut_by(e.join(total, "source_id").groupBy("source_id", "target_id").agg(F.sum(share).alias("share")), "source_id")
-    source = e.select(F.col("source_id").alias("id"), F.lit(True).alias("has")).distinct()
-    v = cut_by(ids.join(source, "id", "left").select("id", F.col("has").isNull().alias("sink")), "id")
-    n, sinks = v.agg(F.count("*"), F.count_if("sink")).first()
-    n = max(n, 1)
-    pr, dangling = v.select("id", F.lit(1.0 / n).alias("pr")), sinks / n
-    old = None
-    for _ in range(iterations):
-        got = e.join(pr, e.source_id == pr.id).groupBy("target_id").agg(F.sum(F.col("pr") * F.col("share")).alias("x"))
-        was = pr.select(F.col("id").alias("_id"), F.col("pr").alias("was"))
-        nxt = v.join(got, v.id == got.target_id, "left").join(was, v.id == was._id, "left")
-        nxt = cut_by(nxt.select("id", "sink", "was", (F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("x", F.lit(0.0))).alias("pr")), "id")
-        delta, dangling = nxt.agg(F.coalesce(F.sum(F.abs(F.col("pr") - F.col("was"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("sink"), F.col("pr"))), F.lit(0.0))).first()
-        if old is not None:
-            drop_cut(old)
-        pr, old = nxt.select("id", "pr"), nxt
-        if delta < tolerance:
-            break
-    top = pr.agg(F.max("pr").alias("m")).first()["m"] or 1.0
-    return pr.select("id", (F.col("pr") / F.lit(top)).alias("pagerank"))
+    weight = F.coalesce(F.col("weight"), F.lit(1.0)) * F.coalesce(F.col("confidence"), F.lit(1.0))
+    ends = cut(edges.select("source_id", "target_id", weight.alias("w")))
+    n, m = max(ids.count(), 1), ends.count()
+    few = max(-(-n // BLOCK_NODES), -(-m // BLOCK_EDGES), 1)
+    slots = _slots(spark, max(few, spark.sparkContext.defaultParallelism) if few > 1 else 1)
+    block = F.element_at(F.array(*map(F.lit, slots)).cast("array<bigint>"), (F.pmod(F.xxhash64("id"), F.lit(len(slots))) + 1).cast("int"))
+    v = cut_by(ids.select("id", block.alias("b")).withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1), "b", len(slots))
+    e = ends.join(v.select(F.col("id").alias("source_id"), F.col("b").alias("sb"), F.col("i").alias("si")), "source_id").join(v.select(F.col("id").alias("target_id"), F.col("b").alias("tb"), F.col("i").alias("ti")), "target_id")
+    e = e.repartition(len(slots), "sb").groupBy("sb", "si", "tb", "ti").agg(F.sum(F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))).alias("x"), F.sum("w").alias("w"), F.count("*").alias("k"))
+    own = cut_by(_together(v.select("b", "i"), "b", e, "sb", _layout([r.b for r in v.select("b").distinct().collect()]), _EDGES), "b", len(slots))
+    drop_cut(ids)
+    drop_cut(ends)
+
+    def start(key, part):
+        size = int(_numbers(part.filter(pc.is_null(part["to"]))["starts"][0], "i4")[0])
+        return pa.table([pa.array([key[0].as_py()]), pa.array([np.full(size, 1.0 / n).tobytes()], pa.binary()), pa.array([0.0]), pa.array([1.0 / n])], schema=_RANKS)
+
+    def send(key, part, ranks):
+        return _send(key[0].as_py(), part, _numbers(ranks["pr"][0], "f8"))
+
+    def stay(key, part, ranks):
+        pr, sums = _numbers(ranks["pr"][0], "f8"), (0.0, 1.0 / n)
+        for _ in range(iterations):
+            pr, was = _receive(_send(key[0].as_py(), part, pr), n, damping)
+            sums = float(np.abs(pr - was).sum()), float(pr.max())
+            if sums[0] < tolerance:
+                break
+        return pa.table([pa.array([key[0].as_py()]), pa.array([pr.tobytes()], pa.binary()), *([x] for x in sums)], schema=_RANKS)
+
+    def again(key, part, sent):
+        return _send(key[0].as_py(), part, _receive(sent, n, damping)[0])
+
+    def settle(key, sent):
+        pr, was = _receive(sent, n, damping)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([pr.tobytes()], pa.binary()), pa.array([float(np.abs(pr - was).sum())]), pa.array([float(pr.max())])], schema=_RANKS)
+
+    ranks = cut_by(own.groupBy("b").applyInArrow(start, from_arrow_schema(_RANKS)), "b", len(slots))
+    done, delta = 0, np.inf
+    if len(slots) == 1:
+        ranks, done = cut_by(_together(own, "b", ranks, "b", stay, _RANKS), "b", 1), iterations
+    while done < iterations and delta >= tolerance:
+        rounds = min(ROUNDS, iterations - done)
+        sent = _together(own, "b", ranks, "b", send, _SENT)
+        for _ in range(rounds - 1):
+            sent = _together(own, "b", sent, "to", again, _SENT)
+        was, ranks = ranks, cut_by(sent.groupBy("to").applyInArrow(settle, from_arrow_schema(_RANKS)), "b", len(slots))
+        drop_cut(was)
+        done += rounds
+        delta = ranks.agg(F.sum("delta")).first()[0] or 0.0
+    top = ranks.agg(F.max("top")).first()[0] or 1.0
+
+    def named(key, part, ranks):
+        return pa.table({"id": part["id"].cast(pa.string()), "pagerank": _numbers(ranks["pr"][0], "f8")[part["i"].to_numpy()] / top})
+
+    return v.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(named, "id string, pagerank double")
+
+
+def _together(a: DataFrame, by: str, b: DataFrame, key: str, f, schema: pa.Schema) -> DataFrame:
+    return a.groupBy(by).cogroup(b.groupBy(key)).applyInArrow(f, from_arrow_schema(schema))
 
 
 def node_importance(nodes: DataFrame, ranks: DataFrame, now: Column, weights: tuple[float, float, float, float] = (0.3, 0.3, 0.2, 0.2)) -> DataFrame:

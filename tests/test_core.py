@@ -378,3 +378,49 @@ def test_last_names_and_communities_of_next_to_nothing(spark):
         assert len({x.community for x in f(few, loop).collect()}) == 2
     pair = spark.createDataFrame([("e", "m", "a", "b", 2.0)], edge)
     assert len({x.community for x in community.label_propagation(few, pair).collect()}) == 1
+
+
+def jobs(spark, f):
+    """What ``f`` returns, and the number of Spark jobs that it took."""
+    sc, group = spark.sparkContext, f"jobs-{random.random()}"
+    sc.setJobGroup(group, "")
+    try:
+        return f(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def ranked(spark, **options):
+    """A graph with sinks, lone nodes, loops, parallel edges, a hub, weights of 0 and none, and ends without a node."""
+    r = random.Random(4)
+    names = [f"n{i}" for i in range(60)]
+    e = [(r.choice(["n0", *names[:40]]), r.choice(["n1", *names[:50], "absent"]), r.choice([0.0, 1.0, 2.5, None]), r.choice([0.5, 1.0, None])) for _ in range(400)] + [("absent", "n3", 1.0, 1.0), ("n7", "n7", 0.0, 1.0), (None, "n3", 1.0, 1.0)]
+    nodes = spark.createDataFrame([(x,) for x in names], "id string")
+    edges = spark.createDataFrame(e, "source_id string, target_id string, weight double, confidence double")
+    at = {x: i for i, x in enumerate(names)}
+    a = np.zeros((60, 60))
+    w = [(at[s], at[t], (1.0 if w is None else w) * (1.0 if c is None else c)) for s, t, w, c in e if s in at and t in at]
+    for s in range(60):
+        own = [(t, x) for s2, t, x in w if s2 == s]
+        total = sum(x for _, x in own) or len(own)
+        for t, x in own:
+            a[t, s] += (x or 1.0) / total
+    pr = np.full(60, 1 / 60)
+    for _ in range(options.get("iterations", 100)):
+        pr = 0.15 / 60 + 0.85 * pr[a.sum(0) == 0].sum() / 60 + 0.85 * a @ pr
+    got, n = jobs(spark, lambda: dict(map(tuple, rank.pagerank_weighted(nodes, edges, **options).collect())))
+    assert got == pytest.approx(dict(zip(names, pr / pr.max())), abs=1e-12)
+    return n
+
+
+def test_weighted_pagerank_takes_no_jobs_a_round(spark):
+    assert ranked(spark, iterations=40, tolerance=0.0) <= ranked(spark, iterations=1) + 2
+    ranked(spark)
+
+
+def test_weighted_pagerank_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rank, "BLOCK_EDGES", 60)
+    one = ranked(spark, iterations=1)
+    assert ranked(spark, iterations=23, tolerance=0.0) <= one + 2 * (one + 12)
+    monkeypatch.setattr(rank, "BLOCK_NODES", 3)  # more blocks than some have edges
+    ranked(spark, iterations=12)
