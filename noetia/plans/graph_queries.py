@@ -366,8 +366,9 @@ _FREQ = "CASE WHEN coalesce(access_count, 0) <= 0 THEN 0.0 ELSE least(1.0, ln(1
 
 @query(_prw_sql(_STEPS) + f" SELECT g.id, round(least(10.0, greatest(0.0, 10 * (0.3 * exp(-0.693 * {AGE.format(t='accessed_at')} / 30) + 0.3 * {_FREQ} + 0.2 * coalesce(pr / (SELECT max(pr) FROM r{_STEPS}), 0) + 0.2 * importance / 10))), 4) AS score FROM nodes g LEFT JOIN r{_STEPS} r ON r.id = g.id")
 def node_importance(s, d):
-    r = rank.pagerank_weighted(V.nodes(s, d), V.linked(s, d), iterations=_STEPS)
-    return rank.node_importance(V.nodes(s, d), r, V.now()).select("id", F.round("score", 4).alias("score"))
+    n = cut(V.nodes(s, d).select("id", "accessed_at", "access_count", "importance"))
+    r = rank.pagerank_weighted(n, V.linked(s, d), iterations=_STEPS)
+    return rank.node_importance(n, r, V.now()).select("id", F.round("score", 4).alias("score"))
 
 
 @query(W(N, E, L) + f""", i AS (SELECT id, max(importance) AS imp FROM nodes GROUP BY 1)

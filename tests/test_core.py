@@ -13,6 +13,7 @@ from noetia.functions import text as T
 from noetia.operators import community, context, evolve, graph, rank, resolve, retrieve
 from noetia.operators.components import connected_components
 from noetia.operators.pairs import block_pairs
+from noetia.plans import graph_queries
 from noetia.schemas import EngineConfig, RateLimitError, StorageError
 from tests.conftest import rows
 
@@ -424,3 +425,12 @@ def test_weighted_pagerank_in_blocks(spark, monkeypatch):
     assert ranked(spark, iterations=23, tolerance=0.0) <= one + 2 * (one + 12)
     monkeypatch.setattr(rank, "BLOCK_NODES", 3)  # more blocks than some have edges
     ranked(spark, iterations=12)
+
+
+def test_node_importance_of_tables(spark, tmp_path):
+    nodes, edges = hub(spark)
+    nodes.withColumns({"id": F.concat(F.lit(" "), "id"), "memory_id": F.lit("m"), "user_id": F.lit(None).cast("string"), "state": F.lit("ACTIVE")}).write.parquet(str(tmp_path / "entities.parquet"))
+    edges.withColumns({"id": F.col("target_id"), "memory_id": F.lit("m"), "relation_type": F.lit("x"), "state": F.lit("ACTIVE"), "updated_at": now(), "access_count": F.lit(0)}).write.parquet(str(tmp_path / "relationships.parquet"))
+    got, n = jobs(spark, lambda: dict(map(tuple, graph_queries.node_importance(spark, str(tmp_path)).collect())))
+    assert [got[x] for x in "abcde"] == pytest.approx([5.6495, 7.4902, 7.8436, 8.0314, 8.1492], abs=1e-4)
+    assert n < 60  # a job a round would be 40 more
