@@ -404,8 +404,9 @@ _NODE_SCORE = f"least(10.0, greatest(0.0, 10 * (0.3 * exp(-0.693 * {AGE.format(t
 z AS (SELECT *, CASE WHEN importance < 1 AND strength <= 0.05 THEN 'DELETED' WHEN importance < 1 AND strength <= 0.2 THEN 'ARCHIVED' ELSE state END AS new_state FROM q)
 SELECT id, memory_id, round(strength, 4) AS strength, new_state, CASE WHEN new_state <> state THEN importance ELSE {BUCKET.format(s='score')} END AS new_importance FROM z""")
 def decay_nodes(s, d):
-    r = rank.pagerank_weighted(V.nodes(s, d), V.linked(s, d), iterations=_STEPS)
-    out = evolve.decay_nodes(V.nodes(s, d), rank.node_importance(V.nodes(s, d), r, V.now()), V.now())
+    n = cut(V.nodes(s, d).select("id", "memory_id", "state", "accessed_at", "access_count", "importance"))
+    r = rank.pagerank_weighted(n, V.linked(s, d), iterations=_STEPS)
+    out = evolve.decay_nodes(n, rank.node_importance(n, r, V.now()), V.now())
     return out.select("id", "memory_id", F.round("strength", 4).alias("strength"), "new_state", "new_importance")
 
 

@@ -434,3 +434,13 @@ def test_node_importance_of_tables(spark, tmp_path):
     got, n = jobs(spark, lambda: dict(map(tuple, graph_queries.node_importance(spark, str(tmp_path)).collect())))
     assert [got[x] for x in "abcde"] == pytest.approx([5.6495, 7.4902, 7.8436, 8.0314, 8.1492], abs=1e-4)
     assert n < 60  # a job a round would be 40 more
+
+
+def test_decay_nodes_of_tables(spark, tmp_path):
+    nodes, edges = hub(spark)
+    extra = {"id": F.concat(F.lit(" "), "id"), "memory_id": F.lit("m"), "user_id": F.lit(None).cast("string"), "state": F.when(F.col("id") == "E", "DELETED").otherwise("ACTIVE"), "importance": F.when(F.col("id") == "D", 0).otherwise(F.col("importance"))}
+    nodes.withColumns(extra).write.parquet(str(tmp_path / "entities.parquet"))
+    edges.withColumns({"id": F.col("target_id"), "memory_id": F.lit("m"), "relation_type": F.lit("x"), "state": F.lit("ACTIVE"), "updated_at": now(), "access_count": F.lit(0)}).write.parquet(str(tmp_path / "relationships.parquet"))
+    got, n = jobs(spark, lambda: {r.id: (r.new_state, r.new_importance) for r in graph_queries.decay_nodes(spark, str(tmp_path)).collect()})
+    assert got == {"a": ("ACTIVE", 6), "b": ("ACTIVE", 8), "c": ("ACTIVE", 8), "d": ("ACTIVE", 8)}
+    assert n < 60  # a job a round would be 40 more
