@@ -444,3 +444,23 @@ def test_decay_nodes_of_tables(spark, tmp_path):
     got, n = jobs(spark, lambda: {r.id: (r.new_state, r.new_importance) for r in graph_queries.decay_nodes(spark, str(tmp_path)).collect()})
     assert got == {"a": ("ACTIVE", 6), "b": ("ACTIVE", 8), "c": ("ACTIVE", 8), "d": ("ACTIVE", 8)}
     assert n < 60  # a job a round would be 40 more
+
+
+def test_modularity_in_one_task_and_in_many(spark, monkeypatch):
+    r = random.Random(6)
+    nodes = [(m, f"{m}{i}é") for m in "mnp" for i in range(70)] + [(None, "lone"), (None, "too"), ("q", "only")]
+    e = [(f"e{i}", m, f"{m}{r.randint(0, 75)}é", f"{r.choice([m, m, m, 'n'])}{r.randint(0, 75)}é", r.choice([1.0, 2.0, None, 0.0, r.random()])) for i in range(500) for m in ["p" if i < 3 else r.choice("mn")]]
+    e += [("x", None, "lone", "too", 1.0), ("y", "empty", "a", "b", 1.0), ("z", "p", "p1é", "p2é", float("nan"))]
+    nodes = spark.createDataFrame(nodes, "memory_id string, id string")
+    edges = spark.createDataFrame(e, "id string, memory_id string, source_id string, target_id string, weight double")
+    for k in (0, 1, 7):
+        assert [x[0] for x in nodes.select(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2))).collect()] == list(community._half(np.array([x[0] for x in nodes.select(F.xxhash64("id")).collect()]), k))
+    for rounds in (1, 5, 100):
+        found = {}
+        for limit in (0, 10**6):
+            monkeypatch.setattr(community, "TASK_ROWS", limit)
+            found[limit] = rows(community.greedy_modularity(nodes, edges, rounds=rounds, max_size=9))
+        assert found[0] == found[10**6] and len(found[0]) == 213
+    few = edges.where("memory_id in ('m', 'n')"), nodes.where("memory_id in ('m', 'n')")
+    _, n = jobs(spark, lambda: community.greedy_modularity(few[1], few[0]).collect())
+    assert n < 40  # several jobs a round before
